@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import exact_dedup
+from corvane.llm import bpe, exact_dedup, langid
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,5 +29,19 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from t window w as (partition by text_sha256 order by n desc, doc_id)
 """
 
-QUERIES: dict[str, Query] = {"op4_exact_dedup": op4_exact_dedup}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
+}
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
