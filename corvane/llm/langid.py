@@ -110,17 +110,20 @@ def slots_of(hashed: np.ndarray, hashes: int, size: int) -> list[np.ndarray]:
     return [((hashed + _U(k) * step) & _U(size - 1)).astype(np.int64) for k in range(hashes)]
 
 
-def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = 4, hashes: int = 2, slots: int = 1 << 20, max_docs: int = 2000, max_grams: int = 30000, min_count: int = 3, share: float = 0.3) -> Model:
-    """Fit the filters on at most about ``max_docs`` rows of each language.
+def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = 4, hashes: int = 2, slots: int = 1 << 20, max_languages: int = 256, max_docs: int = 2000, max_grams: int = 30000, min_count: int = 3, share: float = 0.3) -> Model:
+    """Fit the filters on at most about ``max_docs`` rows of each of the ``max_languages`` most frequent languages.
 
     A language's filter holds its ``max_grams`` most frequent n-grams that occur at least ``min_count`` times and whose
     relative frequency is at least ``share`` of the highest that any language has. Rows with a null or empty text or a
     null label are left out; with no rows left the model knows no language. ``slots`` is a power of two.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count(F.lit(1)).alias("_size"))
-    chance = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 20)) * F.col("_size") < F.lit(max_docs * (1 << 20))
-    sample = rows.join(sizes, F.col(lang_col) == F.col("_lang")).where(chance).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    if not sizes:
+        return Model((), np.zeros((slots, 1), _U), np.zeros(0), order, hashes)
+    size = F.create_map(*(F.lit(x) for row in sizes for x in row))[F.col(lang_col)]
+    chance = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 20)) * size < F.lit(max_docs * (1 << 20))
+    sample = rows.where(chance).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = written(sample.mapInArrow(_counter(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))

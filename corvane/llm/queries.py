@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, exact_dedup, langid
+from corvane.llm import bpe, exact_dedup, jaccard, langid
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from t window w as (partition by text_sha256 order by n desc, doc_id)
 """
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -40,6 +44,7 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
