@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, exact_dedup, jaccard, langid
+from corvane.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, ([5, 2, 1])[((row_number() over (order by source nulls last) - 1) % 3) + 1] as weight, source_size * 2 as cap from s),
+l as (select *, ((sum(source_size) over ())::double * 1.5 - coalesce(sum(cap) over e, 0)::double)
+    / ((sum(weight) over ()) - coalesce(sum(weight) over e, 0))::double as level
+  from w window e as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+f as (select *, max(case when cap / weight > level then level end) over () as final from l),
+t as (select source, source_size, least(cap::double, coalesce(final * weight, cap::double)) as target from f),
+a as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t),
+r as (select *, greatest(0.0, target - whole * source_size) as rest from a),
+k as (select d.doc_id, d.size, r.*, (('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint) as draw
+  from d join r on d.source is not distinct from r.source),
+o as (select *, coalesce(sum(size) over (partition by source order by draw, doc_id nulls last, size
+    rows between unbounded preceding and 1 preceding), 0) as ahead from k)
+select doc_id, size, source_size, target,
+  (size * (whole + case when rest > 0 and ahead * 2 + size <= rest * 2 then 1 else 0 end))::bigint as taken from o
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -43,10 +67,56 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    out = chat.format_chat(turns.unionByName(hard))
+    said = F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = chat.read_learned(F.col("formatted"), F.col("loss_spans"))
+    return out.select(
+        "conv_id",
+        F.size(chat.read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP9_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(replace(text, '\', '\0')) + 2 * len(regexp_extract_all(text, '<\||</?s>|\[/?INST\]|<</?SYS>>')) as inside from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(8 + length(role) + 1 + inside + 8)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP10_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+qualify rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
+    "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op9_chat_format": op9_chat_format,
+    "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL}
