@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, exact_dedup, jaccard, langid, mixing, topk
+from corvane.llm import bpe, chat, exact_dedup, jaccard, langid, license_scan, mixing, quality, topk, viterbi_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,12 +61,45 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return viterbi_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _op7_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def canonical(x: str) -> str:
+        x = rf"regexp_replace(lower(coalesce({x}, '')), '(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+        for a, b in license_scan.SPELLINGS:
+            x = f"replace({x}, '{a}', '{b}')"
+        return rf"sha256(trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in license_scan.KNOWN)
+    return f"""
+with k as (select {canonical('t')} as digest, min(i) as license_id from (values {known}) v(i, t) group by 1),
+d as (select doc_id, text, string_split(text, chr(10)) as lines from documents where text is not null),
+u as (select doc_id, 0::bigint as line_no, text as unit from d
+  union all select doc_id, unnest(range(1, len(lines) + 1)) as line_no, unnest(lines) as unit from d where len(lines) > 1)
+select doc_id, line_no, license_id, digest from (select doc_id, line_no, {canonical('unit')} as digest from u) join k using (digest)
+"""
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -115,8 +148,11 @@ QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_source_mix": op3_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_license_scan": op7_license_scan,
+    "op8_quality": op8_quality,
     "op9_chat_format": op9_chat_format,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_license_scan": _op7_sql(), "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL}
