@@ -1,23 +1,65 @@
-"""The corpus pipeline: language, exact copies, near copies, mixture, token ids."""
+"""The corpus pipeline: language, exact copies, near copies, mixture, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on everything that its predecessor kept; all but the last return the
+columns of ``docs``. Stages never look at what an earlier one dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import exact_dedup
+from corvane.llm import bpe, exact_dedup, jaccard, langid, mixing
 from corvane.session import written
 
+#: Below this share of n-grams that the best language knows, a text is in none of the learned languages.
+LEAST_SCORE = 0.1
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter, and texts in none of the learned languages."""
+    found = langid.identify(docs, min_score=LEAST_SCORE)
+    rejected = written(found.where("not accepted").select(F.col("doc_id").alias("_id")).distinct())
+    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space one stays."""
     return exact_dedup.without_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles, the smallest id stays."""
+    found = jaccard.similar_documents(docs, words=5, percent=80)
+    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as often as the mixture takes them."""
+    return mixing.repeated(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of the token ids, one row for each row of the mixture."""
+    import public_tokenizers
+
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", keep_known_language),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", encode),
+]
+#: Language filters, sketches and token ids are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage over what its predecessor kept, written as Parquet in between."""
+    """All stages over ``documents``, each result written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
