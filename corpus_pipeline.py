@@ -7,7 +7,6 @@ columns of ``docs``. Stages never look at what an earlier one dropped.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.llm import bpe, exact_dedup, jaccard, langid, mixing
 from corvane.session import written
@@ -18,9 +17,8 @@ LEAST_SCORE = 0.1
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, and texts in none of the learned languages."""
-    found = langid.identify(docs, min_score=LEAST_SCORE)
-    rejected = written(found.where("not accepted").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    model = langid.learn(docs.where(~langid.held_out()))
+    return langid.accepted(docs, model, LEAST_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles, the smallest id stays."""
-    found = jaccard.similar_documents(docs, words=5, percent=80)
-    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return jaccard.without_near_duplicates(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

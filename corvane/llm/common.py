@@ -8,6 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvane.session import written
 
 #: The white space that separates words everywhere in this subpackage: blank and U+0009 to U+000D.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -44,3 +48,19 @@ def chunks_of_bytes(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def surviving(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay by ``decisions`` (doc_id, text_key, kept, twin), all columns untouched.
+
+    ``text_key`` is the text's xxhash64, so ids may be null or repeat. Of kept rows marked ``twin``, which may have equals in id
+    and text, one of each stays. Where few rows go their table is small, and the texts stay where they are.
+    """
+    gone = written(decisions.where("not kept or twin").select(F.col("doc_id").alias("__corvane_id"), F.col("text_key").alias("__corvane_key"), F.col("kept").alias("__corvane_kept")))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("__corvane_id")) & (F.xxhash64(text_col) == F.col("__corvane_key"))
+    stay = docs.join(gone, match, "left_anti")
+    twins = gone.where("__corvane_kept")
+    if twins.isEmpty():
+        return stay
+    again = docs.withColumn("__corvane_again", F.xxhash64(text_col)).join(twins, match, "left_semi").dropDuplicates([id_col, "__corvane_again"])
+    return stay.unionByName(again.select(docs.columns))

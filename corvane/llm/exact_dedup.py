@@ -11,6 +11,7 @@ buffer, are finished by a partial aggregation on their digest.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter as Tally
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACE_CLASS, batch_of
+from corvane.llm.common import SPACE_CLASS, batch_of, surviving
 from corvane.session import shuffle_partitions, written
 
 #: Rows of one group that a task holds before it leaves the group to the aggregation.
 HELD_ROWS = 4096
 _PREFIX = 24
-_SCHEMA = "doc_id long, n_points long, text_sha256 string, keep_id long, group_size long, kept boolean, twin boolean, open boolean, part int, seq long"
+_SCHEMA = "doc_id long, n_points long, text_key long, text_sha256 string, keep_id long, group_size long, kept boolean, twin boolean, open boolean, part int, seq long"
 
 
 def normalised(text: Column) -> Column:
@@ -33,7 +34,7 @@ def normalised(text: Column) -> Column:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_points", pa.int64()), ("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("kept", pa.bool_()), ("twin", pa.bool_()), ("open", pa.bool_()), ("part", pa.int32()), ("seq", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_points", pa.int64()), ("text_key", pa.int64()), ("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("kept", pa.bool_()), ("twin", pa.bool_()), ("open", pa.bool_()), ("part", pa.int32()), ("seq", pa.int64())])
     part, seq = TaskContext.get().partitionId(), 0
     out: list[tuple] = []
     text, run, is_open, first = None, [], True, True
@@ -43,19 +44,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if run:
             sha = hashlib.sha256(text.encode()).hexdigest()
             if is_open or last:
-                out.extend((i, n, sha, None, None, None, None, True, part, k) for i, n, k in run)
+                out.extend((i, n, key, sha, None, None, None, None, True, part, k) for i, n, key, k in run)
             else:
-                ids = [i for i, _, _ in run]
-                twins = len(set(ids)) < len(ids)
-                out.extend((i, n, sha, ids[0], len(run), k == run[0][2], twins and ids.count(i) > 1, False, part, k) for i, n, k in run)
+                rows = Tally((i, key) for i, _, key, _ in run)
+                out.extend((i, n, key, sha, run[0][0], len(run), k == run[0][3], rows[i, key] > 1, False, part, k) for i, n, key, k in run)
         run = []
 
     for batch in batches:
-        for doc_id, points, norm in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        for doc_id, points, key, norm in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
             if norm != text:
                 end(False)
                 text, is_open, first = norm, first, False
-            run.append((doc_id, points, seq))
+            run.append((doc_id, points, key, seq))
             seq += 1
             if len(run) >= HELD_ROWS:
                 is_open = True
@@ -69,34 +69,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_points and twin.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_key and twin.
 
     Of texts that are equal once white space is deleted, the row with the most code points in the original text stays,
     then the smallest id (null after all others), then any one of identical rows. Null text counts as empty, and all
     empty texts form one group. ``keep_id`` is null if only rows with a null id are in the group. ``twin`` marks rows
-    whose id occurs more than once in their group. Other columns of ``docs`` are not read. An empty table gives an
+    that may not be the only one with their id and text, ``text_key`` is a 64-bit digest of the original text. Other columns of ``docs`` are not read. An empty table gives an
     empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_points"), normalised(F.col(text_col)).alias("norm"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_points"), F.xxhash64(text_col).alias("text_key"), normalised(F.col(text_col)).alias("norm"))
     order = [F.substring("norm", 1, _PREFIX), F.xxhash64("norm"), F.col("n_points").desc(), F.col("doc_id").asc_nulls_last()]
     spread = rows.repartitionByRange(partitions or shuffle_partitions(spark), *order)
-    ordered = spread.sortWithinPartitions(*order[:2], F.col("norm"), *order[2:]).select("doc_id", "n_points", "norm")
+    ordered = spread.sortWithinPartitions(*order[:2], F.col("norm"), *order[2:]).select("doc_id", "n_points", "text_key", "norm")
     found = written(ordered.mapInArrow(_runs, _SCHEMA))
     rank = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("part").alias("d"), F.col("seq").alias("e"))
     left = found.where("open").drop("keep_id", "group_size", "kept", "twin").withColumn("rank", rank)
     group = left.groupBy("text_sha256").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
     left = left.join(group, "text_sha256").withColumns({"keep_id": F.col("best.c"), "kept": F.col("rank") == F.col("best"), "twin": F.col("group_size") > 1})
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_points", "twin"]
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "text_key", "twin"]
     return found.where("not open").select(columns).unionByName(left.select(columns))
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns untouched; of identical (id, text) rows one stays."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_points"), F.col("twin").alias("_twin"))
-    kept = written(kept)
-    keyed = docs.withColumns({"_sha_": F.sha2(normalised(F.col(text_col)), 256), "_points_": F.coalesce(F.length(text_col), F.lit(0)).cast("long")})
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha_") == F.col("_sha")) & (F.col("_points_") == F.col("_points"))
-    single = keyed.join(kept.where("not _twin"), match, "left_semi")
-    again = keyed.join(kept.where("_twin"), match, "left_semi").dropDuplicates([id_col, "_sha_", "_points_"])
-    return single.unionByName(again).select(docs.columns)
+    return surviving(docs, exact_duplicates(docs, id_col, text_col), id_col, text_col)

@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corvane.llm.common import chunks_of_bytes, mix64
+from corvane.llm.common import chunks_of_bytes, mix64, surviving
 from corvane.operators.components import connected_components
-from corvane.session import shuffle_partitions, written
+from corvane.session import arrow_rows, shuffle_partitions, written
 
 #: Lists with more sets than this are heavy.
 HEAVY = 32
@@ -158,6 +159,16 @@ def sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(-1, SKETCH_WORDS)
 
 
+def fine_sketches(values: np.ndarray, starts: np.ndarray, different: np.ndarray) -> pa.ListArray:
+    """Parity sketches of eight bits and more for each of ``different`` shingles, a power of two of 64-bit words each."""
+    width = 1 << np.ceil(np.log2(np.maximum(SKETCH_WORDS, different / 8))).astype(np.int64)
+    first = np.append(0, np.cumsum(width))
+    sizes = np.diff(starts)
+    bit = (mix64(values ^ _U(0x6A09E667F3BCC909)) & (np.repeat(width, sizes) * 64 - 1).astype(_U)).astype(np.int64)
+    odd = (np.bincount(np.repeat(first[:-1] * 64, sizes) + bit, minlength=int(first[-1]) * 64) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.packbits(odd).view(np.int64)))
+
+
 @dataclass(frozen=True)
 class _Segments:
     """Sets split by one band's segments: for each (set, segment) in order the count and two half sums."""
@@ -202,7 +213,7 @@ def _describe(words: int, percent: int):
             split = _segments(values, sizes, np.where(sizes > 0, b.segments[own], 0))
             short = b.segments[own] + b.double[own] - b.most_different(sizes) - _empty(b, sizes, split, own)
             words_of = sketches(values, starts)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), pa.array(fingerprints(values, starts).view(np.int64)), pa.array(short), *(pa.array(words_of[:, i]) for i in range(SKETCH_WORDS))], names=["doc_id", "n", "node", "short", *(f"s{i}" for i in range(SKETCH_WORDS))])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(sizes), pa.array(fingerprints(values, starts).view(np.int64)), pa.array(short), *(pa.array(words_of[:, i]) for i in range(SKETCH_WORDS)), fine_sketches(values, starts, b.most_different(sizes))], names=["doc_id", "text_key", "n", "node", "short", *(f"s{i}" for i in range(SKETCH_WORDS)), "fine"])
 
     return run
 
@@ -341,6 +352,17 @@ def _may_link(left: str, right: str, percent: int) -> Column:
     return (l("n") * 100 >= r("n") * percent) & (r("n") * 100 >= l("n") * percent) & (apart <= most)
 
 
+def _apart(left: Column, right: Column) -> Column:
+    """The Hamming distance of two fine sketches; the longer is folded to the shorter's length."""
+
+    def folded(a: Column, to: Column) -> Column:
+        half = F.shiftright(F.size(a), 1)
+        return F.when(F.size(a) > F.size(to), F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(a)
+
+    both = F.zip_with(folded(left, right), folded(right, left), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(both, F.lit(0), lambda s, x: s + x)
+
+
 class Join:
     """One run of the join; the steps leave small tables in the shared folder."""
 
@@ -350,8 +372,8 @@ class Join:
         self.words, self.percent = words, percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         sketch = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
-        self.described = written(self.docs.mapInArrow(_describe(words, percent), f"doc_id long, n long, node long, short long, {sketch}"))
-        rest = [F.any_value(c).alias(c) for c in ("n", "short", *(f"s{i}" for i in range(SKETCH_WORDS)))]
+        self.described = written(self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(words, percent), f"doc_id long, text_key long, n long, node long, short long, {sketch}, fine array<long>"))
+        rest = [F.any_value(c).alias(c) for c in ("n", "short", *(f"s{i}" for i in range(SKETCH_WORDS)), "fine")]
         self.nodes = written(self.described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), *rest))
 
     def stars(self) -> DataFrame:
@@ -364,6 +386,14 @@ class Join:
         found = lists.mapInArrow(_stars, "leader long, node long, light long, heavy long")
         return written(found.groupBy("leader", "node").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")))
 
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, apart) of the pairs whose fine sketches differ in no more than similar sets may."""
+        fine = self.nodes.select("node", "n", "fine")
+        side = lambda x: fine.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}"))
+        most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - self.percent) / (100 + self.percent))
+        found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _apart(F.col("fine_a"), F.col("fine_b")).alias("apart"), most.alias("most"))
+        return written(found.where("apart <= most").select("a", "b", "apart"))
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes that are similar, judged on their whole sets."""
         need = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
@@ -371,7 +401,8 @@ class Join:
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
         sets = written(texts.mapInArrow(_set_rows(self.words), "node long, values binary").join(need, "node", "left_semi").dropDuplicates(["node"]))
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("values").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("values").alias("left")), "a")
-        return written(both.select("a", "b", "left", "right").mapInArrow(_verify(self.percent), "a long, b long"))
+        with arrow_rows(self.docs.sparkSession, 128):  # a row holds two whole sets
+            return written(both.select("a", "b", "left", "right").mapInArrow(_verify(self.percent), "a long, b long"))
 
     def components(self) -> DataFrame:
         """(node, component) of every node with a link to another."""
@@ -381,7 +412,7 @@ class Join:
         members = written(members.select("leader", "node", "light", "needy", "n", *(f"s{i}" for i in range(SKETCH_WORDS))))
         heads = self.nodes.alias("h")
         near = members.where("leader <> node").alias("m").join(heads, F.col("m.leader") == F.col("h.node")).where(_may_link("m", "h", self.percent))
-        links = self.linked(written(near.select(F.col("m.leader").alias("a"), F.col("m.node").alias("b"))))
+        links = self.linked(self.close(near.select(F.col("m.leader").alias("a"), F.col("m.node").alias("b"))))
         parts = written(connected_components(links, "a", "b"))
         placed = members.where("leader <> node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = written(placed)
@@ -389,11 +420,36 @@ class Join:
         before = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
         reach = ((F.col("x.light") > 0) & (F.col("y.light") > 0)) | F.col("x.needy")
         apart = small.join(large, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.component") != F.col("y.component")) & before & reach & _may_link("x", "y", self.percent))
-        rest = written(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-        if rest.isEmpty():
-            return parts
-        more = self.linked(rest)
-        return parts if more.isEmpty() else written(connected_components(links.unionByName(more), "a", "b"))
+        rest = self.close(apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+        # the likeliest links first: most pairs come to lie in one component before they are looked at
+        for most in (1, 8, None):
+            if rest.isEmpty():
+                break
+            place = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+            ranked = written(rest.withColumn("place", place))
+            turn = ranked.where(F.col("place") <= most) if most else ranked
+            more = self.linked(turn.select("a", "b"))
+            if not more.isEmpty():
+                links = written(links.unionByName(more))
+                parts = written(connected_components(links, "a", "b"))
+            if not most:
+                break
+            of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))  # noqa: B023, E731
+            left = ranked.where(F.col("place") > most).join(of("a"), "a", "left").join(of("b"), "b", "left")
+            rest = written(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "apart"))
+        return parts
+
+
+def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, n_shingles, class (a node of the component; null for an empty set) and component_id of each row."""
+    run = Join(docs, words, percent, id_col, text_col)
+    ids = run.components().join(run.nodes, "node").select("component", "node", "first_id")
+    least = ids.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    moved = ids.join(least, "component").select("node", "component", "least_id")
+    known = run.nodes.select("node", "first_id").join(moved, "node", "left").select("node", F.coalesce("component", "node").alias("class"), F.coalesce("least_id", "first_id").alias("component_id"))
+    rows = run.described.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node")
+    empty = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"))
+    return rows.where("n_shingles > 0").join(known, "node").select("doc_id", "text_key", "n_shingles", "class", "component_id").unionByName(empty)
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,12 +464,17 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     Sets are compared on 64-bit digests of shingles: two different shingles of a pair are taken for one with a
     probability of about (shingles of both / 2) ^ 2 / 2 ^ 64.
     """
-    run = Join(docs, words, percent, id_col, text_col)
-    parts = run.components()
-    ids = parts.join(run.nodes, "node").select("component", "node", "first_id")
-    least = ids.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    moved = ids.join(least, "component").select("node", "least_id")
-    known = run.nodes.select("node", "first_id").join(moved, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"))
-    rows = run.described.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.where("n_shingles > 0").join(known, "node").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    return _classes(docs, words, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which each stands for its component, all columns untouched.
+
+    The smallest id stays (null after all others); rows without shingles all stay.
+    """
+    rows = written(_classes(docs, words, percent, id_col, text_col).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))))
+    some = rows.where("class is not null")
+    best = some.groupBy("class").agg(F.min("rank").alias("best"))
+    judged = some.join(best, "class").select("doc_id", "text_key", (F.col("rank") == F.col("best")).alias("kept"), "class")
+    same = judged.where("kept").groupBy("class").agg((F.count(F.lit(1)) > 1).alias("twin"))
+    return surviving(docs, judged.join(same, "class").select("doc_id", "text_key", "kept", "twin"), id_col, text_col)

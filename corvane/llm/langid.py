@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +25,7 @@ from corvane.llm.common import kept_in_worker, mix64
 from corvane.session import written
 
 UNDETERMINED = "und"
+LETTER = regex.compile(r"\p{L}")
 _U = np.uint64
 #: Characters that are worked on at once; longer texts are read in pieces whose counts are added up.
 PIECE = 1 << 19
@@ -191,10 +193,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """Learn from the rows that are not held out, then add lang_pred, score, held_out and accepted to each row's id.
+def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a language and a score of at least ``min_score``, all columns untouched; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    A row is accepted if it has a language and a score of at least ``min_score``.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep = np.zeros(len(texts), bool)
+            if own.languages and texts:
+                counts, total = corrected_counts(own, texts)
+                keep = (counts.max(axis=1) >= min_score * np.maximum(total, 1)) & np.array([LETTER.search(t) is not None for t in texts])
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """Learn from the rows that are not held out, then give doc_id, lang_pred, score and held_out of every row."""
     model = learn(docs.where(~held_out()))
-    return predict(docs, model).withColumns({"held_out": F.coalesce(held_out(), F.lit(False)), "accepted": (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)})
+    return predict(docs, model).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
