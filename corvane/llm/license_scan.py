@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import written
+
 # Spellings that count as equal, after lower-casing.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub-license", "sublicense"), ("acknowledgement", "acknowledgment"), ("copyright holder", "copyright owner"), ("favour", "favor"), ("organisation", "organization"), ("whilst", "while"), ("noncommercial", "non-commercial"), ("https://", "http://"))
 # Licence notices and the short licences, as published.
@@ -56,7 +58,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     or digit; repeated rows give repeated matches, a null id stays null, other columns are not read. Whole texts that
     are one line are reported once, as whole texts. The join reads ``known`` as the planner sees fit: its size decides.
     """
-    known = catalogue(docs.sparkSession) if known is None else known
+    known = written(catalogue(docs.sparkSession)) if known is None else known
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))

@@ -81,7 +81,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Rows with the same id, source and size share one decision, the most copies that any of them got.
     """
     counts = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    counts = written(counts.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").cast("int").alias("_copies")))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (words(F.col(text_col)) == F.col("_size"))
-    taken = docs.join(counts, match).withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
+    counts = written(counts.groupBy(F.col("doc_id").alias("__corvane_id"), F.col("source").alias("__corvane_source"), F.col("size").alias("__corvane_size")).agg(F.max("copies").cast("int").alias("__corvane_copies")))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("__corvane_id")) & F.col(source_col).eqNullSafe(F.col("__corvane_source")) & (words(F.col(text_col)) == F.col("__corvane_size"))
+    taken = docs.join(counts, match).withColumn("__corvane_again", F.explode(F.array_repeat(F.lit(0), F.col("__corvane_copies"))))
     return taken.select(*docs.columns)

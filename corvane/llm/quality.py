@@ -48,8 +48,8 @@ def _posterior(labelled: DataFrame, keys: list[str], prior: str) -> DataFrame:
     spread = groups.agg(F.sum(F.col("n") * (rate - F.col("p")) ** 2).alias("between"), F.sum(within).alias("expected"), F.sum("n").alias("labels"), F.sum(F.col("n") * within).alias("weight"), F.count(F.lit(1)).alias("groups"))
     between = F.greatest((F.col("between") - F.col("expected")) / F.col("labels"), F.lit(1e-9))
     strength = F.when(F.col("groups") > 1, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("weight") / F.col("labels") / between))).otherwise(F.lit(10.0))
-    one = spread.select(strength.alias("strength"))  # one row
-    return groups.crossJoin(F.broadcast(one)).select(*keys, ((F.col("k") + F.col("strength") * F.col("p")) / (F.col("n") + F.col("strength"))).alias("rate"))
+    held = F.lit(spread.select(strength).first()[0])
+    return groups.select(*keys, ((F.col("k") + held * F.col("p")) / (F.col("n") + held)).alias("rate"))
 
 
 def _logit(p: Column) -> Column:
