@@ -46,3 +46,10 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long: from now on Arrow batches of this session have ``rows`` rows at most, unless it set a number itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
