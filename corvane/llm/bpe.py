@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import kept_in_worker
+from corvane.session import bound_batches
 
 # Code points that the pattern library counts as letters or digits, but the tokenizer's Unicode 16 does not.
 _NEWER = (
@@ -42,7 +43,7 @@ _MARK = rf"[[^\p{{White_Space}}\p{{L}}\p{{N}}]||{_NEWER}]"
 PRE_TOKEN = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?{_MARK}+|{_S}+(?!\P{{White_Space}})|{_S}+"
 ONE_KIND = rf"(?V1) ?{_L}+| ?{_N}+| ?{_MARK}+|{_S}"
 #: Distinct fragments that a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 120_000
 _SHORT = 60
 _NEVER = 1 << 64
 
@@ -214,6 +215,7 @@ def coder(vocabulary) -> Coder:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) for each row; null text counts as empty and has no ids."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(path))  # a vocabulary's size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +231,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text for rows of (doc_id, ids); null ids give an empty text."""
+    bound_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +249,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     One row for each row of ``docs``, repeated rows and null ids included; null text counts as empty. Strings of added
     tokens inside a text become those tokens. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import SPACE_CLASS, batch_of, surviving
-from corvane.session import shuffle_partitions, written
+from corvane.session import bound_batches, shuffle_partitions, written
 
 #: Rows of one group that a task holds before it leaves the group to the aggregation.
 HELD_ROWS = 4096
@@ -78,6 +78,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_points"), F.xxhash64(text_col).alias("text_key"), normalised(F.col(text_col)).alias("norm"))
     order = [F.substring("norm", 1, _PREFIX), F.xxhash64("norm"), F.col("n_points").desc(), F.col("doc_id").asc_nulls_last()]
     spread = rows.repartitionByRange(partitions or shuffle_partitions(spark), *order)

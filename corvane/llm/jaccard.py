@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from corvane.llm.common import chunks_of_bytes, mix64, surviving
 from corvane.operators.components import connected_components
-from corvane.session import arrow_rows, shuffle_partitions, written
+from corvane.session import arrow_rows, bound_batches, shuffle_partitions, written
 
 #: Lists with more sets than this are heavy.
 HEAVY = 32
@@ -369,6 +369,7 @@ class Join:
     def __init__(self, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str):
         if not 50 <= percent < 100 or words < 1:
             raise ValueError("percent is from 50 to 99 and words from 1")
+        bound_batches(docs.sparkSession)
         self.words, self.percent = words, percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         sketch = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.common import kept_in_worker, mix64
-from corvane.session import written
+from corvane.session import bound_batches, written
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -119,6 +119,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     relative frequency is at least ``share`` of the highest that any language has. Rows with a null or empty text or a
     null label are left out; with no rows left the model knows no language. ``slots`` is a power of two.
     """
+    bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not sizes:
@@ -182,6 +183,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     to the smaller name. ``und`` with score 0 stands for a null text, a text without a letter, or a model without
     languages. Repeated rows and null ids are answered like any others.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots x 8 bytes for each 64 languages
     lettered = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), lettered.alias("lettered"))
@@ -195,6 +197,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a language and a score of at least ``min_score``, all columns untouched; no shuffle."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

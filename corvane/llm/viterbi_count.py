@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import kept_in_worker
+from corvane.session import bound_batches
 
 MARK = "▁"
 _UNKNOWN_PENALTY = 10.0
@@ -104,6 +105,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     A null or empty text has 0 tokens. Null ids and repeated rows are answered like any others; other columns are not
     read. Texts are read whole, however long.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(path))  # a vocabulary's size is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
