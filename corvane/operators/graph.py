@@ -15,6 +15,8 @@ from corvane.session import written
 VERSION = "1.0.0"
 RELATIONS = ("CONTAINS", "DECLARES", "IMPORTS", "CALLS", "EXTENDS", "IMPLEMENTS", "DEPENDS_ON", "MODIFIES", "REFERENCES", "RESOLVES", "RELEASE_INCLUDES", "PARENT_OF", "AUTHORED", "REVIEWED", "PART_OF_SUBSYSTEM", "ABOUT", "DERIVED_FROM", "IMPLEMENTED_BY", "AFFECTS", "RECOMMENDED_BEFORE", "RELATED_TO")
 KINDS = ("deterministic", "derived", "inferred")
+#: Rounds after which an accumulated union is written anew, so that plans stay short at any depth.
+COMPACT = 8
 
 
 def nodes(df: DataFrame, entity_type: str, key: Column, name: Column, kind: str = "deterministic", confidence: float = 1.0) -> DataFrame:
@@ -198,17 +200,18 @@ def subgraph(node_table: DataFrame, edge_table: DataFrame, predicate: Column) ->
     return kept, edge_table.join(keys.withColumnRenamed("node", "src"), "src", "left_semi").join(keys.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def shortest_paths(source: int, edge_table: DataFrame, max_depth: int = 12) -> DataFrame:
-    """(node, depth, parent) of each node that ``source`` reaches; of several parents the smallest."""
+def shortest_paths(source: int, edge_table: DataFrame) -> DataFrame:
+    """(node, depth, parent) of each node that ``source`` reaches, at any depth; of several parents the smallest."""
     step = written(edge_table.select("src", "dst").distinct())
     seen = written(step.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
-    edge = seen
-    for d in range(1, max_depth + 1):
+    edge, d = seen, 0
+    while not edge.isEmpty():
+        d += 1
         new = edge.select(F.col("node").alias("src")).join(step, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         edge = written(new.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent"))
-        if edge.isEmpty():
-            break
         seen = seen.unionByName(edge)
+        if d % COMPACT == 0:
+            seen = written(seen)
     return seen
 
 
@@ -221,6 +224,8 @@ def path_to(target: int, tree: DataFrame) -> DataFrame:
     for d in range(depth - 1, 0, -1):
         edge = tree.where(F.col("depth") == d).join(edge.select(F.col("src").alias("node")), "node").select(F.col("depth").alias("step"), F.col("parent").alias("src"), F.col("node").alias("dst"))
         out = out.unionByName(edge)
+        if d % COMPACT == 0:
+            edge, out = written(edge), written(out)
     return out.where("src is not null")
 
 
@@ -229,37 +234,45 @@ def paths_unproven(paths: DataFrame, edge_table: DataFrame) -> DataFrame:
     return paths.join(edge_table.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def betweenness(edge_table: DataFrame, pivots: DataFrame, max_depth: int = 6) -> DataFrame:
-    """Betweenness summed over shortest paths from the ``pivots`` (node) only, up to ``max_depth``; an estimate unless they are all nodes."""
+def betweenness(edge_table: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Betweenness summed over the shortest paths of any length from the ``pivots`` (node) only; an estimate unless they are all nodes."""
     step = written(edge_table.select("src", "dst").distinct())
     levels = [written(pivots.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("paths")).distinct())]
     seen = levels[0].select("pivot", "node")
-    for _ in range(max_depth):
+    while True:
         new = levels[-1].join(step, F.col("node") == F.col("src")).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         new = written(new.join(seen, ["pivot", "node"], "left_anti"))
         if new.isEmpty():
             break
         levels.append(new)
         seen = seen.unionByName(new.select("pivot", "node"))
-    load, total = levels[-1].withColumn("load", F.lit(0.0)), None
+        if len(levels) % COMPACT == 0:
+            seen = written(seen)
+    load, total, n_loads = levels[-1].withColumn("load", F.lit(0.0)), None, 0
     for upper in reversed(levels[:-1]):
         down = upper.alias("u").join(step, F.col("u.node") == F.col("src")).join(load.alias("l"), (F.col("l.pivot") == F.col("u.pivot")) & (F.col("l.node") == F.col("dst")))
         got = down.groupBy(F.col("u.pivot").alias("pivot"), F.col("u.node").alias("node")).agg(F.sum(F.col("u.paths") / F.col("l.paths") * (1 + F.col("l.load"))).alias("load"))
         load = written(upper.join(got, ["pivot", "node"], "left").withColumn("load", F.coalesce("load", F.lit(0.0))))
         total = load if total is None else total.unionByName(load)
+        n_loads += 1
+        if n_loads % COMPACT == 0:
+            total = written(total)
     if total is None:
         return step.select(F.col("src").alias("node"), F.lit(0.0).alias("betweenness")).limit(0)
     return total.where("node <> pivot").groupBy("node").agg(F.sum("load").alias("betweenness"))
 
 
-def learning_order(edge_table: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, layer) where what a node depends on comes in an earlier layer; nodes on a cycle share their group's layer."""
+def learning_order(edge_table: DataFrame) -> DataFrame:
+    """(node, layer) where what a node depends on comes in an earlier layer; nodes on a cycle share their group's layer.
+
+    The groups form no cycle, so layers settle after as many rounds as the longest chain of groups has.
+    """
     groups = dependency_cycles(edge_table).select("node", F.col("component").alias("grp"))
     of = written(vertex_set(edge_table).join(groups, "node", "left").select("node", F.coalesce("grp", "node").alias("grp")))
     step = edge_table.join(of.select(F.col("node").alias("src"), F.col("grp").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("grp").alias("b")), "dst").where("a <> b").select("a", "b").distinct()
     step = written(step)
     layers = written(of.select("grp").distinct().withColumn("layer", F.lit(0)))
-    for _ in range(max_rounds):
+    while True:
         need = step.join(layers.select(F.col("grp").alias("b"), "layer"), "b").groupBy(F.col("a").alias("grp")).agg((F.max("layer") + 1).alias("up"))
         new = written(layers.join(need, "grp", "left").select("grp", F.coalesce("up", F.lit(0)).alias("layer")))
         if new.exceptAll(layers).isEmpty():
@@ -268,6 +281,13 @@ def learning_order(edge_table: DataFrame, max_rounds: int = 100) -> DataFrame:
     return of.join(layers, "grp").select("node", "layer")
 
 
+def learning_places(layers: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(node, layer, place): rows of ``learning_order`` numbered from 1 by layer, then from the highest rank (node, rank), then by node."""
+    order = layers.join(ranks, "node").select("node", "layer", F.round("rank", 8).alias("rank")).orderBy("layer", F.desc("rank"), "node")
+    numbered = order.select("node", "layer").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] + 1))
+    return layers.sparkSession.createDataFrame(numbered, "node long, layer int, place long")
+
+
 def subsystem_edges(edge_table: DataFrame, membership: DataFrame) -> DataFrame:
     """(src_subsystem, dst_subsystem, n_edges) between different subsystems."""
     a = membership.select(F.col("file_id").alias("src"), F.col("subsystem").alias("src_subsystem"))

@@ -171,7 +171,7 @@ def betweenness(t: Tables) -> DataFrame:
 
 @query("learning_order")
 def learning_order(t: Tables) -> DataFrame:
-    return graph.learning_order(imports(t))
+    return graph.learning_places(graph.learning_order(imports(t)), graph.pagerank(imports(t), 10))
 
 
 MEMBERS = "m as (select file_id, directory as subsystem from v_files)"

@@ -166,3 +166,20 @@ def test_checks_on_nulls_and_masks(spark):
     assert checks.orphans(df, "status", df, "status").count() == 0
     row = spark.range(1).select(tx.mask_secrets(F.lit('token = "abc" a@b.org')).alias("m"), tx.normal_path(F.lit("/./a//b")).alias("p"), tx.intent(F.lit("Who wrote it?")).alias("i")).first()
     assert row.m == 'token = "***" <email>' and row.p == "a/b" and row.i == "contributor"
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(1, 16)])
+    tree = graph.shortest_paths(1, chain)
+    assert {r.node: (r.depth, r.parent) for r in tree.collect()} == {i: (i - 1, i - 1 if i > 1 else None) for i in range(1, 17)}
+    assert sorted(map(tuple, graph.path_to(16, tree).collect())) == [(i, i, i + 1) for i in range(1, 16)]
+    pivots = spark.createDataFrame([(i,) for i in range(1, 17)], "node long")
+    assert {r.node: r.betweenness for r in graph.betweenness(chain, pivots).collect() if r.betweenness} == {i: float((i - 1) * (16 - i)) for i in range(2, 16)}
+
+
+def test_learning_order_beyond_a_hundred_groups(spark):
+    layers = graph.learning_order(edges(spark, [(i, i + 1) for i in range(1, 105)]))
+    assert {r.node: r.layer for r in layers.collect()} == {i: 105 - i for i in range(1, 106)}
+    few = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "node long, layer int")
+    ranks = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.7)], "node long, rank double")
+    assert {r.node: r.place for r in graph.learning_places(few, ranks).collect()} == {3: 1, 2: 2, 1: 3}
