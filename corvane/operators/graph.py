@@ -162,17 +162,30 @@ def bridge_nodes(edge_table: DataFrame, labels: DataFrame, least: int = 2) -> Da
     return near.groupBy("node").agg(F.count_distinct("label").alias("n_communities")).where(F.col("n_communities") >= least)
 
 
-def co_change(commit_files: DataFrame, max_files: int = 1000, min_support: int = 2) -> DataFrame:
+def co_change(commit_files: DataFrame, min_support: int = 2, large: int = 1000, blocks: int = 32) -> DataFrame:
     """(file_a, file_b, support, confidence, lift) of file pairs changed together in ``min_support`` commits or more.
 
-    Commits that touch more than ``max_files`` files are mass changes, and count neither for pairs nor for totals.
+    Every commit counts. Pairs inside commits of more than ``large`` files are not all listed: those that a smaller commit has,
+    too, are looked up, and others can only be of files in ``min_support`` large commits; these are joined in ``blocks``.
     """
-    rows = commit_files.select("sha", "file_id").distinct()
-    usual = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_files).select("sha")
-    rows = written(rows.join(usual, "sha", "left_semi"))
+    rows = written(commit_files.select("sha", "file_id").where("sha is not null").distinct())
     total = rows.agg(F.count_distinct("sha").alias("n_commits"))  # one row
-    each = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = rows.select("sha", F.col("file_id").alias("file_a")).join(rows.select("sha", F.col("file_id").alias("file_b")), "sha").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+    each = written(rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")))
+    able = written(rows.join(each.where(F.col("n") >= min_support), "file_id", "left_semi"))
+    mass = able.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("sha")
+    big = written(able.join(mass, "sha", "left_semi"))
+    usual = able.join(mass, "sha", "left_anti")
+    support = F.count(F.lit(1)).alias("support")
+    pairs = usual.select("sha", F.col("file_id").alias("file_a")).join(usual.select("sha", F.col("file_id").alias("file_b")), "sha").where("file_a < file_b").groupBy("file_a", "file_b").agg(support)
+    if not big.isEmpty():
+        few = written(pairs)
+        more = few.select("file_a", "file_b").join(big.select("sha", F.col("file_id").alias("file_a")), "file_a").join(big.select("sha", F.col("file_id").alias("file_b")), ["sha", "file_b"]).groupBy("file_a", "file_b").agg(support)
+        again = big.join(big.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support), "file_id", "left_semi")
+        a = again.select("sha", F.col("file_id").alias("file_a"), F.pmod(F.xxhash64("file_id"), F.lit(blocks)).alias("block"))
+        b = again.select("sha", F.col("file_id").alias("file_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        only = a.join(b, ["sha", "block"]).where("file_a < file_b").groupBy("file_a", "file_b").agg(support).join(few, ["file_a", "file_b"], "left_anti")
+        pairs = few.unionByName(more).groupBy("file_a", "file_b").agg(F.sum("support").alias("support")).unionByName(only)
+    pairs = pairs.where(F.col("support") >= min_support)
     out = pairs.join(each.select(F.col("file_id").alias("file_a"), F.col("n").alias("n_a")), "file_a").join(each.select(F.col("file_id").alias("file_b"), F.col("n").alias("n_b")), "file_b").crossJoin(F.broadcast(total))
     return out.select("file_a", "file_b", "support", F.round(F.col("support") / F.col("n_a"), 6).alias("confidence"), F.round(F.col("support") * F.col("n_commits") / (F.col("n_a") * F.col("n_b")), 6).alias("lift"))
 

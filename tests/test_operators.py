@@ -1,5 +1,8 @@
 """Small cases: URLs, registry, payloads, loading, graph metrics, retrieval and evaluation."""
 
+from collections import Counter
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +186,16 @@ def test_learning_order_beyond_a_hundred_groups(spark):
     few = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "node long, layer int")
     ranks = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.7)], "node long, rank double")
     assert {r.node: r.place for r in graph.learning_places(few, ranks).collect()} == {3: 1, 2: 2, 1: 3}
+
+
+def test_co_change_counts_large_commits(spark):
+    small = {1: [1, 2], 2: [1, 2, 3], 3: [3, 5000, 5001], 4: [1], 5: [5000, 7]}
+    commits = {**small, 10: list(range(1, 1101)), 11: [1, 2, *range(5, 9), *range(2000, 3000)], 12: [5, 6, *range(4000, 5002)]}
+    each, support = Counter(f for files in commits.values() for f in files), Counter()
+    for files in commits.values():
+        support.update(combinations(sorted(f for f in files if each[f] > 1), 2))
+    want = {(a, b): (n, round(n / each[a], 6), round(n * len(commits) / (each[a] * each[b]), 6)) for (a, b), n in support.items() if n > 1}
+    rows = spark.createDataFrame([(c, f) for c, files in commits.items() for f in files], "sha long, file_id long")
+    for large in (1000, 2, 5000):
+        got = {(r.file_a, r.file_b): (r.support, r.confidence, r.lift) for r in graph.co_change(rows, large=large).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
