@@ -3,7 +3,7 @@
 Queries go in blocks of a fixed size, so what each task receives is bounded; every block visits all shards. A shard is as
 many vectors as a task gathers; its tree's nodes are visited in order of their upper bound, <q, c> + |q| r for a ball of
 centre c and radius r, for all queries at once that the bound still allows. The k-th best score so far of each query is
-shared by all shards of a task, and starts from the scores among the block's own vectors, so the first shard prunes, too.
+shared by all shards of a task, and starts from the scores of those of the block's own vectors that are in the corpus, so the first shard prunes, too.
 """
 
 from __future__ import annotations
@@ -125,11 +125,11 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 def _searcher(block, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {}
-        for dimension, (ids, queries) in block.value.items():
+        for dimension, (ids, queries, known) in block.value.items():
             best[dimension] = Best(ids, queries, k)
             seeds = Best(ids, queries, k)
-            for a in range(0, min(len(ids), 512), LEAF):
-                rows = np.arange(a, min(a + LEAF, len(ids), 512))
+            for a in range(0, len(known), LEAF):
+                rows = known[a : a + LEAF]
                 seeds.offer(np.arange(len(ids)), seeds.exact(queries, rows, np.arange(len(ids))), ids[rows])
             best[dimension].least = seeds.least
         held: dict[int, list] = {}
@@ -170,16 +170,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         return rows.groupBy("id").agg(F.min("v").alias("v"))
 
     corpus, asked = written(clean(vectors)), written(clean(queries))
+    # only a vector that is a candidate itself may set a bound
+    known = corpus.join(asked.select("id", F.col("v").alias("own")), "id").where("v = own").select("id", F.lit(True).alias("known"))
+    asked = written(asked.join(known, "id", "left").select("id", "v", F.coalesce("known", F.lit(False)).alias("known")))
     blocks = -(-asked.count() // BLOCK)
     found = None
     for i in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()  # about BLOCK rows
         ids, column = own.column(0).to_numpy(), own.column(1).combine_chunks()
-        lengths = column.value_lengths().to_numpy()
+        lengths, in_corpus = column.value_lengths().to_numpy(), own.column(2).to_numpy()
         parts = {}
         for dimension in np.unique(lengths).tolist():
             rows = np.flatnonzero(lengths == dimension)
-            parts[dimension] = (ids[rows], _matrix(column.take(pa.array(rows)), dimension) if dimension else np.zeros((len(rows), 0)))
+            parts[dimension] = (ids[rows], _matrix(column.take(pa.array(rows)), dimension) if dimension else np.zeros((len(rows), 0)), np.flatnonzero(in_corpus[rows])[:512])
         part = corpus.mapInArrow(_searcher(spark.sparkContext.broadcast(parts), k), "query_id long, vec_id long, score long")
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -76,6 +76,16 @@ def test_top_k_equals_brute_force(spark, n, dimension, spread, monkeypatch):
     assert got == brute(whole, [w for w in whole if w[0] % 100 == 0], 10)
 
 
+def test_top_k_of_queries_from_elsewhere(spark):
+    """Queries that are not rows of the corpus, or share an id with another vector, set no bound."""
+    rng = np.random.default_rng(5)
+    corpus = [(i, [int(x) for x in v]) for i, v in enumerate(rng.integers(-9, 9, (300, 4)))]
+    asked = [(i, [int(x) for x in v]) for i, v in zip([*range(900, 930), 3, 4], rng.integers(50, 99, (32, 4)), strict=True)] + [corpus[7]]
+    frame = lambda rows: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(frame(corpus), frame(asked), 10, scale=1).collect()]
+    assert len(got) == 330 and set(got) == brute(corpus, asked, 10)
+
+
 def test_top_k_beyond_double_precision(spark):
     rows = [(0, [1e12, 3.0]), (1, [1e12, 2.0]), (2, [1e12, 1.0]), (3, [-1e12, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
