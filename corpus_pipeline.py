@@ -7,6 +7,7 @@ columns of ``docs``. Stages never look at what an earlier one dropped.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm import bpe, exact_dedup, jaccard, langid, mixing
 from corvane.session import written
@@ -16,9 +17,9 @@ LEAST_SCORE = 0.1
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, and texts in none of the learned languages."""
-    model = langid.learn(docs.where(~langid.held_out()))
-    return langid.accepted(docs, model, LEAST_SCORE)
+    """Drops texts without a letter, and texts in none of the learned languages; all labelled rows are learned from. With no label, texts with a letter stay."""
+    model = langid.learn(docs)
+    return langid.accepted(docs, model, LEAST_SCORE) if model.languages else docs.where(F.col("text").rlike("\\p{L}"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ that the model is fitted on, chosen by a hash of the id); ``predict`` reads whol
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,8 @@ class Model:
 
 
 def _is_letter() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    """Letters, and the marks that are written with them."""
+    return np.fromiter((chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
 
 
 def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +118,8 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     """Fit the filters on at most about ``max_docs`` rows of each of the ``max_languages`` most frequent languages.
 
     A language's filter holds its ``max_grams`` most frequent n-grams that occur at least ``min_count`` times and whose
-    relative frequency is at least ``share`` of the highest that any language has. Rows with a null or empty text or a
+    relative frequency is at least ``share`` of the highest that any language has; of a sample of at most ``max_grams``
+    n-grams in all, single ones count, too. Rows with a null or empty text or a
     null label are left out; with no rows left the model knows no language. ``slots`` is a power of two.
     """
     bound_batches(labelled.sparkSession)
@@ -130,7 +133,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     counted = written(sample.mapInArrow(_counter(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    rate = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("n") >= min_count) & (F.col("rate") >= share * F.col("top")))
+    rate = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(((F.col("n") >= min_count) | (F.col("total") <= max_grams)) & (F.col("rate") >= share * F.col("top")))
     rate = rate.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= max_grams)
     known = rate.select("lang", "gram").toArrow()  # at most max_grams for each language
     names, gram = np.array(known.column(0).to_pylist(), object), known.column(1).to_numpy().view(_U)
@@ -195,20 +198,26 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a language and a score of at least ``min_score``, all columns untouched; no shuffle."""
+def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` with a letter and a score of at least ``min_score``, all columns untouched; no shuffle.
+
+    What can't be judged stays, if it has a letter: texts of so few n-grams that ``min_score`` is less than one of them, and
+    texts labelled with a language that the model does not know. A model without languages accepts nothing.
+    """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, label = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        known = {None, *own.languages}
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keep = np.zeros(len(texts), bool)
             if own.languages and texts:
                 counts, total = corrected_counts(own, texts)
-                keep = (counts.max(axis=1) >= min_score * np.maximum(total, 1)) & np.array([LETTER.search(t) is not None for t in texts])
+                unknown = np.array([x not in known for x in batch.column(label).to_pylist()])
+                keep = np.array([LETTER.search(t) is not None for t in texts]) & ((counts.max(axis=1) >= min_score * total) | (min_score * total < 1) | unknown)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -83,3 +84,16 @@ def test_stages_on_hard_and_empty_rows(spark):
             after = corpus_pipeline.written(stage(spark, start, ""))
             assert after.columns == start.columns
             start = after
+
+
+def test_language_stage_keeps_what_it_cannot_judge(spark):
+    common = [(i, f"the weather in the valley was fine and people walked along the river {i}", "en") for i in range(1, 60)]
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rare = [(held, "mvua kubwa ilinyesha usiku kucha milimani", "sw")]
+    short = [(201, "a b c", "en"), (202, "zq", None), (203, "\u0915\u093f \u0915\u0940 \u0917\u0941 \u0938\u0947", None)]
+    bad = [(301, "12 34 !!", "en"), (302, "xkqj zzvw qqpx wvkz jjqx", None)]
+    frame = lambda rows: spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stay = lambda rows: {r.doc_id for r in corpus_pipeline.keep_known_language(spark, frame(rows), "").collect()}
+    assert stay(common + rare + short + bad) == {i for i, _, _ in common + rare + short}
+    unlabelled = [(i, t, None) for i, t, _ in common + short + bad]
+    assert stay(unlabelled) == {i for i, _, _ in unlabelled} - {301}
