@@ -6,7 +6,9 @@ each entire line of it (a notice often stands alone on a line), is looked up amo
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,23 @@ KNOWN = (
 )
 
 
+#: Full texts of licences, a file each that is named after the licence.
+TEXTS = Path(__file__).parent / "licenses"
+# The titles that short licences go by; they stand without one, too.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License")}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the full texts, of the short ones with each title and none, in lines as published and in one line a paragraph."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text, titles = path.read_text(encoding="utf-8"), TITLES.get(path.stem)
+        body = text.split("\n", 1)[1] if titles else text
+        for one in [f"{title}\n\n{body}" for title in titles] + [body] if titles else [text]:
+            out += [(path.stem, one), (path.stem, re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", one))]
+    return out
+
+
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, with one spelling, and words of letters and digits between single blanks."""
     text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?m)^[^a-z0-9\\n]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$", "")
@@ -46,9 +65,9 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def catalogue(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license_id) of the known licences; of texts that normalise alike the smaller id counts."""
-    return spark.createDataFrame(list(known), "license_id string, text string").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def catalogue(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(digest, license_id) of the known licences, by default of the notices and the full texts; of texts that normalise alike the smaller id counts."""
+    return spark.createDataFrame([*KNOWN, *full_texts()] if known is None else list(known), "license_id string, text string").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Language, BPE, token counts, licences, quality and chat."""
 
+import pathlib
 import random
 
 import numpy as np
@@ -103,6 +104,17 @@ def test_licence_spellings_and_lines(spark):
     assert got == {(1, 0, "MIT"), (2, 2, "CC-BY-NC-4.0"), (3, 0, "MIT"), (3, 2, "MIT")}
 
 
+def test_whole_licence_files(spark):
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in (pathlib.Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-3.0", "LGPL-3.0", "CC0-1.0", "Unlicense"} <= set(texts)
+    changed = [(name, "Copyright (c) 1999 Some One\n" + text.upper().replace(",", " ,").replace('"', "'")) for name, text in texts.items()]
+    body = texts["MIT"].split("\n", 1)[1]
+    changed += [("MIT", "The MIT License (MIT)\n\nCopyright 2020 A\n" + body), ("MIT", body), ("none", body[: len(body) // 2])]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(changed)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.scan(docs).where("line_no = 0").collect()}
+    assert got == {i: name for i, (name, _) in enumerate(changed) if name != "none"}
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     seen, held = labels.where("doc_id % 4 <> 0"), labels.where("doc_id % 4 = 0")
