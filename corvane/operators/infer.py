@@ -1,4 +1,4 @@
-"""Contributors, timelines, subsystems and decisions as rules over tables."""
+"""Contributors, timelines, subsystems and decisions as rules over tables (A4-A12, N2-N7, N10-N12, and parts of N1 and N9, P10-P18)."""
 
 from __future__ import annotations
 
