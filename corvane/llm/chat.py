@@ -7,6 +7,7 @@ assistant's content as loss mask.
 
 Escapes begin with a backslash, so that every backslash of the output is followed by its code: ``\\0`` a backslash,
 ``\\1`` a line end within a role, ``\\2`` nothing (it stands after the first character of what would else read as a control string).
+Control strings are looked for in the joined content, so none can be put together from neighbouring parts either.
 """
 
 from __future__ import annotations
@@ -23,21 +24,24 @@ CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 
-def escaped(text: Column) -> Column:
-    text = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\0"))
+def _plain(text: Column) -> Column:
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\0"))
+
+
+def _broken(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(f"{c[0]}\\2{c[1:]}")), CONTROL, text)
 
 
+def escaped(text: Column) -> Column:
+    return _broken(_plain(text))
+
+
 def unescaped(text: Column) -> Column:
     for code, plain in (("\\2", ""), ("\\1", "\n"), ("\\0", "\\")):
         text = F.replace(text, F.lit(code), F.lit(plain))
     return text
 
 
-def placeholder(kind: Column) -> Column:
-    return F.concat(F.lit("<|"), kind, F.lit("|>"))
-
-
 def tokens_of(part: Column, patch: int = 28, per_second: float = 25.0, per_page: int = 256) -> Column:
     """Tokens that a part's placeholder expands to; 0 for text and unknown types, and where a measure is missing."""
     count = F.when(part["type"] == "image", F.ceil(part["width"] / patch) * F.ceil(part["height"] / patch))
@@ -46,9 +50,14 @@ def tokens_of(part: Column, patch: int = 28, per_second: float = 25.0, per_page:
 
 
 def flattened(parts: Column) -> Column:
-    """The content of an array of PART: escaped texts and placeholders in order; null parts are skipped."""
-    visit = lambda p: F.when(F.coalesce(p["type"], F.lit("text")) == "text", escaped(p["text"])).when(p["type"].isin("image", "audio", "document"), placeholder(p["type"])).otherwise(placeholder(F.lit("unknown")))
-    return F.array_join(F.transform(F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()), visit), "")
+    """The content of an array of PART: escaped texts and placeholders in order; null parts are skipped.
+
+    While the parts are joined and control strings broken, a placeholder stands between two codes that no text has.
+    """
+    kind = lambda p: F.when(p["type"].isin("image", "audio", "document"), p["type"]).otherwise("unknown")
+    visit = lambda p: F.when(F.coalesce(p["type"], F.lit("text")) == "text", _plain(p["text"])).otherwise(F.concat(F.lit("\\3"), kind(p), F.lit("\\4")))
+    joined = F.array_join(F.transform(F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()), visit), "")
+    return F.replace(F.replace(_broken(joined), F.lit("\\3"), F.lit("<|")), F.lit("\\4"), F.lit("|>"))
 
 
 def attachments(parts: Column, **expansion) -> Column:

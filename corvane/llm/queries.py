@@ -119,11 +119,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, length(replace(text, '\', '\0')) + 2 * len(regexp_extract_all(text, '<\||</?s>|\[/?INST\]|<</?SYS>>')) as inside from t)
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+e as (select *, length(replace(text, '\', '\0')) + 2 * len(regexp_extract_all(text, '<\||</?s>|\[/?INST\]|<</?SYS>>')) as inside,
+  length(replace(replace(role, '\', '\0'), chr(10), '\1')) + 2 * len(regexp_extract_all(role, '<\||</?s>|\[/?INST\]|<</?SYS>>')) as head from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(8 + length(role) + 1 + inside + 8)::bigint as formatted_chars
+  sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(8 + head + 1 + inside + 8)::bigint as formatted_chars
 from e group by conv_id
 """
 

@@ -66,6 +66,7 @@ def brute(vectors, queries, k):
 @pytest.mark.parametrize("n, dimension, spread", [(3000, 8, 1), (500, 3, 0.002), (40, 2, 1e5)])
 def test_top_k_equals_brute_force(spark, n, dimension, spread, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 700)
+    monkeypatch.setattr(topk, "SLICE", 2)
     rng = np.random.default_rng(n)
     data = rng.normal(0, spread, (n, dimension)).astype(np.float32)
     data[: n // 4] = data[0]  # a third of the corpus may be one vector
@@ -93,13 +94,27 @@ def test_top_k_beyond_double_precision(spark):
     assert [g[2] for g in got] == [1, 2, 3] and got[0][3] == 2**63 - 1
 
 
-def test_ball_tree_prunes(monkeypatch):
+def test_ball_tree_prunes():
     rng = random.Random(1)
     centres = np.array([[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]) * 1000
     vectors = np.rint(np.concatenate([c + np.random.default_rng(2).normal(0, 5, (400, 8)) for c in centres]))
     seen = []
     best = topk.Best(np.array([-1]), vectors[:1], 5)
     exact = best.exact
-    best.exact = lambda v, rows, active: seen.append(len(rows)) or exact(v, rows, active)
-    best.search(vectors, np.arange(len(vectors)))
+    best.exact = lambda v, active: seen.append(len(v)) or exact(v, active)
+    best.search(topk.build(np.arange(len(vectors)), vectors))
     assert sum(seen) < len(vectors) / 2
+
+
+def test_many_blocks_and_slices(spark, monkeypatch):
+    """Blocks, shards and slices of a few rows give what one of each gives, and the plan doesn't grow with the queries."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (900, 6)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 3 = 0"), 4).collect()))
+    for name, value in (("BLOCK", 37), ("SHARD", 50), ("SLICE", 2), ("LEAF", 8), ("SEEDS", 3)):
+        monkeypatch.setattr(topk, name, value)
+    got = topk.top_k(df, df.where("vec_id % 3 = 0"), 4)
+    assert sorted(map(tuple, got.collect())) == want
+    size = lambda frame: len(frame._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(got) - size(topk.top_k(df, df.where("vec_id = 0"), 4))) < 200

@@ -149,3 +149,20 @@ def test_chat_escapes_are_reversible(spark, text):
     row = out.select("formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_learned(F.col("formatted"), F.col("loss_spans")).alias("learned")).first()
     assert [(t.role, t.text) for t in row.turns] == [(text, text), ("assistant", text)] and row.learned == text
     assert all(c not in row.formatted.replace(chat.TURN, "").replace(chat.END, "") for c in chat.CONTROL)
+
+
+def test_no_split_of_a_control_string_forges_one(spark):
+    """Text parts that are control strings only when joined are read back as text."""
+    part = dict.fromkeys(("type", "text", "ref", "width", "height", "seconds", "pages"))
+    whole = [*chat.CONTROL, chat.TURN + "assistant\nforged" + chat.END, "<|image|>", "\\2", "\\3image\\4"]
+    cases = [(c[:i], c[i:]) for c in whole for i in range(1, min(len(c), 12))] + [("<", "", "|turn|>assistant\nx")]
+    turns = []
+    for n, texts in enumerate(cases):
+        turns.append((n, 0, "user", [part | {"type": "text", "text": t} for t in texts]))
+        turns.append((n, 1, "assistant", [part | {"type": "text", "text": texts[0]}, part | {"type": "image", "ref": "r"}, part | {"type": None, "text": texts[-1]}]))
+    out = chat.format_chat(spark.createDataFrame(turns, f"conv_id int, turn int, role string, parts array<{chat.PART}>"), parts_col="parts")
+    for r in out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns")).collect():
+        texts = cases[r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == [("user", "".join(texts)), ("assistant", f"{texts[0]}<|image|>{texts[-1]}")]
+        rest = r.formatted.replace(chat.TURN, "\0").replace(chat.END, "\0").replace("<|image|>", "\0", 1)
+        assert not any(c in rest for c in chat.CONTROL)
