@@ -79,20 +79,25 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op7_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    none = r"[^\p{L}\p{N}]*"
+    sentence = rf"regexp_matches(l, '^{none}copyright\b{none}(?:{'|'.join(license_scan.CONTINUES)})\b')"
+    held = rf"(regexp_matches(l, '^{none}copyright\b[^\n]*[\p{{L}}\p{{N}}]') and not {sentence}) or regexp_matches(l, '^{none}(?:\x{{A9}}|\(c\){none}(?:[0-9]{{4}}|copyright\b)|all rights reserved{none}$)')"
 
     def canonical(x: str) -> str:
-        x = rf"regexp_replace(lower(coalesce({x}, '')), '(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
-        for a, b in license_scan.SPELLINGS:
-            x = f"replace({x}, '{a}', '{b}')"
-        return rf"sha256(trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
-
-    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in license_scan.KNOWN)
+        lines = rf"list_transform(string_split(lower(coalesce({x}, '')), chr(10)), lambda l: case when {held} then '' else regexp_replace(l, '[^\p{{L}}\p{{N}}]+', ' ', 'g') end)"
+        out = f"array_to_string({lines}, chr(10))"
+        for a, b in license_scan.REPLACED:
+            out = f"replace({out}, {quoted(a)}, {quoted(b)})"
+        return f"string_split(trim({out}), chr(10))"
+
+    whole = "array_to_string(list_filter(lines, lambda x: x <> ''), ' ')"
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in [*license_scan.KNOWN, *license_scan.full_texts()])
     return f"""
-with k as (select {canonical('t')} as digest, min(i) as license_id from (values {known}) v(i, t) group by 1),
-d as (select doc_id, text, string_split(text, chr(10)) as lines from documents where text is not null),
-u as (select doc_id, 0::bigint as line_no, text as unit from d
+with k as (select sha256({whole}) as digest, min(i) as license_id from (select i, {canonical('t')} as lines from (values {known}) v(i, t)) where {whole} <> '' group by 1),
+d as (select doc_id, {canonical('text')} as lines from documents),
+u as (select doc_id, 0::bigint as line_no, {whole} as unit from d
   union all select doc_id, unnest(range(1, len(lines) + 1)) as line_no, unnest(lines) as unit from d where len(lines) > 1)
-select doc_id, line_no, license_id, digest from (select doc_id, line_no, {canonical('unit')} as digest from u) join k using (digest)
+select doc_id, line_no, license_id, digest from (select doc_id, line_no, sha256(unit) as digest from u) join k using (digest)
 """
 
 

@@ -2,6 +2,7 @@
 
 import pathlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -104,15 +105,42 @@ def test_licence_spellings_and_lines(spark):
     assert got == {(1, 0, "MIT"), (2, 2, "CC-BY-NC-4.0"), (3, 0, "MIT"), (3, 2, "MIT")}
 
 
-def test_whole_licence_files(spark):
-    texts = {p.stem: p.read_text(encoding="utf-8") for p in (pathlib.Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
-    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-3.0", "LGPL-3.0", "CC0-1.0", "Unlicense"} <= set(texts)
-    changed = [(name, "Copyright (c) 1999 Some One\n" + text.upper().replace(",", " ,").replace('"', "'")) for name, text in texts.items()]
-    body = texts["MIT"].split("\n", 1)[1]
-    changed += [("MIT", "The MIT License (MIT)\n\nCopyright 2020 A\n" + body), ("MIT", body), ("none", body[: len(body) // 2])]
-    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(changed)], "doc_id long, text string")
+TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in (pathlib.Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+
+
+def found_whole(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.license_id for r in license_scan.scan(docs).where("line_no = 0").collect()}
-    assert got == {i: name for i, (name, _) in enumerate(changed) if name != "none"}
+    return [got.get(i) for i in range(len(texts))]
+
+
+def test_every_licence_file(spark):
+    """Each full text as published, with a copyright line before it, in capitals with other punctuation, and in one line a paragraph."""
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "CC0-1.0", "Unlicense"} <= set(TEXTS)
+    names = sorted(TEXTS)
+    flat = lambda t: re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", t)
+    for change in (str, lambda t: "Copyright (c) 1999 Some One\n" + t, lambda t: t.upper().replace(",", " ,").replace('"', "'"), flat):
+        assert found_whole(spark, [change(TEXTS[n]) for n in names]) == names
+
+
+def test_copyright_lines_and_sentences(spark):
+    body = TEXTS["MIT"].split("\n", 1)[1]
+    isc = TEXTS["ISC"].split("\n", 1)[1].replace("Copyright (c) <year> <owner>\n", "")
+    assert "\ncopyright notice and this" in isc
+    heads = ["Copyright 2020 A", "Copyright (C) 2019-2021, A and B. All rights reserved.", "\u00a9 Some One", "(c) 2020 A", " * Copyright Some One", "All rights reserved."]
+    assert found_whole(spark, [f"The MIT License (MIT)\n\n{h}\n{body}" for h in heads]) == ["MIT"] * len(heads)
+    assert found_whole(spark, [f"{h}\n{isc}" for h in heads]) == ["ISC"] * len(heads)
+    others = ["copyright notice of somebody", "(c) You must keep this", "copyright", "Some One holds the copyright"]
+    assert found_whole(spark, [f"{h}\n{isc}" for h in others]) == [None] * len(others)
+    assert found_whole(spark, [body[: len(body) // 2], isc.replace("copyright notice", "notice")]) == [None, None]
+
+
+def test_spellings_over_line_ends(spark):
+    known = (("X", "you may sublicense it for non-commercial use, copyright owner"),)
+    catalogue = license_scan.catalogue(spark, known)
+    texts = ["You may sub-\nlicence it for non-\n commercial use,\ncopyright\nholder", "you may SUBLICENSE it for noncommercial use copyright holder", "z\nyou may sublicense it for non commercial use copyright owner\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.line_no) for r in license_scan.scan(docs, catalogue).collect()) == [(0, 0), (1, 0), (2, 2)]
 
 
 def test_quality_on_held_out_labels(spark):
