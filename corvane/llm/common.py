@@ -46,15 +46,12 @@ def chunks_of_bytes(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def surviving(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that stay by ``decisions`` (doc_id, text_key, kept, twin), all columns untouched.
 
     ``text_key`` is the text's xxhash64, so ids may be null or repeat. Of kept rows marked ``twin``, which may have equals in id
-    and text, one of each stays. Where few rows go their table is small, and the texts stay where they are.
+    and text, one of each stays: the one of the smallest digest of its other columns (maps aside). Where few rows go their table is
+    small, and the texts stay where they are.
     """
     gone = written(decisions.where("not kept or twin").select(F.col("doc_id").alias("__corvane_id"), F.col("text_key").alias("__corvane_key"), F.col("kept").alias("__corvane_kept")))
     match = F.col(id_col).cast("long").eqNullSafe(F.col("__corvane_id")) & (F.xxhash64(text_col) == F.col("__corvane_key"))
@@ -62,5 +59,7 @@ def surviving(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str)
     twins = gone.where("__corvane_kept")
     if twins.isEmpty():
         return stay
-    again = docs.withColumn("__corvane_again", F.xxhash64(text_col)).join(twins, match, "left_semi").dropDuplicates([id_col, "__corvane_again"])
-    return stay.unionByName(again.select(docs.columns))
+    plain = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row, order = F.struct(*map(F.col, docs.columns)), F.xxhash64(*plain)
+    again = docs.join(twins, match, "left_semi").groupBy(F.col(id_col).alias("__corvane_id"), F.xxhash64(text_col).alias("__corvane_key")).agg(F.min_by(row, order).alias("__corvane_row"))
+    return stay.unionByName(again.select("__corvane_row.*"))

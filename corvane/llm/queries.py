@@ -29,14 +29,19 @@ l as (select *, ((sum(source_size) over ())::double * 1.5 - coalesce(sum(cap) ov
   from w window e as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 f as (select *, max(case when cap / weight > level then level end) over () as final from l),
 t as (select source, source_size, least(cap::double, coalesce(final * weight, cap::double)) as target from f),
-a as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t),
-r as (select *, greatest(0.0, target - whole * source_size) as rest from a),
-k as (select d.doc_id, d.size, r.*, (('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, '')), 1, 13))::bigint) as draw
-  from d join r on d.source is not distinct from r.source),
-o as (select *, coalesce(sum(size) over (partition by source order by draw, doc_id nulls last, size
-    rows between unbounded preceding and 1 preceding), 0) as ahead from k)
+c as (select d.*, floor(ln(size + 1) * 1000)::bigint as x from d),
+m as (select source, case when sum(size) > 0 then sum(size * x)::double / sum(size)::double else 0.0 end as middle, min(x) as low, max(x) as high from c group by source),
+r as (select t.*, middle, greatest(high - middle, middle - low) as widest, case when source_size > 0 then target / source_size else 0.0 end as rate
+  from t join m on t.source is not distinct from m.source),
+k as (select c.doc_id, c.size, r.*, rate + 0.5::double * least(rate, 2 - rate) * case when widest > 0 then (x - middle) / widest else 0.0 end as expected,
+  ((('0x' || substr(md5('mix:' || coalesce(c.doc_id::varchar, '')), 1, 13))::bigint) + 0.5::double) / 4503599627370496::double as u
+  from c join r on c.source is not distinct from r.source),
+p as (select *, floor(expected) as whole, expected - floor(expected) as p from k),
+o as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as rank, greatest(0.0, target - sum(whole * size) over (partition by source)) as rest from p),
+q as (select *, coalesce(sum(size) over (partition by source, rank is null order by rank, u, doc_id nulls last, size
+    rows between unbounded preceding and 1 preceding), 0) as ahead from o)
 select doc_id, size, source_size, target,
-  (size * (whole + case when rest > 0 and ahead * 2 + size <= rest * 2 then 1 else 0 end))::bigint as taken from o
+  (size * (whole + case when rank is not null and ahead * 2 + size <= rest * 2 then 1 else 0 end))::bigint as taken from q
 """
 
 

@@ -1,6 +1,9 @@
 """Mixing, exact copies and vector search beyond their SQL."""
 
+import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,15 +32,33 @@ def test_water_level(spark):
     assert got == {"a": 20.0, "e": 0.0, "b": pytest.approx(min(2000, left * 2 / 5)), "c": pytest.approx(left / 5), None: pytest.approx(left * 2 / 5)}
 
 
-def test_mix_takes_documents_at_their_rate(spark):
-    """Over many seeds each document of a source is taken about as often as the source's rate says."""
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
-    seen = None
-    for seed in range(12):
-        one = mixing.mix(docs, seed=str(seed), share=0.5).select("source", "copies", "target", "source_size")
-        seen = one if seen is None else seen.unionByName(one)
-    for r in seen.groupBy("source").agg(F.avg("copies").alias("rate"), F.max("target").alias("t"), F.max("source_size").alias("n")).collect():
-        assert r.rate == pytest.approx(r.t / r.n, abs=0.12)
+def test_every_document_is_taken_at_its_own_rate(spark):
+    """Over many draws each document is taken as often as its expected copies say, which differ within a source.
+
+    Two hundred sources of the same documents under other ids are as many independent draws.
+    """
+    docs = spark.createDataFrame([(1000 * s + i, "w " * (4 + 9 * (i % 4)), f"s{s:03d}") for s in range(200) for i in range(40)], "doc_id long, text string, source string")
+    for share in (0.7, 1.3):
+        rows = mixing.mix(docs, share=share, weights=(1,)).groupBy((F.col("doc_id") % 1000).alias("doc")).agg(F.avg("copies").alias("rate"), F.avg("expected").alias("expected"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect()
+        assert len({round(r.expected, 3) for r in rows}) == 4
+        for r in rows:  # the rate's deviation is 0.035 at most
+            assert r.rate == pytest.approx(r.expected, abs=0.12) and r.low >= int(r.expected) and r.high <= int(r.expected) + 1
+
+
+def test_expected_copies_sum_to_the_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).groupBy("source").agg(F.sum(F.col("expected") * F.col("size")).alias("words"), F.max("target").alias("target"), F.min("expected").alias("low"), F.max("expected").alias("high")).collect()
+    assert all(r.words == pytest.approx(r.target) and 0 <= r.low <= r.high <= 2 for r in rows)
+    assert any(r.high - r.low > 0.1 for r in rows)
+
+
+def test_repeated_rows_are_decided_each_for_itself(spark):
+    docs = spark.createDataFrame([(None, "a b c", "s", n) for n in range(40)] + [(7, "d e", "s", n) for n in range(40)] + [(7, "d e", None, 0)], "doc_id long, text string, source string, size long")
+    out = mixing.repeated(docs, share=0.9)
+    assert out.columns == docs.columns
+    words = out.where("source is not null").agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    target = mixing.mix(docs, share=0.9).where("source is not null").agg(F.max("target")).first()[0]
+    assert abs(words - target) <= 1.5
 
 
 def test_large_group_spans_partitions(spark):
@@ -49,6 +70,31 @@ def test_large_group_spans_partitions(spark):
     assert {(r.keep_id, r.group_size) for r in same} == {(1, len(same))} and sum(r.kept for r in same) == 1
 
 
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_groups_across_splitters(spark, partitions):
+    """Long texts with one beginning, copies in all sizes and white space, repeated rows and null ids, over many partitions."""
+    rng = random.Random(partitions)
+    rows = [(rng.choice([i, i, i // 3, None]), "the same long beginning of every text " * 2 + f"{rng.randrange(40)}" + " " * rng.randrange(3)) for i in range(700)] + [(i, None if i % 2 else " ") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = exact_dedup.exact_duplicates(docs, partitions=partitions).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0))
+    want = {hashlib.sha256(k.encode()).hexdigest(): (len(g), None if min(g)[1] else min(g)[2]) for k, g in groups.items()}
+    assert len(got) == len(rows) and all((r.group_size, r.keep_id) == want[r.text_sha256] for r in got)
+    kept = [r for r in got if r.kept]
+    assert len(kept) == len(want) and all(r.doc_id == r.keep_id for r in kept)
+    often = Counter((r.doc_id, r.text_key) for r in got)
+    assert all(r.twin or often[r.doc_id, r.text_key] == 1 for r in got)
+
+
+def test_the_same_one_of_equal_rows_stays(spark):
+    rows = [(1, "a b", k, [k]) for k in range(9)] + [(None, "q", k, None) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int, rank array<int>")
+    stay = lambda df: sorted(str(tuple(r)) for r in exact_dedup.without_exact_duplicates(df).collect())
+    assert len(stay(docs)) == 2 and stay(docs) == stay(docs.repartition(7)) == stay(docs.orderBy(F.desc("kept")))
+
+
 def test_identical_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b", 1), (1, "a b", 2), (1, "ab", 3), (None, "q", 4), (None, "q", 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, kept int")
     stay = exact_dedup.without_exact_duplicates(docs).collect()
