@@ -4,8 +4,9 @@ One Bloom filter per language, stored bit-sliced: slot ``i`` holds a bit mask wi
 look-up per hash function, joined by AND, gives the languages that contain an n-gram. Per-language popcounts over a
 whole text, corrected for each filter's rate of false positives, decide.
 
-``learn`` counts n-grams over at most ``max_docs`` labelled rows of each language (a documented bound on the sample
-that the model is fitted on, chosen by a hash of the id); ``predict`` reads whole texts of every row.
+``learn`` counts n-grams over about ``max_docs`` labelled rows of each language at most (a documented bound on the sample
+that the model is fitted on, chosen by a hash of the id); every labelled language is learned. ``predict`` reads whole texts
+of every row.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from corvane.session import bound_batches, written
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 _U = np.uint64
-#: Characters that are worked on at once; longer texts are read in pieces whose counts are added up.
+#: Characters that are worked on at once; a longer text's n-grams come in several lots.
 PIECE = 1 << 19
+#: Slots of a filter for each n-gram of the language that has most of them, at least.
+ROOM = 8
 
 
 @dataclass(frozen=True)
@@ -48,52 +51,58 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams, and where each text's n-grams start (one more than texts).
+def _clean(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of lower-cased letters, every run of other characters as one blank, and the text that each belongs to.
 
-    Letters are lower-cased; every run of other characters counts as one blank, at both ends too. Words and parts of
-    words alike give n-grams, but none crosses a blank other than at its ends.
+    A blank stands at both ends and between texts.
     """
     letter = kept_in_worker("letters", _is_letter)
-    joined = "\0".join(t.replace("\0", " ") for t in texts).lower()
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.append(np.flatnonzero(codes == 0), len(codes))
-    of = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=-1))[: len(codes)]
-    clean = np.where(letter[codes], codes, 32).astype(np.uint64)
+    joined, codes, owners, at, blank_before = "\0".join(t.replace("\0", " ") for t in texts).lower(), [], [], 0, True
+    for i in range(0, len(joined), PIECE):
+        raw = np.frombuffer(joined[i : i + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(raw == 0)
+        of = at + ends - (raw == 0)
+        at += int(ends[-1])
+        kept = np.where(letter[raw], raw, 32).astype(np.uint32)
+        blank = kept == 32
+        keep = ~(blank & np.append(blank_before, blank[:-1]))
+        blank_before = bool(blank[-1])
+        codes.append(kept[keep])
+        owners.append(of[keep])
+    clean, of = np.concatenate([[32], *codes]).astype(np.uint32), np.concatenate([[0], *owners]).astype(np.int64)
+    if clean[-1] != 32:
+        clean, of = np.append(clean, np.uint32(32)), np.append(of, of[-1])
+    return clean, of
+
+
+def grams(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all n-grams in lots, with where each text's n-grams start in the lot (one more than texts).
+
+    Words and parts of words alike give n-grams, but none crosses a blank other than at its ends.
+    """
+    clean, of = _clean(texts)
     blank = clean == 32
-    keep = np.ones(len(clean), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1])
-    clean, of, blank = clean[keep], of[keep], blank[keep]
-    # every text begins and ends with a blank: a shared blank stands at the ends of the joined string, too
-    clean, blank = np.concatenate([[_U(32)], clean, [_U(32)]]), np.concatenate([[True], blank, [True]])
-    of = np.concatenate([of[:1], of, of[-1:]]) if len(of) else np.zeros(2, np.int64)
-    n = len(clean) - order + 1
-    if n <= 0:
-        return np.empty(0, _U), np.zeros(len(texts) + 1, np.int64)
-    code, inner = np.zeros(n, _U), np.zeros(n, bool)
-    for k in range(order):
-        code = code * _U(0x110001) + clean[k : k + n]
-        if 0 < k < order - 1:
-            inner |= blank[k : k + n]
-    good = ~inner
-    hashed, owner = mix64(code[good]), of[1 : n + 1][good]
-    return hashed, np.searchsorted(owner, np.arange(len(texts) + 1))
+    for i in range(0, len(clean) - order + 1, PIECE):
+        n = min(PIECE, len(clean) - order + 1 - i)
+        code, inner = np.zeros(n, _U), np.zeros(n, bool)
+        for k in range(order):
+            code = code * _U(0x110001) + clean[i + k : i + k + n]
+            if 0 < k < order - 1:
+                inner |= blank[i + k : i + k + n]
+        good = ~inner
+        yield mix64(code[good]), np.searchsorted(of[i + 1 : i + 1 + n][good], np.arange(len(texts) + 1))
 
 
 def _pieces(texts: list[str], order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last text + 1, hashes, starts); a text longer than PIECE comes in several overlapping pieces."""
+    """(first text, last text + 1, hashes, starts) for lots of texts of about PIECE characters; a longer text comes alone, in several lots."""
     at = 0
     while at < len(texts):
-        if len(texts[at]) > PIECE:
-            for i in range(0, len(texts[at]), PIECE):
-                yield at, at + 1, *grams([texts[at][i : i + PIECE + order - 1]], order)
-            at += 1
-            continue
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE):
             size += len(texts[end])
             end += 1
-        yield at, end, *grams(texts[at:end], order)
+        for hashed, starts in grams(texts[at:end], order):
+            yield at, end, hashed, starts
         at = end
 
 
@@ -114,38 +123,48 @@ def slots_of(hashed: np.ndarray, hashes: int, size: int) -> list[np.ndarray]:
     return [((hashed + _U(k) * step) & _U(size - 1)).astype(np.int64) for k in range(hashes)]
 
 
-def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = 4, hashes: int = 2, slots: int = 1 << 20, max_languages: int = 256, max_docs: int = 2000, max_grams: int = 30000, min_count: int = 3, share: float = 0.3) -> Model:
-    """Fit the filters on at most about ``max_docs`` rows of each of the ``max_languages`` most frequent languages.
+def _marker(languages: tuple[str, ...], hashes: int, size: int):
+    place = {lang: i for i, lang in enumerate(languages)}
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            for slot in slots_of(batch.column(1).to_numpy().view(_U), hashes, size):
+                bit = (_U(1) << (number % 64).astype(_U)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(number // 64), pa.array(bit)], names=["slot", "word", "bit"])
+
+    return mark
+
+
+def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = 4, hashes: int = 2, slots: int = 1 << 20, max_docs: int = 2000, few: int = 30000, min_count: int = 3, share: float = 0.3) -> Model:
+    """Fit the filters on about ``max_docs`` rows of each language at most; rows are chosen by a hash of their id.
 
-    A language's filter holds its ``max_grams`` most frequent n-grams that occur at least ``min_count`` times and whose
-    relative frequency is at least ``share`` of the highest that any language has; of a sample of at most ``max_grams``
-    n-grams in all, single ones count, too. Rows with a null or empty text or a
-    null label are left out; with no rows left the model knows no language. ``slots`` is a power of two.
+    A language's filter holds its n-grams that occur at least ``min_count`` times and whose relative frequency is at least
+    ``share`` of the highest that any language has; of a sample of at most ``few`` n-grams in all, single ones count, too. Rows
+    with a null text or a null label are left out; with no rows left the model knows no language. ``slots`` is a power of two,
+    and is doubled until the largest filter has ROOM slots for each n-gram: the sample bounds the model. Masks are put
+    together by a grouped aggregation, so the driver gets the slots that are set and the names of the languages.
     """
     bound_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return Model((), np.zeros((slots, 1), _U), np.zeros(0), order, hashes)
-    size = F.create_map(*(F.lit(x) for row in sizes for x in row))[F.col(lang_col)]
-    chance = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 20)) * size < F.lit(max_docs * (1 << 20))
-    sample = rows.where(chance).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows")))
+    chance = F.pmod(F.xxhash64(F.lit("language sample"), F.col("id")), F.lit(1 << 20)) * F.col("n_rows") < F.lit(max_docs * (1 << 20))
+    sample = rows.join(sizes, "lang").where(chance).select("lang", "text")
     counted = written(sample.mapInArrow(_counter(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counted.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    rate = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(((F.col("n") >= min_count) | (F.col("total") <= max_grams)) & (F.col("rate") >= share * F.col("top")))
-    rate = rate.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= max_grams)
-    known = rate.select("lang", "gram").toArrow()  # at most max_grams for each language
-    names, gram = np.array(known.column(0).to_pylist(), object), known.column(1).to_numpy().view(_U)
-    languages = tuple(sorted(set(names)))
+    rate = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    rate = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(((F.col("n") >= min_count) | (F.col("total") <= few)) & (F.col("rate") >= share * F.col("top")))
+    known = written(rate.select("lang", "gram"), counted)
+    each = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    languages = tuple(sorted(each))
+    while slots < ROOM * max(each.values(), default=0):
+        slots *= 2
     slices = np.zeros((slots, max(1, math.ceil(len(languages) / 64))), _U)
-    false_rate = np.zeros(len(languages))
-    for i, lang in enumerate(languages):
-        word, bit = i // 64, _U(1 << (i % 64))
-        for slot in slots_of(gram[names == lang], hashes, slots):
-            slices[slot, word] |= bit
-        false_rate[i] = float(np.count_nonzero(slices[:, word] & bit) / slots) ** hashes
-    return Model(languages, slices, false_rate, order, hashes)
+    if languages:
+        marks = known.mapInArrow(_marker(languages, hashes, slots), "slot long, word long, bit long").groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        slices[marks.column(0).to_numpy(), marks.column(1).to_numpy()] = marks.column(2).to_numpy().view(_U)
+    used = [np.count_nonzero(slices[:, i // 64] >> _U(i % 64) & _U(1)) for i in range(len(languages))]
+    return Model(languages, slices, (np.array(used, float) / slots) ** hashes, order, hashes)
 
 
 def corrected_counts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +221,8 @@ def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "t
     """The rows of ``docs`` with a letter and a score of at least ``min_score``, all columns untouched; no shuffle.
 
     What can't be judged stays, if it has a letter: texts of so few n-grams that ``min_score`` is less than one of them, and
-    texts labelled with a language that the model does not know. A model without languages accepts nothing.
+    texts labelled with a language that the model does not know. A model without languages accepts nothing. Null and empty
+    texts go, a null label is no label, and repeated rows and null ids are judged like any others; ids are not read.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

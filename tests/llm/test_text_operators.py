@@ -3,6 +3,9 @@
 import pathlib
 import random
 import re
+import unicodedata
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -99,6 +102,62 @@ def test_many_languages_fill_several_words(spark):
     assert all(r.lang_pred == f"l{r.doc_id:03d}" for r in langid.predict(docs, model).collect())
 
 
+def plain_grams(text, order=4):
+    """The n-grams of a text as strings, without any of the operator's arrays."""
+    words = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text.lower()).split()
+    line = " " + " ".join(words) + " " if words else " "
+    return [g for i in range(len(line) - order + 1) if " " not in (g := line[i : i + order])[1:-1]]
+
+
+def test_language_equals_a_version_with_sets(spark):
+    """Learn and predict again with counters and sets: the same languages, and scores but for the filters' false positives."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    top = Counter()
+    for lang, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[lang])
+    known = {lang: {g for g, n in c.items() if (n >= 3 or total[lang] <= 30000) and n / total[lang] >= 0.3 * top[g]} for lang, c in counts.items()}
+    found = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in rows:
+        own, got = plain_grams(r.text or ""), found[r.doc_id]
+        assert got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        shares = {lang: sum(g in known[lang] for g in own) / max(len(own), 1) for lang in known}
+        assert got.score == pytest.approx(shares[got.lang_pred], abs=0.02 + 2 / max(len(own), 1)), r.doc_id
+        assert shares[got.lang_pred] >= max(shares.values()) - 0.02 - 2 / max(len(own), 1), r.doc_id
+
+
+def test_long_texts_have_the_same_grams(monkeypatch):
+    rng = random.Random(3)
+    texts_ = ["".join(rng.choice("ab é\n.Σßन\u0301") for _ in range(n)) for n in (0, 1, 5, 300, 1000, 7)] + ["", "x" * 200]
+    whole = [(a, b, h.tolist(), s.tolist()) for a, b, h, s in langid._pieces(texts_, 4)]
+    assert len(whole) == 1
+    assert [len(plain_grams(t)) for t in texts_] == np.diff(whole[0][3]).tolist()
+    monkeypatch.setattr(langid, "PIECE", 64)
+    each = {i: [] for i in range(len(texts_))}
+    for first, last, hashed, starts in langid._pieces(texts_, 4):
+        for i in range(first, last):
+            each[i] += hashed[starts[i - first] : starts[i - first + 1]].tolist()
+    starts = whole[0][3]
+    assert all(each[i] == whole[0][2][starts[i] : starts[i + 1]] for i in each)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"{'abcdefghijklmnopqrst'[i % 20]}{chr(0x4E00 + 9 * (i % 300))}" * 9, f"l{i % 300:03d}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == 300 and model.slices.shape[1] == 5
+    assert sum(r.lang_pred == f"l{r.doc_id % 300:03d}" for r in langid.predict(docs, model).collect()) == 600
+
+
 def test_licence_spellings_and_lines(spark):
     rows = [(1, "RELEASED under the mit licence"), (2, "x\nLicensed under CC BY-NC 4.0\nCopyright (c) 2020 Someone\ny"), (3, "Copyright 2021 A\nReleased under the MIT License."), (4, None), (5, "!!")]
     got = {(r.doc_id, r.line_no, r.license_id) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
