@@ -107,7 +107,49 @@ select doc_id, line_no, license_id, digest from (select doc_id, line_no, sha256(
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("evidence", "prior", "p_good")), "good")
+
+
+def _op8_sql() -> str:
+    binned = lambda x: f"least(20, floor({x}))::int"
+    share = lambda pattern: f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))) / n"
+    columns = {
+        "marks": binned(share(r"[^\p{L}\p{N}\x20\x09-\x0D]+") + " * 20 * 2"),
+        "capitals": binned(share(r"\p{Lu}+") + " * 20"),
+        "digits": binned(share(r"\p{N}+") + " * 20"),
+        "distinct_words": binned("len(list_distinct(ws)) / greatest(len(ws), 1) * 20"),
+        "word_length": binned("n / greatest(len(ws), 1)"),
+        "line_length": binned("length(bin(greatest(1, n // len(string_split(t, chr(10)))))) - 1"),
+        "length": binned("length(bin(n)) - 1"),
+    }
+    levels = ("l0", "l1", "l2")
+    same = lambda a, b, keys: " and ".join(f"{a}.{c} is not distinct from {b}.{c}" for c in keys)
+    parts = [
+        "t as (select *, coalesce(text, '') as t, greatest(length(coalesce(text, '')), 1) as n, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from documents)",
+        "r as (select doc_id, row_number() over () as i, source as l0, lang as l1, (length(bin(n)) - 1)::varchar as l2, " + ", ".join(f"{x} as {c}" for c, x in columns.items()) + " from t)",
+        "y as (select doc_id, (quality > 0)::int as good from labels where quality is not null)",
+        "s as (select r.*, y.good from r join y using (doc_id))",
+        "a as (select coalesce(sum(good), 0)::double as good, count(*)::double as n from s)",
+        "o as (select doc_id, sum(good) as g, count(*) as c from y group by 1)",
+        "d as (select r.*, coalesce(o.g, 0) as g, coalesce(o.c, 0) as c, a.good as total_good, a.n as total_n, (a.good - coalesce(o.g, 0) + 1) / (a.n - coalesce(o.c, 0) + 2) as rate from r left join o using (doc_id), a)",
+        "x as (" + " union all ".join(f"select i, '{c}' as m, {c} as bin from r" for c in columns) + ")",
+        "b as (" + " union all ".join(f"select '{c}' as m, {c} as bin, sum(good) as k, count(*) as n from s group by 2" for c in columns) + ")",
+        "e as (select d.i, sum(coalesce(ln(((b.k - g + rate) / (total_good - g + 1)) / ((b.n - b.k - (c - g) + 1 - rate) / (total_n - total_good - (c - g) + 1))), 0)) as evidence from d join x using (i) left join b using (m, bin) group by 1)",
+        "s0 as (select s.*, (a.good + 1) / (a.n + 2) as above from s, a)",
+        "p0 as (select *, rate as prior from d)",
+    ]
+    for i in range(len(levels)):
+        keys = levels[: i + 1]
+        parts += [
+            f"g{i} as (select {', '.join(keys)}, sum(good) as k, count(*) as n, avg(above) as p from s{i} group by all)",
+            f"h{i} as (select case when count(*) > 1 then least(1000.0, greatest(1.0, sum(n * p * (1 - p)) / sum(n) / greatest((sum(n * (k / n - p) ** 2) - sum(p * (1 - p))) / sum(n), 1e-9))) else 10.0 end::double as h from g{i})",
+            f"s{i + 1} as (select s{i}.* exclude (above), (k + h * p) / (n + h) as above from s{i} join g{i} on {same(f's{i}', f'g{i}', keys)}, h{i})",
+            f"p{i + 1} as (select p{i}.* exclude (prior), coalesce((k - g + h * prior) / (n - c + h), prior) as prior from p{i} left join g{i} on {same(f'p{i}', f'g{i}', keys)}, h{i})",
+        ]
+    return "with " + ",\n".join(parts) + """,
+z as (select doc_id, evidence, prior, ln(least(greatest(prior, 1e-6), 1 - 1e-6::double) / (1 - least(greatest(prior, 1e-6), 1 - 1e-6::double))) as logit from p3 join e using (i))
+select doc_id, round(evidence, 6) as evidence, round(prior, 6) as prior, round(1 / (1 + exp(-(evidence + logit))), 6) as p_good, 1 / (1 + exp(-(evidence + logit))) >= 0.5 as good from z"""
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,4 +208,4 @@ QUERIES: dict[str, Query] = {
     "op9_chat_format": op9_chat_format,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_license_scan": _op7_sql(), "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_license_scan": _op7_sql(), "op8_quality": _op8_sql(), "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL}

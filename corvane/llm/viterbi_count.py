@@ -10,6 +10,8 @@ once in a worker's memo.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,9 @@ from corvane.session import bound_batches
 
 MARK = "▁"
 _UNKNOWN_PENALTY = 10.0
+#: What a sentencepiece file of merges has for a piece that no merge makes.
+NO_SCORE = -1e9
+BYTE = regex.compile("<0x[0-9A-F]{2}>")
 #: Distinct words that a worker remembers, and the longest of them.
 MEMO, MEMO_CHARS = 500_000, 64
 
@@ -35,13 +40,29 @@ class Unigram:
 
 
 def load(path: str) -> Unigram:
-    """The ordinary pieces of a sentencepiece model file with their scores, read as a unigram vocabulary."""
-    import sentencepiece
+    """The ordinary pieces of a vocabulary file with their log-probabilities.
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    pieces = tuple((model.id_to_piece(i), float(model.get_score(i))) for i in plain)
-    return Unigram(pieces, hashlib.sha256(repr(pieces).encode()).hexdigest())
+    A ``.json`` file is the tokenizers library's, with a unigram model whose unknown characters fall back to bytes; others are
+    sentencepiece models. Where a sentencepiece file's scores are ranks of merges (0, -1, -2 and so on, as BPE has them), they
+    are no log-probabilities, and Zipf's law over the rank stands in: log(1 / (rank + 1)) less the logarithm of their sum.
+    """
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        if model["type"] != "Unigram":
+            raise ValueError(f"{path} is no unigram vocabulary")
+        own = {model.get("unk_id")}
+        pieces = [(p, float(s)) for i, (p, s) in enumerate(model["vocab"]) if i not in own and not BYTE.fullmatch(p)]
+    else:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        pieces = [(model.id_to_piece(i), float(model.get_score(i))) for i in plain]
+        if len(pieces) > 1 and all(s in (-i, NO_SCORE) for i, (_, s) in enumerate(pieces)):
+            total = math.log(sum(1 / (i + 1) for i in range(len(pieces))))
+            pieces = [(p, -math.log(i + 1) - total) for i, (p, _) in enumerate(pieces)]
+    return Unigram(tuple(pieces), hashlib.sha256(repr(pieces).encode()).hexdigest())
 
 
 class Counter(dict):

@@ -1,5 +1,6 @@
 """Language, BPE, token counts, licences, quality and chat."""
 
+import math
 import pathlib
 import random
 import re
@@ -51,14 +52,22 @@ def test_bpe_long_fragments_merge_alike():
     assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_token_counts_equal_the_library():
+def test_token_counts_equal_the_library(tmp_path):
+    """Against the tokenizers library over the same pieces and scores, from the sentencepiece file and from a unigram file."""
     unigram = viterbi_count.load(vocabulary("piece_bpe_32k.model"))
     low = min(s for _, s in unigram.pieces)
+    assert -30 < low and sum(math.exp(s) for _, s in unigram.pieces) == pytest.approx(1)
     library = Tokenizer(models.Unigram([("<unk>", low)] + [(f"<0x{i:02X}>", low) for i in range(256)] + list(unigram.pieces), unk_id=0, byte_fallback=True))
-    own = viterbi_count.Counter(unigram)
-    for text in texts(2000, 2):
-        want = len(library.encode("▁" + text.replace(" ", "▁")).ids) if text else 0
-        assert own.of(text) == want, repr(text)
+    library.save(str(tmp_path / "unigram.json"))
+    again = viterbi_count.load(str(tmp_path / "unigram.json"))
+    assert again.pieces == unigram.pieces
+    with pytest.raises(ValueError):
+        viterbi_count.load(vocabulary("byte_bpe_50k.json"))
+    for own in map(viterbi_count.Counter, (unigram, again)):
+        assert own.of("The quick brown fox jumps over the lazy dog.") == 12
+        for text in texts(2000, 2):
+            want = len(library.encode("▁" + text.replace(" ", "▁")).ids) if text else 0
+            assert own.of(text) == want, repr(text)
 
 
 def test_ties_go_to_the_piece_that_starts_first():
@@ -210,15 +219,34 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.good for r in rows if r.quality) / sum(r.quality for r in rows) > 0.98
 
 
-def test_sparse_sites_shrink_toward_the_whole(spark):
-    docs = spark.createDataFrame([(i, "a plain text", f"h{i // 50}" if i < 200 else "rare", "p") for i in range(201)], "doc_id long, text string, source string, lang string")
-    labels = spark.createDataFrame([(i, int(i >= 100)) for i in range(200)] + [(200, 0)], "doc_id long, quality int")
-    prior = {r.doc_id: r.prior for r in quality.classify(docs, labels).collect()}
-    assert prior[0] < 0.1 and prior[199] > 0.9 and prior[0] < prior[200] < 0.6
-    none = quality.classify(docs, labels.where("quality > 5")).first()
+def test_every_level_shrinks_sparse_sites(spark):
+    """Hosts, directories and subdirectories from URLs: what has many labels follows them, what has few stays near the level above."""
+    sites = [("http://good.org/a/x/1", 1, 60), ("http://good.org/a/x/2", 1, 60), ("http://good.org/b/y/1", 0, 60), ("http://bad.org/c/z/1", 0, 120), ("http://rare.org/q", 0, 1), ("http://good.org/new/w/1", 0, 1), ("http://good.org/a/odd/1", 0, 1)]
+    rows = [(100 * k + i, "a plain text", url) for k, (url, _, n) in enumerate(sites) for i in range(min(n, 99) + 1)]
+    docs = spark.createDataFrame([*rows, (9000, "a plain text", "http://none.org/"), (9001, "a plain text", None)], "doc_id long, text string, url string")
+    labels = spark.createDataFrame([(100 * k + i, good) for k, (_, good, n) in enumerate(sites) for i in range(min(n, 99))], "doc_id long, quality int")
+    prior = {r.doc_id: r.prior for r in quality.classify(docs, labels, quality.site_levels(F.col("url"))).collect()}
+    new = lambda k: prior[100 * k + min(sites[k][2], 99)]  # the row of each site that has no label
+    everyone = prior[9000]
+    assert prior[9000] == prior[9001]  # no host with labels: the global rate
+    assert new(0) > 0.95 and new(2) < 0.1 and new(3) < 0.05
+    assert new(3) < new(4) < everyone  # one bad label on a host: a little below the whole
+    assert new(2) < new(5) < 0.7 and new(5) > everyone * 0.5  # one bad label in a directory of a good host
+    assert new(2) < new(6) < new(0)  # one bad label in a subdirectory of a good directory
+    none = quality.classify(docs, labels.where("quality > 5"), quality.site_levels(F.col("url"))).first()
     assert none.prior == pytest.approx(0.5) and none.evidence == 0
 
 
+def test_labelled_rows_are_judged_without_their_labels(spark):
+    """The scores of a labelled row are those that the other labels give it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 200")
+    whole = {r.doc_id: r for r in quality.classify(docs, labels, [F.lit("one host")]).collect()}
+    for i in [r.doc_id for r in labels.limit(2).collect()]:
+        less = next(r for r in quality.classify(docs, labels.where(F.col("doc_id") != i), [F.lit("one host")]).collect() if r.doc_id == i)
+        assert whole[i].evidence == pytest.approx(less.evidence) and whole[i].prior == pytest.approx(less.prior)
+
+
 def test_chat_parts_become_placeholders(spark):
     part = dict.fromkeys(("type", "text", "ref", "width", "height", "seconds", "pages"))
     parts = [part | {"type": "text", "text": "look <|image|> "}, part | {"type": "image", "ref": "a.png", "width": 57, "height": 28}, part | {"type": "audio", "ref": "b", "seconds": 2.0}, part | {"type": "document", "ref": "c", "pages": 2}, part | {"type": "film", "ref": "d"}, None]
