@@ -60,10 +60,16 @@ def length_class(size: Column) -> Column:
     return F.floor(F.log(size + 1) * 1000).cast("long")
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, share: float, weights: tuple[int, ...], most: int, seed: str, tilt: float) -> DataFrame:
-    """The rows of ``docs`` with their size, their source's size and target, expected copies and copies, in columns of our own."""
-    id_of, source = F.col(id_col).cast("long"), F.col(source_col)
-    rows = written(docs.select(id_of.alias("doc_id"), source.alias("source"), words(F.col(text_col)).alias("size")))
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size) of all rows, written, so that texts are split once."""
+    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
+
+
+def _decided(docs: DataFrame, id_of: Column, source: Column, size: Column, rows: DataFrame, share: float, weights: tuple[int, ...], most: int, seed: str, tilt: float) -> DataFrame:
+    """The rows of ``docs`` with their size, their source's size and target, expected copies and copies, in columns of our own.
+
+    ``rows`` are their ids, sources and sizes; everything about a source comes from these.
+    """
     x = length_class(F.col("size"))
     sums = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * x).alias("weighed"), F.min(x).alias("low"), F.max(x).alias("high")))
     middle = F.when(F.col("source_size") > 0, F.col("weighed") / F.col("source_size")).otherwise(0.0)
@@ -90,7 +96,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, share
     sliced = sliced.withColumns({"rest": F.greatest(F.lit(0.0), F.col("target") - F.sum("certain").over(of_source)), "before": F.sum("inside").over(upto) - F.col("inside")})
     edge = sliced.where((F.col("__corvane_slice").isNotNull()) & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("inside")))
     edge = written(edge.select([F.col(c).alias(f"__corvane_{n}") for c, n in (("__corvane_of", "cut"), ("__corvane_slice", "edge"), ("before", "before"), ("rest", "rest"))]))
-    placed = ranked(docs, id_of, source, words(F.col(text_col))).join(edge, same("__corvane_of", "__corvane_cut"), "left")
+    placed = ranked(docs, id_of, source, size).join(edge, same("__corvane_of", "__corvane_cut"), "left")
     slice_, edge_ = F.col("__corvane_slice"), F.col("__corvane_edge")
     beside = placed.where(slice_.isNull() | edge_.isNull() | (slice_ != edge_)).withColumn("__corvane_copies", F.col("__corvane_whole") + F.when(slice_ < F.coalesce(edge_, F.lit(SLICES + 1)), 1).otherwise(0))
     ahead = Window.partitionBy("__corvane_of").orderBy("__corvane_rank", "__corvane_draw", id_of.asc_nulls_last(), "__corvane_size").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,13 +115,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source is a source, a null id an id like any other. Documents of size 0 have taken 0. No rows give no rows; other
     columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    out = _decided(docs, "doc_id", "text", "source", share, weights, most, seed, tilt)
+    rows = _measured(docs, id_col, text_col, source_col)
+    out = _decided(rows, F.col("doc_id"), F.col("source"), F.col("size"), rows, share, weights, most, seed, tilt)
     own = [F.col(f"__corvane_{c}").alias(c) for c in ("size", "source_size", "target", "expected", "copies")]
     return out.select("doc_id", "source", *own, (F.col("__corvane_copies") * F.col("__corvane_size")).alias("taken"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: int = 2, seed: str = "mix", tilt: float = 0.5) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns untouched; every row is decided where it lies, as in ``mix``."""
-    taken = _decided(docs, id_col, text_col, source_col, share, weights, most, seed, tilt).where("__corvane_copies > 0")
+    rows = _measured(docs, id_col, text_col, source_col)
+    taken = _decided(docs, F.col(id_col).cast("long"), F.col(source_col), words(F.col(text_col)), rows, share, weights, most, seed, tilt).where("__corvane_copies > 0")
     return taken.withColumn("__corvane_again", F.explode(F.array_repeat(F.lit(0), F.col("__corvane_copies").cast("int")))).select(*docs.columns)
