@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.operators.components import connected_components
-from corvane.session import written
+from corvane.session import free, written
 
 # The ontology's vocabulary and its version.
 VERSION = "1.0.0"
 RELATIONS = ("CONTAINS", "DECLARES", "IMPORTS", "CALLS", "EXTENDS", "IMPLEMENTS", "DEPENDS_ON", "MODIFIES", "REFERENCES", "RESOLVES", "RELEASE_INCLUDES", "PARENT_OF", "AUTHORED", "REVIEWED", "PART_OF_SUBSYSTEM", "ABOUT", "DERIVED_FROM", "IMPLEMENTED_BY", "AFFECTS", "RECOMMENDED_BEFORE", "RELATED_TO")
+ENTITIES = ("repository", "repository_snapshot", "directory", "file", "symbol", "external_dependency", "issue", "pull_request", "commit", "release", "discussion", "person", "label", "graph_metric", "contributor_metric", "subsystem", "topic", "decision", "learning_step", "architecture_summary")
 KINDS = ("deterministic", "derived", "inferred")
 #: Rounds after which an accumulated union is written anew, so that plans stay short at any depth.
 COMPACT = 8
@@ -35,11 +36,17 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def validate_graph(node_table: DataFrame, edge_table: DataFrame, pairs: DataFrame, self_loops: tuple[str, ...] = ("RELATED_TO",)) -> DataFrame:
+def unknown_entities(node_table: DataFrame) -> DataFrame:
+    """Nodes of a type that the ontology doesn't have."""
+    return node_table.where(~F.coalesce(F.col("entity_type").isin(*ENTITIES), F.lit(False)))
+
+
+def validate_graph(node_table: DataFrame, edge_table: DataFrame, pairs: DataFrame, self_loops: tuple[str, ...] = ("RELATED_TO",), evidence: DataFrame | None = None) -> DataFrame:
     """Edges with reject_reason, null if valid.
 
     ``pairs`` has the allowed (relationship_type, source_type, target_type). Reasons in order: unknown relation, missing
-    source, missing target, self-loop, pair of types.
+    source, missing target, self-loop, unknown entity type, pair of types; then, where ``edge_table`` has the columns, an inferred edge
+    without confidence or without provenance, and a confirmed one that ``evidence`` (source_key, target_key) doesn't have.
     """
     kinds = node_table.select("node_key", "entity_type")
     out = edge_table.join(kinds.select(F.col("node_key").alias("source_key"), F.col("entity_type").alias("source_type")), "source_key", "left")
@@ -50,8 +57,17 @@ def validate_graph(node_table: DataFrame, edge_table: DataFrame, pairs: DataFram
         .when(F.col("source_type").isNull(), "missing_source")
         .when(F.col("target_type").isNull(), "missing_target")
         .when((F.col("source_key") == F.col("target_key")) & ~F.col("relationship_type").isin(*self_loops), "self_loop")
+        .when(~F.col("source_type").isin(*ENTITIES) | ~F.col("target_type").isin(*ENTITIES), "unknown_entity_type")
         .when(F.col("allowed").isNull(), "pair_not_allowed")
     )
+    inferred = F.col("knowledge_kind") == "inferred"
+    for column in ("confidence", "provenance"):
+        if column in edge_table.columns:
+            reason = reason.when(inferred & F.col(column).isNull(), f"inferred_without_{column}")
+    if evidence is not None:
+        proof = evidence.select("source_key", "target_key").distinct().withColumn("proven", F.lit(True))
+        out = out.join(proof, ["source_key", "target_key"], "left")
+        reason = reason.when((F.col("status") == "confirmed") & F.col("proven").isNull(), "confirmed_without_evidence")
     return out.select(*edge_table.columns, reason.alias("reject_reason"))
 
 
@@ -84,23 +100,29 @@ def pagerank(edge_table: DataFrame, rounds: int = 10, damping: float = 0.85) ->
     ranks = all_nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
         spread = links.join(ranks.withColumnRenamed("node", "src"), "src").select("dst", (F.col("rank") / F.col("n_out")).alias("part"))
-        got = spread.groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
-        held = 1.0 - (spread.agg(F.sum("part")).first()[0] or 0.0)
-        ranks = written(all_nodes.join(got, "node", "left").select("node", (F.lit((1 - damping + damping * held) / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        got = written(spread.groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got")))
+        held = 1.0 - (got.agg(F.sum("got")).first()[0] or 0.0)
+        ranks = written(all_nodes.join(got, "node", "left").select("node", (F.lit((1 - damping + damping * held) / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")), ranks)
+        free(got)
     return ranks
 
 
 def communities(edge_table: DataFrame, rounds: int = 10) -> DataFrame:
-    """Label propagation, synchronous; each node takes the most frequent label around it and its own, ties to the smallest."""
+    """(node, label, settled) after ``rounds`` rounds of synchronous label propagation, or earlier if nothing changes any more.
+
+    Each node takes the most frequent label around it and its own, ties to the smallest. ``settled`` says whether the last
+    round left the node's label alone; synchronous labels may swing for ever, so rounds are a parameter, not a bound on data.
+    """
     around = written(both_ways(edge_table))
-    labels = written(vertex_set(edge_table).withColumn("label", F.col("node")))
+    labels = written(vertex_set(edge_table).select("node", F.col("node").alias("label"), F.lit(False).alias("settled")))
     for _ in range(rounds):
-        votes = around.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label").unionByName(labels)
+        votes = around.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label").unionByName(labels.select("node", "label"))
         counts = votes.groupBy("node", "label").agg(F.count(F.lit(1)).alias("votes"))
-        new = written(counts.groupBy("node").agg(F.max_by("label", F.struct("votes", (-F.col("label")).alias("low"))).alias("label")))
-        if new.exceptAll(labels).isEmpty():
-            return new
+        best = counts.groupBy("node").agg(F.max_by("label", F.struct("votes", (-F.col("label")).alias("low"))).alias("label"))
+        new = written(best.join(labels.select("node", F.col("label").alias("was")), "node").select("node", "label", (F.col("label") == F.col("was")).alias("settled")), labels)
         labels = new
+        if new.where("not settled").isEmpty():
+            break
     return labels
 
 
@@ -149,10 +171,11 @@ def _flow(edge_table: DataFrame, src: str, dst: str) -> DataFrame:
     labels = written(vertex_set(edge_table).withColumn("label", F.col("node")))
     while True:
         sent = edge_table.join(labels.withColumnRenamed("node", src), src).select(F.col(dst).alias("node"), "label")
-        new = written(labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label")))
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
+        best = labels.select("node", "label", F.col("label").alias("was")).unionByName(sent.select("node", "label", F.lit(None).cast("long").alias("was")))
+        new = best.groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        labels = written(new, labels)
+        if labels.where("label <> was").isEmpty():
+            return labels.select("node", "label")
 
 
 def bridge_nodes(edge_table: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
@@ -190,8 +213,9 @@ def co_change(commit_files: DataFrame, min_support: int = 2, large: int = 1000,
     return out.select("file_a", "file_b", "support", F.round(F.col("support") / F.col("n_a"), 6).alias("confidence"), F.round(F.col("support") * F.col("n_commits") / (F.col("n_a") * F.col("n_b")), 6).alias("lift"))
 
 
-def neighbors(seeds: DataFrame, edge_table: DataFrame, depth: int = 3, limit: int | None = 500) -> DataFrame:
-    """(seed, node, depth) within ``depth`` directed steps; of each seed the first ``limit`` by (depth, node)."""
+def neighbors(seeds: DataFrame, edge_table: DataFrame, depth: int = 3, limit: int | None = 500, where: Column | None = None) -> DataFrame:
+    """(seed, node, depth) within ``depth`` directed steps over the edges that fulfil ``where``; of each seed the first ``limit`` by (depth, node)."""
+    edge_table = edge_table if where is None else edge_table.where(where)
     if not 1 <= depth <= 3:
         raise ValueError("depth from 1 to 3")
     seen = written(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
@@ -287,10 +311,9 @@ def learning_order(edge_table: DataFrame) -> DataFrame:
     layers = written(of.select("grp").distinct().withColumn("layer", F.lit(0)))
     while True:
         need = step.join(layers.select(F.col("grp").alias("b"), "layer"), "b").groupBy(F.col("a").alias("grp")).agg((F.max("layer") + 1).alias("up"))
-        new = written(layers.join(need, "grp", "left").select("grp", F.coalesce("up", F.lit(0)).alias("layer")))
-        if new.exceptAll(layers).isEmpty():
+        layers = written(layers.select("grp", F.col("layer").alias("was")).join(need, "grp", "left").select("grp", "was", F.coalesce("up", F.lit(0)).alias("layer")), layers)
+        if layers.where("layer <> was").isEmpty():
             break
-        layers = new
     return of.join(layers, "grp").select("node", "layer")
 
 

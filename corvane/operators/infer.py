@@ -1,4 +1,4 @@
-"""Contributors, timelines, subsystems and decisions as rules over tables (A4-A12, N2-N7, N10-N12, and parts of N1 and N9, P10-P18)."""
+"""Contributors, timelines, subsystems, decisions and evidence as rules over tables."""
 
 from __future__ import annotations
 
@@ -68,10 +68,12 @@ def timeline(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def timeline_filter(events: DataFrame, since: str | None = None, types: tuple[str, ...] | None = None) -> DataFrame:
-    """P11."""
+def timeline_filter(events: DataFrame, since: str | None = None, types: tuple[str, ...] | None = None, until: str | None = None, **values: tuple) -> DataFrame:
+    """By time, type, and values of other columns such as ``subsystem`` or ``contributor_id``; a null value never fits."""
     events = events.where(F.col("event_ts") >= F.lit(since).cast("timestamp_ntz")) if since else events
-    return events.where(F.col("event_type").isin(*types)) if types else events
+    events = events.where(F.col("event_ts") < F.lit(until).cast("timestamp_ntz")) if until else events
+    events = events.where(F.col("event_type").isin(*types)) if types else events
+    return reduce(lambda df, c: df.where(F.col(c[0]).isin(*c[1])), values.items(), events)
 
 
 def per_period(events: DataFrame, period: str = "week") -> DataFrame:
@@ -134,12 +136,20 @@ def knowledge_label(kind: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[kind]
 
 
-def publishable(items: DataFrame, evidence: DataFrame, least: float, kinds: tuple[str, ...]) -> DataFrame:
-    """Items with enough confidence, of a known kind, with evidence."""
-    good = items.where((F.col("confidence") >= least) & F.col("evidence_type").isin(*kinds))
+def publishable(items: DataFrame, evidence: DataFrame, least: float, kinds: tuple[str, ...], statuses: tuple[str, ...] = ("confirmed",)) -> DataFrame:
+    """Items of a known kind, with enough confidence, provenance and evidence, verified, and with a status that may be shown.
+
+    By default that is ``confirmed`` only. A null in any of these columns keeps an item back.
+    """
+    good = items.where((F.col("confidence") >= least) & F.col("evidence_type").isin(*kinds) & F.col("provenance").isNotNull() & F.col("verified") & F.col("status").isin(*statuses))
     return good.join(evidence.select("decision_id"), "decision_id", "left_semi")
 
 
+def statistics(kinds: dict[str, DataFrame]) -> DataFrame:
+    """A4: (kind, n) of the rows of each kind."""
+    return reduce(DataFrame.unionByName, (df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n")) for kind, df in kinds.items()))
+
+
 def commit_chain(commits: DataFrame, commit_files: DataFrame, reviews: DataFrame) -> DataFrame:
     """What hangs on each commit, and the part of its chain that is there."""
     files = commit_files.groupBy("sha").agg(F.count_distinct("file_id").alias("n_files"))
@@ -197,3 +207,92 @@ def decision_candidates(links: DataFrame, artifacts: DataFrame) -> DataFrame:
     parts = graph.components(links).select(F.col("node").alias("artifact_id"), F.col("component").alias("candidate_id"))
     ranked = artifacts.join(parts, "artifact_id").withColumn("authority", rank[F.col("kind")])
     return ranked.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_artifacts"), F.min_by("artifact_id", F.struct("authority", "artifact_id")).alias("lead_id"))
+
+
+def evidence_paths(issues: DataFrame, pull_requests: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
+    """(issue_id, pr_id, sha, file_id, path, completeness) of each chain from an issue over pull request and commit to a file.
+
+    ``pull_requests`` names its issue_id, ``commits`` (sha) its pr_id, ``files`` (file_id) its sha. A chain ends where its next link is
+    missing: ``path`` holds what there is, ``completeness`` is its part of the four hops.
+    """
+    out = issues.select("issue_id").join(pull_requests.select("issue_id", "pr_id"), "issue_id", "left")
+    out = out.join(commits.select("pr_id", "sha"), "pr_id", "left").join(files.select("sha", "file_id"), "sha", "left")
+    hop = lambda kind, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")))
+    path = F.array_compact(F.array(hop("issue", "issue_id"), hop("pull_request", "pr_id"), hop("commit", "sha"), hop("file", "file_id")))
+    return out.select("issue_id", "pr_id", "sha", "file_id", path.alias("path"), F.round(F.size(path) / 4, 6).alias("completeness"))
+
+
+def attach_evidence(items: DataFrame, evidence: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """Items (nodes, edges, sections or claims) with n_evidence, their combined confidence, and their best evidence.
+
+    All pieces (keys, evidence_id, confidence) count; the array lists the ``most`` of the highest confidence, so it stays small
+    for an item that everything points to.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), "evidence_id"))
+    best = evidence.withColumn("place", place).where(F.col("place") <= most).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "evidence_id", "confidence"))).alias("evidence"))
+    c = F.col("confidence")
+    counts = evidence.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_evidence"), F.round(F.when(F.max(c) >= 1, 1.0).otherwise(1 - F.exp(F.sum(F.when(c < 1, F.log(1 - c))))) + 1e-9, 6).alias("combined"))
+    out = items.join(counts, keys, "left").join(best, keys, "left")
+    return out.withColumns({"n_evidence": F.coalesce("n_evidence", F.lit(0)), "combined": F.coalesce("combined", F.lit(0.0)), "evidence": F.coalesce("evidence", F.array().cast(best.schema["evidence"].dataType))})
+
+
+def subsystem_candidates(labels: DataFrame, members: DataFrame, edge_table: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """A candidate per directory with five signals, from 0 to 1, and how many of them agree.
+
+    Directory: the largest part of its files that one community (``labels``: node, label) holds. Community: the part of that
+    community that lies in the directory. Imports: the part of its files' import edges that stay inside. Co-change: the same for
+    ``pairs`` (file_a, file_b, support), by support. Naming: the part of its files (``names``: file_id, word) with its most frequent word.
+    """
+    of = members.select(F.col("file_id").alias("node"), "subsystem").join(labels.select("node", "label"), "node", "left")
+    cells = of.groupBy("subsystem", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes, inside = cells.groupBy("subsystem").agg(F.sum("n").alias("n_files")), cells.where("label is not null")
+    largest = top_per(inside, "subsystem", "label").join(inside.groupBy("label").agg(F.sum("n").alias("n_label")), "label")
+
+    def stays(df: DataFrame, a: str, b: str, weight: Column, name: str) -> DataFrame:
+        left, right = members.select(F.col("file_id").alias(a), F.col("subsystem").alias("sa")), members.select(F.col("file_id").alias(b), F.col("subsystem").alias("sb"))
+        ends = df.join(left, a).join(right, b).select(weight.alias("w"), F.explode(F.array_distinct(F.array("sa", "sb"))).alias("subsystem"), (F.col("sa") == F.col("sb")).alias("inner"))
+        return ends.groupBy("subsystem").agg(F.round(F.sum(F.when(F.col("inner"), F.col("w")).otherwise(0)) / F.sum("w"), 6).alias(name))
+
+    words = members.join(names, "file_id").groupBy("subsystem", "word").agg(F.count_distinct("file_id").alias("n"))
+    named = words.groupBy("subsystem").agg(F.max("n").alias("n_named"))
+    out = sizes.join(largest.select("subsystem", "label", "n", "n_label"), "subsystem", "left").join(named, "subsystem", "left")
+    out = out.join(stays(edge_table, "src", "dst", F.lit(1), "import_signal"), "subsystem", "left").join(stays(pairs, "file_a", "file_b", F.col("support"), "cochange_signal"), "subsystem", "left")
+    part = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    out = out.withColumns({"directory_signal": part("n", "n_files"), "community_signal": part("n", "n_label"), "naming_signal": part("n_named", "n_files")}).fillna(0.0, ["import_signal", "cochange_signal"])
+    signals = ("directory_signal", "community_signal", "import_signal", "cochange_signal", "naming_signal")
+    agreeing = reduce(lambda a, b: a + b, ((F.col(s) >= 0.5).cast("int") for s in signals))
+    return out.select("subsystem", "label", "n_files", *signals, agreeing.alias("agreeing"), F.when(agreeing >= 2, "confirmed").otherwise("candidate").alias("status"))
+
+
+def architecture_inputs(subsystems: DataFrame, dependencies: DataFrame, central: DataFrame, edge_table: DataFrame, files: DataFrame, docs: DataFrame) -> DataFrame:
+    """One table (kind, item, value) of what an architecture is described from.
+
+    Confirmed subsystems with their files, dependencies between subsystems with their edges, central files (node, value), entry points
+    (files that import but that no file imports) with their imports, external dependencies (imported, but no file) with their
+    importers, and documents (doc_id, n_chars).
+    """
+    row = lambda df, kind, item, value: df.select(F.lit(kind).alias("kind"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+    known = files.select(F.col("file_id").alias("node")).distinct()
+    out_of = edge_table.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(edge_table.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").join(known, "node", "left_semi")
+    outside = edge_table.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(known, "node", "left_anti")
+    parts = [
+        row(subsystems.where("status = 'confirmed'"), "subsystem", F.col("subsystem"), F.col("n_files")),
+        row(dependencies, "dependency", F.concat_ws(" > ", "src_subsystem", "dst_subsystem"), F.col("n_edges")),
+        row(central, "central_file", F.col("node"), F.col("value")),
+        row(out_of, "entry_point", F.col("node"), F.col("n")),
+        row(outside, "external", F.col("node"), F.col("n")),
+        row(docs, "document", F.col("doc_id"), F.col("n_chars")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def section_tables(counts: DataFrame, status: DataFrame) -> DataFrame:
+    """Per snapshot and section: items, and whether the section is empty or partial.
+
+    ``status`` has snapshot_id, section and section_status, ``counts`` snapshot_id, section and n_items. A section is empty if it is there but
+    holds nothing, and a snapshot's available sections are partial while any other of them isn't available.
+    """
+    out = status.join(counts, ["snapshot_id", "section"], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    there = F.col("section_status") == "available"
+    missing = F.sum((~there).cast("int")).over(Window.partitionBy("snapshot_id"))
+    return out.withColumns({"is_empty": there & (F.col("n_items") == 0), "is_partial": there & (missing > 0)})

@@ -12,6 +12,7 @@ from corvane.functions import text as tx
 from corvane.session import written
 
 # Mode weights of each question intent.
+BITMAP = 1024  # words of 64 bits: what a text is filtered with before its terms are joined
 MODES = {"decision": (0.5, 0.3, 0.2), "contributor": (0.2, 0.2, 0.6), "dependency": (0.2, 0.2, 0.6), "historical": (0.5, 0.3, 0.2), "subsystem": (0.3, 0.4, 0.3), "architecture": (0.3, 0.5, 0.2), "symbol": (0.7, 0.2, 0.1), "file": (0.7, 0.2, 0.1), "overview": (0.3, 0.6, 0.1), "mixed": (0.4, 0.4, 0.2)}
 
 
@@ -26,34 +27,61 @@ def lookup_exact(queries: DataFrame, names: DataFrame) -> DataFrame:
     return queries.join(names, "key").select("query_id", "doc_id")
 
 
-def lookup_prefix(queries: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
-    """(query_id, doc_id) where the item's key starts with the query's (of ``least`` characters or more).
+def lookup_prefix(queries: DataFrame, names: DataFrame, head: int = 3) -> DataFrame:
+    """(query_id, doc_id) where the item's key starts with the query's.
 
-    Both sides meet on the first ``least`` characters, so it stays an equi-join.
+    Both sides meet on the query's first ``head`` characters, or on all of a shorter one, so it stays an equi-join. An empty
+    query starts every key and is refused, like a null one.
     """
-    head = lambda c: F.substring(c, 1, least)
-    asked = queries.where(F.length("key") >= least).select("query_id", F.col("key").alias("prefix"), head("key").alias("head"))
-    return names.withColumn("head", head("key")).join(asked, "head").where(F.startswith("key", "prefix")).select("query_id", "doc_id")
+    asked = queries.where(F.length("key") > 0).select("query_id", F.col("key").alias("prefix"), F.substring("key", 1, head).alias("head"))
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(head)), lambda i: F.col("key").substr(F.lit(1), i)))
+    return names.select("doc_id", "key", F.explode(heads).alias("head")).join(asked, "head").where(F.startswith("key", "prefix")).select("query_id", "doc_id")
+
+
+def containing(docs: DataFrame, items: DataFrame, run: int = 3) -> DataFrame:
+    """(query_id, doc_id) where the document's text holds the item's (query_id, question) as a substring.
+
+    Inside an item all words but the first and the last are whole words of a text that holds it, so both meet on a run
+    of ``run`` such words, the longest one of the item, in an inverted join; the hits are then looked at. Items of too few words
+    for that are compared with each text. Null and empty items are in no document.
+    """
+    words = lambda c: F.split(c, "[\\x09-\\x0D ]+")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - run + 1), lambda i: F.array_join(F.slice(w, i, run), " "))
+    asked = items.where(F.length("question") > 0).select("query_id", F.col("question").alias("item"), words("question").alias("w"))
+    able = F.size("w") >= run + 2
+    inner = asked.where(able).withColumn("w", F.slice("w", F.lit(2), F.size("w") - 2))
+    longest = F.array_max(F.transform(runs(F.col("w")), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    keyed = written(inner.select("query_id", "item", F.xxhash64(longest).alias("key")))
+    split = docs.select("doc_id", words("text").alias("w")).where(F.size("w") >= run)
+    keys = F.array_distinct(F.transform(runs(F.col("w")), lambda r: F.xxhash64(r)))
+    near = written(split.select("doc_id", F.explode(keys).alias("key")).join(keyed.select("query_id", "key"), "key").select("doc_id", "query_id").distinct())
+    texts = docs.select("doc_id", "text")
+    hits = texts.join(near, "doc_id").join(keyed.select("query_id", "item"), "query_id").where(F.contains("text", "item"))
+    few = texts.join(asked.where(~able).select("query_id", "item"), F.contains("text", "item"))
+    return hits.select("query_id", "doc_id").unionByName(few.select("query_id", "doc_id"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of every document that shares a term with a question, rounded to 6 digits.
 
-    ``queries`` has query_id and question, ``docs`` doc_id and text. Postings are filtered to the questions' terms
-    before they are shuffled.
+    ``queries`` has query_id and question, ``docs`` doc_id and text. Every text is split once: its length and the terms that a
+    bitmap of the questions' terms lets through are written, and only those are joined and shuffled.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("term"))
-    terms = docs.select("doc_id", tx.tokens(F.col("text")).alias("terms"))
-    length = docs.select("doc_id", F.size(tx.tokens(F.col("text"))).alias("length"))
-    length = written(length)
-    stats = length.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))  # one row
     wanted = written(asked.select("term").distinct())
-    tf = terms.select("doc_id", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    place = lambda term: F.pmod(F.xxhash64(term), F.lit(64 * BITMAP))
+    marks = wanted.select(place("term").alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()  # BITMAP rows at most
+    bitmap = F.lit([dict(map(tuple, marks)).get(i, 0) for i in range(BITMAP)]).cast("array<long>")
+    maybe = lambda term: F.getbit(F.element_at(bitmap, F.floor(place(term) / 64).cast("int") + 1), F.pmod(place(term), F.lit(64)).cast("int")) == 1
+    split = docs.select("doc_id", tx.tokens(F.col("text")).alias("terms"))
+    split = written(split.select("doc_id", F.size("terms").alias("length"), F.filter("terms", maybe).alias("terms")))
+    stats = split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))  # one row
+    tf = split.select("doc_id", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = written(tf)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    posting = tf.join(df, "term").join(length, "doc_id").crossJoin(F.broadcast(stats)).select("doc_id", "term", weight.alias("weight"))
+    posting = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", weight.alias("weight"))
     return asked.join(posting, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
@@ -67,14 +95,24 @@ def trigram_match(queries: DataFrame, names: DataFrame, least: float = 0.3) -> D
     return shared.select("query_id", "doc_id", ratio.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Exact cosine top ``k``; ``queries`` (query_id, embedding) is a small, stated set.
+def _unit(c: Column) -> Column:
+    """The vector in double precision over its length; null for a null or zero vector."""
+    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return F.when(norm > 0, F.transform(c, lambda x: x.cast("double") / norm))
+
 
-    Vectors are scored where they lie; per-partition winners come before the final ranking (a window group limit).
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Exact cosine top ``k``; ``queries`` (query_id, embedding) is a stated set.
+
+    With ``scope`` columns, which both sides have, a query only meets vectors of its own repository, snapshot or the like (P15):
+    the scope is joined on before anything is scored. Vectors are scored where they lie; per-partition winners come before
+    the final ranking (a window group limit).
     """
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    scored = vectors.crossJoin(asked).where("doc_id <> query_id").select("query_id", "doc_id", F.round(tx.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top(scored, k)
+    asked = queries.select("query_id", *scope, _unit(F.col("embedding")).alias("q")).where("q is not null")
+    items = vectors.select("doc_id", *scope, _unit(F.col("embedding")).alias("v")).where("v is not null")
+    both = items.join(asked, list(scope)) if scope else items.crossJoin(asked)
+    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return top(both.where("doc_id <> query_id").select("query_id", "doc_id", F.round(dot, 6).alias("score")), k)
 
 
 def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, bucket: float = 0.9, tables: int = 24, seed: int = 7) -> DataFrame:
@@ -82,9 +120,8 @@ def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, bucket: float
 
     The projections are drawn from ``seed`` and don't depend on the data; every row is indexed.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    items = vectors.select("doc_id", "embedding", array_to_vector(unit(F.col("embedding"))).alias("unit"))
-    asked = queries.select("query_id", F.col("embedding").alias("q"), array_to_vector(unit(F.col("embedding"))).alias("unit"))
+    items = vectors.select("doc_id", "embedding", array_to_vector(_unit(F.col("embedding"))).alias("unit")).where("unit is not null")
+    asked = queries.select("query_id", F.col("embedding").alias("q"), array_to_vector(_unit(F.col("embedding"))).alias("unit")).where("unit is not null")
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(items)
 
     def buckets(df: DataFrame, *columns: str) -> DataFrame:
@@ -100,11 +137,18 @@ def proximity(hops: DataFrame) -> DataFrame:
     return hops.groupBy("query_id", "doc_id").agg(F.round(1 / (1 + F.min("depth")), 6).alias("score"))
 
 
-def fuse(modes: dict[str, DataFrame], weights: dict[str, float] | None = None, constant: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of ranked frames (query_id, doc_id, rank)."""
+def fuse(modes: dict[str, DataFrame], weights: DataFrame | dict[str, float] | None = None, constant: int = 60) -> DataFrame:
+    """Reciprocal-rank fusion of ranked frames (query_id, doc_id, rank).
+
+    ``weights`` are one number per mode, or a frame of ``route`` with each query's own ``w_<mode>`` (R9); 1 without.
+    """
     parts = None
     for name, df in modes.items():
-        one = df.select("query_id", "doc_id", (F.lit((weights or {}).get(name, 1.0)) / (constant + F.col("rank"))).alias("part"))
+        if isinstance(weights, DataFrame):
+            df, weight = df.join(weights.select("query_id", f"w_{name}"), "query_id"), F.col(f"w_{name}")
+        else:
+            weight = F.lit((weights or {}).get(name, 1.0))
+        one = df.select("query_id", "doc_id", (weight / (constant + F.col("rank"))).alias("part"))
         parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 8).alias("score"))
 

@@ -55,9 +55,9 @@ def rank_agreement(t: Tables) -> DataFrame:
     return evaluate.rank_agreement(side("authored"), side("reviews"), "contributor_id", "score")
 
 
-@query("kendall_tau", "with r as (select p_partkey as item, p_size as a, p_retailprice as b from part where p_size > 25) select round(sum(sign(x.a - y.a) * sign(x.b - y.b)) / count(*), 6) as tau from r x join r y on x.item < y.item")
+@query("kendall_tau", "with r as (select p_partkey as item, p_size as a, p_retailprice as b from part) select round(sum(sign(x.a - y.a) * sign(x.b - y.b)) / count(*), 6) as tau from r x join r y on x.item < y.item")
 def kendall_tau(t: Tables) -> DataFrame:
-    return evaluate.kendall_tau(t("part").where("p_size > 25").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("a"), F.col("p_retailprice").alias("b")))
+    return evaluate.kendall_tau(t("part").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("a"), F.col("p_retailprice").alias("b")))
 
 
 @query("edge_quality", "with f as (select src, dst from v_imports where src % 5 <> 0), g as (select src, dst from v_imports where dst % 7 <> 0), n as (select (select count(*) from f) as n_found, (select count(*) from g) as n_gold, (select count(*) from f join g using (src, dst)) as n_right) select n_found, n_gold, n_right, round(n_right / n_found, 6) as precision, round(n_right / n_gold, 6) as recall, round(2 * (n_right / n_found) * (n_right / n_gold) / (n_right / n_found + n_right / n_gold), 6) as f1 from n", "v_imports")

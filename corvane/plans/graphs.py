@@ -11,8 +11,7 @@ from corvane.plans.registry import query
 from corvane.sources.fixtures import Tables
 
 
-def imports(t: Tables, thin: int = 1) -> DataFrame:
-    """The import edges; ``thin`` keeps each edge whose ends agree modulo it, for work that SQL can't follow otherwise."""
+def imports(t: Tables) -> DataFrame:
     return t("v_imports")
 
 
@@ -58,15 +57,18 @@ def build_edges(t: Tables) -> DataFrame:
 
 @query(
     "graph_rejects",
-    f"""with {NODES}, {EDGES} select source_key, target_key, relationship_type, case when relationship_type = 'LIKES' then 'unknown_relation' when a.node_key is null then 'missing_source' when b.node_key is null then 'missing_target'
- when source_key = target_key then 'self_loop' when relationship_type = 'PART_OF_SUBSYSTEM' then 'pair_not_allowed' end as reject_reason
- from e left join n a on a.node_key = source_key left join n b on b.node_key = target_key
- where relationship_type in ('LIKES', 'PART_OF_SUBSYSTEM') or a.node_key is null or b.node_key is null or source_key = target_key""",
+    f"""with {NODES}, {EDGES}, k as (select *, case when knowledge_kind = 'inferred' then split_part(source_key, ':', 2)::bigint end as k from e),
+ r as (select source_key, target_key, relationship_type, case when relationship_type = 'LIKES' then 'unknown_relation' when a.node_key is null then 'missing_source' when b.node_key is null then 'missing_target'
+ when source_key = target_key then 'self_loop' when relationship_type = 'MODIFIES' then 'pair_not_allowed' when k % 3 = 0 then 'inferred_without_confidence' when k % 5 = 0 then 'inferred_without_provenance'
+ when k % 2 = 0 and k % 7 = 0 then 'confirmed_without_evidence' end as reject_reason
+ from k left join n a on a.node_key = source_key left join n b on b.node_key = target_key) select * from r where reject_reason is not null""",
     *EDGE_VIEWS,
 )
 def graph_rejects(t: Tables) -> DataFrame:
-    pairs = t.spark.createDataFrame([("IMPORTS", "file", "file"), ("MODIFIES", "commit", "file"), ("AUTHORED", "person", "commit")], "relationship_type string, source_type string, target_type string")
-    found = graph.validate_graph(_nodes(t), _edges(t), pairs)
+    pairs = t.spark.createDataFrame([("IMPORTS", "file", "file"), ("PART_OF_SUBSYSTEM", "file", "subsystem"), ("AUTHORED", "person", "commit")], "relationship_type string, source_type string, target_type string")
+    k = F.when(F.col("knowledge_kind") == "inferred", F.split_part("source_key", F.lit(":"), F.lit(2)).cast("long"))
+    judged = _edges(t).withColumn("k", k).withColumns({"confidence": F.when(F.col("k") % 3 != 0, 0.6), "provenance": F.when(F.col("k") % 5 != 0, "signals"), "status": F.when(F.col("k") % 2 == 0, "confirmed")})
+    found = graph.validate_graph(_nodes(t), judged, pairs, evidence=judged.where("k % 7 <> 0").select("source_key", "target_key"))
     return found.where("reject_reason is not null").select("source_key", "target_key", "relationship_type", "reject_reason")
 
 
@@ -100,13 +102,13 @@ SEEDS = "s as (select distinct src as node from v_imports where src % 100 = 0)"
 
 @query(
     "neighbors_3",
-    f"with {SEEDS}, e as (select distinct src, dst from v_imports), r as (select node as seed, node, 0 as depth from s union select r.seed, e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 3) select seed, node, min(depth)::int as depth from r group by 1, 2",
+    f"with {SEEDS}, e as (select distinct src, dst from v_imports), r as (select node as seed, node, 0 as depth from s union select r.seed, e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 3), m as (select seed, node, min(depth)::int as depth from r group by 1, 2) select * from m qualify row_number() over (partition by seed order by depth, node) <= 500",
     "v_imports",
     recursive=True,
 )
 def neighbors_3(t: Tables) -> DataFrame:
     seeds = t("v_imports").where("src % 100 = 0").select(F.col("src").alias("node")).distinct()
-    return graph.neighbors(seeds, imports(t), 3, None)
+    return graph.neighbors(seeds, imports(t), 3)
 
 
 PATHS = """x as (select min(src) as s from v_imports), e as (select distinct src, dst from v_imports),
@@ -129,8 +131,8 @@ def path_check(t: Tables) -> DataFrame:
 
 @query(
     "components",
-    """with e as (select src as a, dst as b from v_imports union select dst, src from v_imports), r as (select a as node, a as label from e union select e.b, r.label from r join e on e.a = r.node and r.label < e.b)
-select node, min(label) as component from r group by 1""",
+    """with e as (select src as a, dst as b from v_imports union select dst, src from v_imports), r(node, label) using key (node) as (select a, a from e union select e.b, min(r.label) from r join e on e.a = r.node join recurring.r k on k.node = e.b where r.label < k.label group by 1)
+select node, label as component from r""",
     "v_imports",
     recursive=True,
 )
@@ -148,7 +150,12 @@ def pagerank_10(t: Tables) -> DataFrame:
     return graph.pagerank(imports(t), 10).select("node", F.round("rank", 8).alias("rank"))
 
 
-@query("communities")
+LABELS = "ce as materialized (select src as node, dst as other from v_imports where src <> dst union select dst, src from v_imports where src <> dst), c0 as materialized (select src as node, src as label from v_imports union select dst, dst from v_imports)" + "".join(
+    f", c{i} as materialized (select node, label from (select node, label, count(*) as votes from (select ce.node, c{i - 1}.label from ce join c{i - 1} on c{i - 1}.node = ce.other union all select node, label from c{i - 1}) group by 1, 2) qualify row_number() over (partition by node order by votes desc, label) = 1)" for i in range(1, 11)
+)
+
+
+@query("communities", f"with {LABELS} select node, c10.label, c10.label = c9.label as settled from c10 join c9 using (node)", "v_imports")
 def communities(t: Tables) -> DataFrame:
     return graph.communities(imports(t))
 
@@ -165,7 +172,7 @@ def bridge_nodes(t: Tables) -> DataFrame:
 
 @query("betweenness")
 def betweenness(t: Tables) -> DataFrame:
-    pivots = t("v_imports").where("src % 50 = 0").select(F.col("src").alias("node")).distinct()
+    pivots = t("v_imports").where("src % 100 = 0").select(F.col("src").alias("node")).distinct()
     return graph.betweenness(imports(t), pivots).withColumn("betweenness", F.round("betweenness", 6))
 
 
@@ -271,9 +278,10 @@ def timeline_weekly(t: Tables) -> DataFrame:
     return infer.per_period(_timeline(t), "week")
 
 
-@query("overview_statistics", "select 'commits' as kind, count(*) as n from v_commits union all select 'contributors', count(distinct author_id) from v_commits union all select 'files', count(*) from v_files union all select 'reviews', count(*) from v_reviews", "v_commits", "v_files", "v_reviews")
+@query("overview_statistics", "select 'commits' as kind, count(*) as n from v_commits union all select 'contributors', count(distinct author_id) from v_commits union all select 'files', count(*) from v_files union all select 'issues', count(distinct discussion_id) from v_discussions union all select 'pull_requests', count(distinct sha) from v_reviews union all select 'releases', count(*) from v_snapshots where status = 'ready'", "v_commits", "v_files", "v_reviews", "v_discussions", "v_snapshots")
 def overview_statistics(t: Tables) -> DataFrame:
-    return checks.report({"commits": t("v_commits"), "contributors": t("v_commits").select("author_id").distinct(), "files": t("v_files"), "reviews": t("v_reviews")}).withColumnRenamed("rule", "kind")
+    kinds = {"commits": t("v_commits"), "contributors": t("v_commits").select("author_id").distinct(), "files": t("v_files"), "issues": t("v_discussions").select("discussion_id").distinct(), "pull_requests": t("v_reviews").select("sha").distinct(), "releases": t("v_snapshots").where("status = 'ready'")}
+    return infer.statistics(kinds)
 
 
 @query("language_share", "select language, count(*) as n_files, round(count(*) / sum(count(*)) over (), 6) as share from v_files group by 1", "v_files")
@@ -322,11 +330,11 @@ def subsystem_status(t: Tables) -> DataFrame:
 
 @query(
     "architecture_fallback",
-    f"with s as ({STATUS}), ok as (select count(*) as n from s where status = 'confirmed' and n_files > 100000) select subsystem, 'subsystem' as basis from s, ok where status = 'confirmed' and n > 0 union all select distinct directory, 'directory' from v_files, ok where n = 0",
+    f"with s as ({STATUS}), ok as (select count(*) as n from s where status = 'confirmed') select subsystem, 'subsystem' as basis from s, ok where status = 'confirmed' and n > 0 union all select distinct directory, 'directory' from v_files, ok where n = 0",
     "v_signals", "v_files",
 )
 def architecture_fallback(t: Tables) -> DataFrame:
-    return infer.architecture(_status(t).where("n_files > 100000"), t("v_files"))
+    return infer.architecture(_status(t), t("v_files"))
 
 
 DECISION = """select decision_id, n_evidence, n_firm, combined, hops, chain, case when n_firm = 0 then 'insufficient_evidence' when combined >= 0.8 and n_firm >= 2 then 'confirmed' when combined < 0.2 then 'rejected' else 'candidate' end as status from (
@@ -351,7 +359,7 @@ def confidence_bands(t: Tables) -> DataFrame:
 
 @query(
     "ontology_report",
-    """select 'C7 confidence range' as rule, (select count(*) from v_evidence where confidence not between 0 and 0.9) as n union all select 'C8 self-loops', (select count(*) from v_imports where src = dst)
+    """select 'C7 confidence range' as rule, (select count(*) from v_evidence where confidence not between 0 and 1) as n union all select 'C8 self-loops', (select count(*) from v_imports where src = dst)
 union all select 'C9 decisions on model output alone', (select count(*) from (select decision_id from v_evidence group by 1 having count(*) filter (evidence_type <> 'model_inference') = 0)) union all select 'C11 vector lengths', (select count(*) from embeddings where len(embedding) <> 64)""",
     "v_evidence", "v_imports",
 )
@@ -359,7 +367,7 @@ def ontology_report(t: Tables) -> DataFrame:
     evidence = t("v_evidence")
     return checks.report(
         {
-            "C7 confidence range": checks.outside(evidence, "confidence", 0, 0.9),
+            "C7 confidence range": checks.outside(evidence, "confidence", 0, 1),
             "C8 self-loops": imports(t).where("src = dst"),
             "C9 decisions on model output alone": checks.unproven(evidence.select("decision_id").distinct(), evidence, ["decision_id"], "model_inference"),
             "C11 vector lengths": t("embeddings").where(F.size("embedding") != 64),
@@ -378,12 +386,14 @@ def evidence_chain(t: Tables) -> DataFrame:
 
 @query(
     "published_items",
-    "select e.decision_id, e.evidence_id, case e.evidence_type when 'model_inference' then 'Inferred' else 'Observed' end as label from v_evidence e where confidence >= 0.55 and evidence_type <> 'model_inference' and decision_id % 10 = 0 and decision_id in (select sha from v_commit_files)",
+    "select e.decision_id, e.evidence_id, case e.evidence_type when 'model_inference' then 'Inferred' else 'Observed' end as label from v_evidence e where confidence >= 0.55 and evidence_type <> 'model_inference' and decision_id in (select sha from v_commit_files where file_id % 9 <> 0) and decision_id in (select decision_id from v_evidence group by 1 having count(*) filter (evidence_type <> 'model_inference') >= 2 and count(*) filter (confidence >= 0.8) > 0)",
     "v_evidence", "v_commit_files",
 )
 def published_items(t: Tables) -> DataFrame:
-    scoped = t("v_evidence").where("decision_id % 10 = 0")
-    return infer.publishable(scoped, t("v_commit_files").select(F.col("sha").alias("decision_id")), 0.55, ("artifact", "source_span")).select("decision_id", "evidence_id", infer.knowledge_label(F.col("evidence_type")).alias("label"))
+    e = t("v_evidence")
+    confirmed = e.groupBy("decision_id").agg(F.count_if(F.col("evidence_type") != "model_inference").alias("n"), F.count_if(F.col("confidence") >= 0.8).alias("sure")).select("decision_id", F.when((F.col("n") >= 2) & (F.col("sure") > 0), "confirmed").otherwise("candidate").alias("status"))
+    items = e.join(confirmed, "decision_id").withColumns({"provenance": F.lit("evidence"), "verified": F.lit(True)})
+    return infer.publishable(items, t("v_commit_files").where("file_id % 9 <> 0").select(F.col("sha").alias("decision_id")), 0.55, ("artifact", "source_span")).select("decision_id", "evidence_id", infer.knowledge_label(F.col("evidence_type")).alias("label"))
 
 
 @query("knowledge_labels", "select evidence_type, case evidence_type when 'model_inference' then 'Inferred' else 'Observed' end as label, count(*) as n from v_evidence group by 1", "v_evidence")

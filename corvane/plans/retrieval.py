@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as tx
 from corvane.operators import graph, infer, search
 from corvane.plans.registry import query
+from corvane.session import written
 from corvane.sources.fixtures import Tables
 
 WORDS = r"'[\p{L}\p{N}]+'"
@@ -46,12 +47,12 @@ def lsh_topk(t: Tables) -> DataFrame:
     return search.lsh_top_k(t("v_vec_queries"), _vectors(t))
 
 
-NAMES = "nm as (select p_partkey as doc_id, lower(p_name) as key from part), qk as (select doc_id as query_id, substr(key, 1, 6) as key from nm where doc_id % 100 = 1)"
+NAMES = "nm as (select p_partkey as doc_id, lower(p_name) as key from part), qk as (select doc_id as query_id, substr(key, 1, 6) as key from nm where doc_id % 100 = 0)"
 
 
 def _names(t: Tables) -> tuple[DataFrame, DataFrame]:
     names = t("part").select(F.col("p_partkey").alias("doc_id"), F.lower("p_name").alias("key"))
-    return names.where("doc_id % 100 = 1").select(F.col("doc_id").alias("query_id"), F.substring("key", 1, 6).alias("key")), names
+    return names.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("key", 1, 6).alias("key")), names
 
 
 @query("prefix_match", f"with {NAMES} select query_id, doc_id from qk join nm on starts_with(nm.key, qk.key)")
@@ -59,38 +60,63 @@ def prefix_match(t: Tables) -> DataFrame:
     return search.lookup_prefix(*_names(t))
 
 
-@query("exact_match", "with nm as (select p_partkey as doc_id, lower(p_name) as key from part) select a.doc_id as query_id, b.doc_id from nm a join nm b on a.key = b.key where a.doc_id % 100 = 1")
+@query("exact_match", "with nm as (select p_partkey as doc_id, lower(p_name) as key from part) select a.doc_id as query_id, b.doc_id from nm a join nm b on a.key = b.key where a.doc_id % 100 = 0")
 def exact_match(t: Tables) -> DataFrame:
     names = _names(t)[1]
-    return search.lookup_exact(names.where("doc_id % 100 = 1").select(F.col("doc_id").alias("query_id"), "key"), names)
+    return search.lookup_exact(names.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "key"), names)
 
 
 @query(
     "trigram_match",
     """with nm as (select p_partkey as doc_id, lower(p_name) as key from part), g as (select doc_id, list_distinct(list_transform(range(1, greatest(length(key) - 2, 1) + 1), lambda i: substr(key, i, 3))) as g from nm),
-s as (select a.doc_id as query_id, b.doc_id, len(list_intersect(a.g, b.g)) as shared, len(a.g) as n, len(b.g) as m from g a, g b where a.doc_id % 100 = 1)
+s as (select a.doc_id as query_id, b.doc_id, len(list_intersect(a.g, b.g)) as shared, len(a.g) as n, len(b.g) as m from g a, g b where a.doc_id % 100 = 0)
 select query_id, doc_id, round(shared / (n + m - shared), 6) as similarity from s where round(shared / (n + m - shared), 6) >= 0.5""",
 )
 def trigram_match(t: Tables) -> DataFrame:
     names = _names(t)[1]
-    return search.trigram_match(names.where("doc_id % 100 = 1").select(F.col("doc_id").alias("query_id"), "key"), names, 0.5)
+    return search.trigram_match(names.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "key"), names, 0.5)
 
 
-SECOND = "se as (select b.item_id as query_id, d.doc_id, length(d.text) as w from documents d join benchmark b on contains(d.text, b.text)), s2 as (select query_id, doc_id, row_number() over (partition by query_id order by w, doc_id)::int as rank from se)"
-HYBRID = f"{BM25}, {SECOND}, pt as (select query_id, doc_id, 1.0 / (60 + rank) as part from kw union all select query_id, doc_id, 0.5 / (60 + rank) from s2), hy as (select query_id, doc_id, round(sum(part), 8) as score from pt group by 1, 2), ht as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from hy qualify rank <= 10)"
+INTENT = "case " + " ".join(f"when regexp_matches(lower(coalesce(text, '')), '{p}') then '{n}'" for n, p in tx.INTENTS) + " else 'mixed' end"
+MODE = lambda i: "case intent " + " ".join(f"when '{k}' then {w[i]}" for k, w in search.MODES.items()) + " end"
+HYBRID = f"""{BM25}, hq as (select query_id, list_transform(embedding, lambda x: x::double) as q from v_queries join embeddings on vec_id = query_id), hd as (select vec_id as doc_id, list_transform(embedding, lambda x: x::double) as d from embeddings),
+hs as (select query_id, doc_id, round(list_cosine_similarity(q, d), 6) as score from hq, hd where query_id <> doc_id), hv as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from hs qualify rank <= 10),
+he as (select distinct src, dst from v_imports), g0 as (select query_id, doc_id from kw where rank = 1), g1 as (select query_id, dst as doc_id from g0 join he on src = doc_id), g2 as (select query_id, dst as doc_id from g1 join he on src = doc_id),
+gp as (select query_id, doc_id, round(1 / (1 + min(depth)), 6) as score from (select *, 0 as depth from g0 union all select *, 1 from g1 union all select *, 2 from g2) group by 1, 2), gr as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from gp qualify rank <= 10),
+rt as (select query_id, ({MODE(0)})::double as wk, ({MODE(1)})::double as wv, ({MODE(2)})::double as wg from (select query_id, {INTENT.replace("text", "question")} as intent from v_queries)),
+pt as (select query_id, doc_id, wk / (60 + rank) as part from kw join rt using (query_id) union all select query_id, doc_id, wv / (60 + rank) from hv join rt using (query_id) union all select query_id, doc_id, wg / (60 + rank) from gr join rt using (query_id)),
+hy as (select query_id, doc_id, round(sum(part), 8) as score from pt group by 1, 2), ht as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from hy qualify rank <= 10)"""
 
 
 def hybrid(t: Tables) -> DataFrame:
-    phrase = t("v_gold").join(t("documents").select("doc_id", F.length("text").alias("w")), "doc_id")
-    second = search.top(phrase.select("query_id", "doc_id", (-F.col("w")).alias("score")), 1 << 30).select("query_id", "doc_id", "rank")
-    return search.top(search.fuse({"keyword": keyword(t), "phrase": second}, {"keyword": 1.0, "phrase": 0.5}), 10)
+    """Keyword, vector and graph retrieval, fused with the weights of each question's intent.
+
+    Documents, vectors and files share ids: a question's vector is that of its own id, and the graph is walked from its best keyword hit.
+    """
+    questions = t("v_queries")
+    words = written(keyword(t))
+    asked = questions.select("query_id").join(t("embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    near = search.vector_top_k(asked, _vectors(t))
+    seeds = words.where("rank = 1").select("query_id", F.col("doc_id").alias("seed"))
+    hops = graph.neighbors(seeds.select(F.col("seed").alias("node")).distinct(), t("v_imports"), 2, None).join(seeds, "seed")
+    around = search.top(search.proximity(hops.select("query_id", F.col("node").alias("doc_id"), "depth")), 10)
+    return search.top(search.fuse({"keyword": words, "vector": near, "graph": around}, search.route(questions)), 10)
 
 
-@query("hybrid_rrf", f"with {HYBRID} select * from ht", "v_queries")
+@query("hybrid_rrf", f"with {HYBRID} select * from ht", "v_queries", "v_imports")
 def hybrid_rrf(t: Tables) -> DataFrame:
     return hybrid(t)
 
 
+SCOPED = VEC.replace("select query_id, list", "select query_id, label, list").replace("select vec_id as doc_id, list", "select vec_id as doc_id, label, list").replace("from vq, vd where query_id <> doc_id", "from vq join vd using (label) where query_id <> doc_id")
+
+
+@query("vector_scoped", f"with {SCOPED} select * from vt", "v_vec_queries")
+def vector_scoped(t: Tables) -> DataFrame:
+    items = t("embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
+    return search.vector_top_k(t("v_vec_queries"), items, scope=("label",))
+
+
 BUDGET = "bu as (select query_id, doc_id, rank, score, length as tokens, sum(length) over (partition by query_id order by rank) as running from kw join ln using (doc_id))"
 
 
@@ -107,11 +133,7 @@ def graph_proximity(t: Tables) -> DataFrame:
     return search.proximity(near.select(F.col("seed").alias("query_id"), F.col("node").alias("doc_id"), "depth"))
 
 
-INTENT = "case " + " ".join(f"when regexp_matches(lower(coalesce(text, '')), '{p}') then '{n}'" for n, p in tx.INTENTS) + " else 'mixed' end"
-WEIGHT = "case intent " + " ".join(f"when '{k}' then {w[0]}" for k, w in search.MODES.items()) + " end"
-
-
-@query("intent_router", f"select discussion_id, turn, intent, ({WEIGHT})::double as w_keyword from (select *, {INTENT} as intent from v_discussions where role = 'user')", "v_discussions")
+@query("intent_router", f"select discussion_id, turn, intent, ({MODE(0)})::double as w_keyword from (select *, {INTENT} as intent from v_discussions where role = 'user')", "v_discussions")
 def intent_router(t: Tables) -> DataFrame:
     return search.route(t("v_discussions").where("role = 'user'"), "text").select("discussion_id", "turn", "intent", "w_keyword")
 
@@ -151,15 +173,15 @@ def answer_records(t: Tables) -> DataFrame:
     return out.select("query_id", "question", "n_evidence", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"), "confidence", "insufficient")
 
 
-@query("reranked", f"with {BM25}, e as (select l_orderkey as doc_id, case l_returnflag when 'A' then 'artifact' when 'R' then 'source_span' else 'model_inference' end as evidence_type, round(l_discount * 10, 2) as confidence from lineitem where l_linenumber = 1) select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, confidence desc nulls last, case evidence_type when 'artifact' then 0 when 'source_span' then 1 else 2 end, doc_id)::int as place from kw left join (select doc_id, min(evidence_type) as evidence_type, max(confidence) as confidence from e group by 1) using (doc_id)", "v_queries")
+@query("reranked", f"with {BM25}, e as (select l_orderkey as doc_id, case l_returnflag when 'A' then 'artifact' when 'R' then 'source_span' else 'model_inference' end as evidence_type, round(l_discount * 10, 2) as confidence from lineitem) select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, confidence desc nulls last, case evidence_type when 'artifact' then 0 when 'source_span' then 1 else 2 end, doc_id)::int as place from kw left join (select doc_id, min(evidence_type) as evidence_type, max(confidence) as confidence from e group by 1) using (doc_id)", "v_queries")
 def reranked(t: Tables) -> DataFrame:
-    evidence = t("v_evidence").where("evidence_id = 1").groupBy(F.col("decision_id").alias("doc_id")).agg(F.min("evidence_type").alias("evidence_type"), F.max("confidence").alias("confidence"))
+    evidence = t("v_evidence").groupBy(F.col("decision_id").alias("doc_id")).agg(F.min("evidence_type").alias("evidence_type"), F.max("confidence").alias("confidence"))
     return search.rerank(keyword(t), evidence).select("query_id", "doc_id", "score", "place")
 
 
-@query("search_filtered", "select decision_id, evidence_id, evidence_type from v_evidence where evidence_type in ('artifact', 'source_span') and confidence >= 0.5 and decision_id % 10 = 1", "v_evidence")
+@query("search_filtered", "select decision_id, evidence_id, evidence_type from v_evidence where evidence_type in ('artifact', 'source_span') and confidence >= 0.5", "v_evidence")
 def search_filtered(t: Tables) -> DataFrame:
-    return t("v_evidence").where(F.col("evidence_type").isin("artifact", "source_span") & (F.col("confidence") >= 0.5) & (F.col("decision_id") % 10 == 1)).select("decision_id", "evidence_id", "evidence_type")
+    return t("v_evidence").where(F.col("evidence_type").isin("artifact", "source_span") & (F.col("confidence") >= 0.5)).select("decision_id", "evidence_id", "evidence_type")
 
 
 @query("release_contents", r"with r as (select discussion_id * 1000 + turn as artifact_id, 'see #' || (discussion_id % 50) || ' and #' || (turn + 1000000) as text from v_discussions) select distinct artifact_id, x::bigint as number from (select artifact_id, unnest(regexp_extract_all(text, '#(\d+)', 1)) as x from r) where x::bigint in (select query_id from v_queries)", "v_discussions", "v_queries")
