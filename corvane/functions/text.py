@@ -102,6 +102,25 @@ def imports_of(files: DataFrame, path_col: str = "path", text_col: str = "conten
     return good.select(path_col, F.explode(F.when(language == "Python", python).otherwise(script)).alias("module")).distinct(), rejects
 
 
+def symbols_of(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """(path, symbol, kind) of functions and classes that begin a line, by line patterns for three languages."""
+    language = language_of(F.col(path_col))
+    good = files.where(F.col(text_col).isNotNull() & language.isNotNull())
+    found = lambda python, script: F.when(language == "Python", F.regexp_extract_all(text_col, F.lit(python), 1)).otherwise(F.regexp_extract_all(text_col, F.lit(script), 1))
+    kinds = {"function": found("(?m)^[ \\t]*(?:async )?def (\\w+)", "(?m)^[ \\t]*(?:export )?(?:async )?function (\\w+)"), "class": found("(?m)^[ \\t]*class (\\w+)", "(?m)^[ \\t]*(?:export )?class (\\w+)")}
+    parts = [good.select(path_col, F.explode(names).alias("symbol"), F.lit(kind).alias("kind")) for kind, names in kinds.items()]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def declared_dependencies(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """(path, dependency) that requirements files and package manifests declare; other files declare none."""
+    listed = F.regexp_extract_all(text_col, F.lit("(?m)^[ \\t]*([A-Za-z0-9][A-Za-z0-9._-]*)[ \\t]*(?:\\[|[=<>~!;]|$)"), 1)
+    named = F.concat(*(F.coalesce(F.map_keys(F.from_json(F.get_json_object(text_col, f"$.{k}"), "map<string,string>")), F.array().cast("array<string>")) for k in ("dependencies", "devDependencies")))
+    name = F.element_at(F.split(path_col, "/"), -1)
+    found = F.when(name.rlike("^requirements.*[.]txt$"), listed).when(name == "package.json", named)
+    return files.where(F.col(text_col).isNotNull()).select(path_col, F.explode(found).alias("dependency")).distinct()
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Modules to files (J9): the module's path with an extension or as a package; others stay unresolved."""
     base = F.regexp_replace(F.regexp_replace("module", "^[./]+", ""), "[.]", "/")

@@ -97,3 +97,18 @@ def gate(values: DataFrame) -> DataFrame:
 def profile(cases: DataFrame, *columns: str) -> DataFrame:
     """Cases by the given columns."""
     return cases.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_cases"))
+
+
+def decision_quality(found: DataFrame, gold: DataFrame, fields: list[str]) -> DataFrame:
+    """Precision and recall of confirmed decisions, status and field accuracy, and mean chain completeness, over decisions in both."""
+    both = found.alias("f").join(gold.alias("g"), "decision_id")
+    ours, theirs = F.col("f.status") == "confirmed", F.col("g.status") == "confirmed"
+    right = F.count_if(ours & theirs)
+    same = sum((F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}")).cast("int") for c in fields), F.lit(0)) / len(fields)
+    return both.agg(
+        F.round(F.try_divide(right, F.count_if(ours)), 6).alias("confirmed_precision"),
+        F.round(F.try_divide(right, F.count_if(theirs)), 6).alias("confirmed_recall"),
+        F.round(F.avg((F.col("f.status") == F.col("g.status")).cast("int")), 6).alias("status_accuracy"),
+        F.round(F.avg(same), 6).alias("field_accuracy"),
+        F.round(F.avg("f.chain"), 6).alias("chain_completeness"),
+    )

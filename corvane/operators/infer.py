@@ -296,3 +296,19 @@ def section_tables(counts: DataFrame, status: DataFrame) -> DataFrame:
     there = F.col("section_status") == "available"
     missing = F.sum((~there).cast("int")).over(Window.partitionBy("snapshot_id"))
     return out.withColumns({"is_empty": there & (F.col("n_items") == 0), "is_partial": there & (missing > 0)})
+
+
+def link_commit_files(changes: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
+    """MODIFIES edges of the changes (sha, file_id) whose commit and file are both known."""
+    known = changes.select("sha", "file_id").distinct().join(commits.select("sha").distinct(), "sha", "left_semi").join(files.select("file_id").distinct(), "file_id", "left_semi")
+    return graph.edges(known, "MODIFIES", "commit", F.col("sha"), "file", F.col("file_id")).drop("knowledge_kind")
+
+
+def contributor_detail(commits: DataFrame, commit_files: DataFrame, reviews: DataFrame, members: DataFrame) -> DataFrame:
+    """(contributor_id, n_commits, n_reviews, subsystems) of everyone who authored or reviewed; subsystems are distinct before they are nested."""
+    who = F.col("author_id").alias("contributor_id")
+    authored = commits.groupBy(who).agg(F.count_distinct("sha").alias("n_commits"))
+    reviewed = reviews.groupBy(F.col("reviewer_id").alias("contributor_id")).agg(F.count_distinct("sha").alias("n_reviews"))
+    places = commits.join(commit_files, "sha").join(members, "file_id").select(who, "subsystem").distinct().groupBy("contributor_id").agg(F.sort_array(F.collect_list("subsystem")).alias("subsystems"))
+    out = authored.join(reviewed, "contributor_id", "full_outer").fillna(0, ["n_commits", "n_reviews"]).join(places, "contributor_id", "left")
+    return out.withColumn("subsystems", F.coalesce("subsystems", F.array().cast("array<string>")))

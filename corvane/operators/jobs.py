@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.session import written
+
 # Allowed transitions, snapshot status of each job status, pipeline stages and the repository states that they stand for.
 ALLOWED = ("pending>queued", "pending>running", "pending>failed", "queued>running", "queued>failed", "running>running", "running>completed", "running>failed")
 SNAPSHOT_STATUS = {"pending": "pending", "queued": "pending", "running": "pending", "completed": "ready", "failed": "failed"}
@@ -18,59 +23,87 @@ def snapshot_status(status: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in SNAPSHOT_STATUS.items() for x in pair))[status]
 
 
-def reject_reason(status: Column, progress: Column, has_snapshot: Column, update: Column) -> Column:
-    """Why an update is refused in a state, null if it is accepted; the first rule that fails counts."""
-    return (
-        F.when(~F.coalesce(F.concat(status, F.lit(">"), update["status"]).isin(*ALLOWED), F.lit(False)), "transition")
-        .when(update["progress"] < progress, "progress_decreased")
-        .when((update["status"] == "completed") & (update["progress"] != 100), "completed_below_100")
-        .when((update["status"] == "failed") & update["error_message"].isNull(), "failed_without_error")
-        .when(~has_snapshot, "snapshot_missing")
-        .when(~update["progress"].between(0, 100), "progress_out_of_range")
-    )
+def reject_reason(state: list, has_snapshot: bool | None, status: str | None, progress: int | None, error: str | None) -> str | None:
+    """Why an update is refused in a state (status, progress, ...), null if it is accepted; the first rule that fails counts."""
+    if f"{state[0]}>{status}" not in ALLOWED:
+        return "transition"
+    if progress is not None and state[1] is not None and progress < state[1]:
+        return "progress_decreased"
+    if status == "completed" and progress is not None and progress != 100:
+        return "completed_below_100"
+    if status == "failed" and error is None:
+        return "failed_without_error"
+    if not has_snapshot:
+        return "snapshot_missing"
+    return "progress_out_of_range" if progress is not None and not 0 <= progress <= 100 else None
+
+
+def apply_update(state: list, has_snapshot: bool | None, at: object, status: str | None, progress: int | None, error: str | None) -> str | None:
+    """Change ``state`` (status, progress, error, started, completed) by an update, or say why not."""
+    reason = reject_reason(state, has_snapshot, status, progress, error)
+    if reason is None:
+        state[:3] = status, progress, error
+        if status == "running" and state[3] is None:
+            state[3] = at
+        if status in ("completed", "failed"):
+            state[4] = at
+    return reason
+
+
+def _folder(names: list[str]):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, known, state, has_snapshot = None, False, [], None
+
+        def final() -> tuple:
+            return (job, None, None, True, *state, has_snapshot)
+
+        for batch in batches:
+            time = batch.schema.field("ts").type
+            columns = [batch.column(c).cast(pa.int64()) if c == "ts" else batch.column(c) for c in ("job_id", "is_update", "seq", "ts", "status", "progress", "error_message", "has_snapshot")]
+            out = []
+            for job_id, is_update, seq, at, status, progress, error, snapshot in zip(*(c.to_pylist() for c in columns), strict=True):
+                if job_id != job:
+                    if known:
+                        out.append(final())
+                    job, known = job_id, False
+                if not is_update:
+                    known, state, has_snapshot = True, [status, progress, None, None, None], snapshot
+                else:
+                    reason = apply_update(state, has_snapshot, at, status, progress, error) if known else "job_missing"
+                    out.append((job, seq, reason, False, None, None, None, None, None, None))
+            if out:
+                yield _rows(out, names, columns, time)
+        if known:
+            yield _rows([final()], names, columns, time)
+
+    return fold
+
+
+def _rows(out: list[tuple], names: list[str], columns: list[pa.Array], time: pa.DataType) -> pa.RecordBatch:
+    kinds = [columns[0].type, columns[2].type, pa.string(), pa.bool_(), pa.string(), columns[5].type, pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+    values = [pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)]
+    values[7:9] = [v.cast(time) for v in values[7:9]]
+    return pa.RecordBatch.from_arrays(values, names=names)
 
 
 def fold_job_updates(updates: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(final jobs, outcomes of all updates) after folding the updates (job_id, seq, ts, status, progress, error_message).
 
-    ``jobs`` has job_id, status, progress and has_snapshot. Updates are judged in ``seq`` order, each against the state that the
-    accepted ones before it left; a refused one changes nothing. Final jobs keep their start state if nothing was
-    accepted. Outcomes have job_id, seq and reject_reason (null: accepted). A job's updates meet in one array, so a feed
-    with unbounded updates per job belongs to the streaming fold.
+    ``jobs`` has job_id, status, progress and has_snapshot, a row per job. Updates are judged in ``seq`` order, each against the state
+    that the accepted ones before it left; a refused one changes nothing. Final jobs keep their start state if nothing was
+    accepted. Outcomes have job_id, seq and reject_reason (null: accepted; ``job_missing`` without a job). Jobs and updates are
+    shuffled once, together, and sorted by job; the fold holds one job's state at a time, so a job may have any number of updates.
     """
-    one = F.struct("seq", "ts", "status", "progress", "error_message")
-    feed = updates.groupBy("job_id").agg(F.array_sort(F.collect_list(one)).alias("feed"))
-    rows = jobs.join(feed, "job_id", "left").withColumn("feed", F.coalesce("feed", F.array().cast(feed.schema["feed"].dataType)))
-    time = updates.schema["ts"].dataType
-    no_time = F.lit(None).cast(time)
-    start = F.struct(
-        F.col("status").alias("status"),
-        F.col("progress").alias("progress"),
-        F.lit(None).cast("string").alias("error_message"),
-        no_time.alias("started_at"),
-        no_time.alias("completed_at"),
-        F.array().cast("array<struct<seq:bigint,reject_reason:string>>").alias("outcomes"),
-    )
-
-    def step(state: Column, update: Column) -> Column:
-        reason = reject_reason(state["status"], state["progress"], F.col("has_snapshot"), update)
-        keep = lambda new, old: F.when(reason.isNull(), new).otherwise(old)
-        first_run = (update["status"] == "running") & state["started_at"].isNull()
-        return F.struct(
-            keep(update["status"], state["status"]).alias("status"),
-            keep(update["progress"], state["progress"]).alias("progress"),
-            keep(update["error_message"], state["error_message"]).alias("error_message"),
-            keep(F.when(first_run, update["ts"]).otherwise(state["started_at"]), state["started_at"]).alias("started_at"),
-            keep(F.when(update["status"].isin("completed", "failed"), update["ts"]).otherwise(state["completed_at"]), state["completed_at"]).alias("completed_at"),
-            F.array_append(state["outcomes"], F.struct(update["seq"].alias("seq"), reason.alias("reject_reason"))).alias("outcomes"),
-        )
-
-    folded = rows.withColumn("final", F.aggregate("feed", start, step))
-    final = folded.select("job_id", *(F.col(f"final.{c}").alias(c) for c in ("status", "progress", "error_message", "started_at", "completed_at")), "has_snapshot")
+    start = jobs.select("job_id", F.lit(False).alias("is_update"), F.lit(None).cast(updates.schema["seq"].dataType).alias("seq"), F.lit(None).cast(updates.schema["ts"].dataType).alias("ts"), "status", F.col("progress").cast(updates.schema["progress"].dataType).alias("progress"), F.lit(None).cast("string").alias("error_message"), "has_snapshot")
+    feed = updates.select("job_id", F.lit(True).alias("is_update"), "seq", "ts", "status", "progress", "error_message", F.lit(None).cast("boolean").alias("has_snapshot"))
+    rows = start.unionByName(feed).where("job_id is not null").repartition("job_id").sortWithinPartitions("job_id", "is_update", "seq", "ts", "status", "progress", "error_message")
+    kind = lambda c: updates.schema[c].dataType.simpleString()
+    schema = {"job_id": kind("job_id"), "seq": kind("seq"), "reject_reason": "string", "is_final": "boolean", "status": "string", "progress": kind("progress"), "error_message": "string", "started_at": kind("ts"), "completed_at": kind("ts"), "has_snapshot": "boolean"}
+    folded = written(rows.mapInArrow(_folder(list(schema)), ", ".join(f"{c} {k}" for c, k in schema.items())))
+    final = folded.where("is_final").select("job_id", "status", "progress", "error_message", "started_at", "completed_at", "has_snapshot")
     final = final.withColumn("snapshot_status", F.when(F.col("has_snapshot"), snapshot_status(F.col("status"))))
-    judged = folded.select("job_id", F.inline("final.outcomes"))
-    missing = updates.join(jobs, "job_id", "left_anti").select("job_id", "seq", F.lit("job_missing").alias("reject_reason"))
-    return final, judged.unionByName(missing)
+    nobody = updates.where("job_id is null").select("job_id", "seq", F.lit("job_missing").alias("reject_reason"))
+    return final, folded.where("not is_final").select("job_id", "seq", "reject_reason").unionByName(nobody)
 
 
 def run_template(jobs: DataFrame) -> DataFrame:

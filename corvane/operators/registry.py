@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from corvane.session import written
 
-# Hosts that count as the provider, and the parts of a URL.
+# Columns of the responses, hosts that count as the provider, and the parts of a URL.
+RESPONSES = {"repository": ("id", "github_url", "owner", "name", "created_at"), "snapshot": ("id", "repository_id", "commit_sha", "default_branch", "status", "created_at"), "job": ("id", "repository_id", "snapshot_id", "status", "progress", "error_message", "started_at", "completed_at", "created_at")}
 HOSTS = ("github.com", "www.github.com")
 URL = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
 
@@ -141,3 +142,18 @@ def lookup(requests: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     With repository and job id as keys a job of another repository is as absent as a missing one.
     """
     return requests.join(table.withColumn("found", F.lit(True)), keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def latest_snapshots(snapshots: DataFrame, status: str | None = "ready") -> DataFrame:
+    """(repository_id, snapshot_id, commit_sha, created_at) of each repository's newest snapshot, whose result can be used again.
+
+    Only snapshots with ``status`` count, all if it is null; of equal times the larger id is newer. One partial aggregation, no sort.
+    """
+    able = snapshots if status is None else snapshots.where(F.col("status") == status)
+    newest = able.groupBy("repository_id").agg(F.max(F.struct("created_at", "id", "commit_sha")).alias("s"))
+    return newest.select("repository_id", F.col("s.id").alias("snapshot_id"), "s.commit_sha", "s.created_at")
+
+
+def response(df: DataFrame, kind: str) -> DataFrame:
+    """The columns that a response about a repository, snapshot or job has; absent ones are null."""
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in RESPONSES[kind]))

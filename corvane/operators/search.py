@@ -212,3 +212,52 @@ def answers(questions: DataFrame, kept: DataFrame) -> DataFrame:
     out = questions.join(agg, "query_id", "left")
     found = F.when(F.col("evidence").isNull(), 0).otherwise(F.size("evidence"))
     return out.select("query_id", "question", F.lit(None).cast("string").alias("answer"), found.cast("long").alias("n_evidence"), F.col("evidence.doc_id").alias("sources"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), (found == 0).alias("insufficient"))
+
+
+def search_nodes(nodes: DataFrame, q: str | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Graph nodes of the given entity types whose name holds ``q`` in any case."""
+    nodes = nodes.where(F.col("entity_type").isin(*kinds)) if kinds else nodes
+    return nodes.where(F.contains(F.lower("name"), F.lit(q.lower()))) if q else nodes
+
+
+def answer_records(questions: DataFrame, ranked: DataFrame, related: dict[str, DataFrame], least: float = 0.5, around: int = 2) -> DataFrame:
+    """The record of each question with its thirteen fields; the prose answer is left null.
+
+    ``questions`` comes from ``route``, ``ranked`` has the few best (query_id, doc_id, rank, confidence) of each. Pieces of at least ``least`` are its
+    evidence. Without any the record is insufficient: it says so in ``limitations``, and names the nearest pieces as possible
+    interpretations, marked as inference. ``related`` gives (doc_id, item) for fields such as related_files, looked up for the first
+    ``around`` pieces. The suggested follow-up depends on the intent.
+    """
+    ranked = written(ranked.select("query_id", "doc_id", "rank", "confidence"))
+    good = F.col("confidence") >= least
+    in_order = lambda keep: F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("rank", "doc_id")))), lambda x: x["doc_id"])
+    sure = F.round(1 - F.exp(F.sum(F.when(good, F.log(1 - F.least("confidence", F.lit(0.999)))))) + 1e-9, 6)
+    out = questions.join(ranked.groupBy("query_id").agg(in_order(good).alias("evidence"), in_order(~good).alias("nearest"), sure.alias("confidence")), "query_id", "left")
+    for field in ("related_files", "related_decisions", "timeline_events", "graph_path"):
+        if field in related:
+            items = ranked.where(F.col("rank") <= around).join(related[field], "doc_id").groupBy("query_id").agg(F.sort_array(F.collect_set("item")).alias(field))
+            out = out.join(items, "query_id", "left").withColumn(field, F.coalesce(field, F.array().cast("array<string>")))
+        else:
+            out = out.withColumn(field, F.array().cast("array<string>"))
+    ids = f"array<{ranked.schema['doc_id'].dataType.simpleString()}>"
+    out = out.withColumns({c: F.coalesce(c, F.array().cast(ids)) for c in ("evidence", "nearest")})
+    none = F.size("evidence") == 0
+    words = lambda when, values: F.when(when, values).otherwise(F.array().cast("array<string>"))
+    guesses = F.transform("nearest", lambda d: F.concat(F.lit("Inference: document "), d.cast("string"), F.lit(" may be related")))
+    return out.select(
+        "query_id",
+        F.lit(None).cast("string").alias("answer"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        "intent",
+        F.lit("adaptive_hybrid").alias("retrieval_strategy"),
+        "evidence",
+        F.col("evidence").alias("citations"),
+        "graph_path",
+        "related_files",
+        "related_decisions",
+        "timeline_events",
+        words(none, F.array(F.lit("The available evidence does not confirm an answer."))).alias("limitations"),
+        words(none, guesses).alias("possible_interpretations"),
+        F.array(F.concat(F.lit("Which evidence of kind "), "intent", F.lit(" should be looked at next?"))).alias("suggested_follow_up"),
+        none.alias("insufficient"),
+    )

@@ -254,10 +254,12 @@ s as (select job_id, has_snapshot, 0::bigint as rn, 'pending' as status, 0 as pr
 """
 
 
+def _jobs(t: Tables) -> DataFrame:
+    return t("v_job_updates").where("job_id % 29 <> 0").select("job_id").distinct().withColumns({"status": F.lit("pending"), "progress": F.lit(0), "has_snapshot": F.col("job_id") % 23 != 0})
+
+
 def _fold(t: Tables) -> tuple[DataFrame, DataFrame]:
-    updates = t("v_job_updates")
-    start = updates.where("job_id % 29 <> 0").select("job_id").distinct().withColumns({"status": F.lit("pending"), "progress": F.lit(0), "has_snapshot": F.col("job_id") % 23 != 0})
-    return jobs.fold_job_updates(updates, start)
+    return jobs.fold_job_updates(t("v_job_updates"), _jobs(t))
 
 
 LAST = "select job_id, has_snapshot, arg_max(struct_pack(s := status, p := progress, e := error_message, a := started_at, b := completed_at), rn) as f from s group by all"
@@ -290,21 +292,26 @@ def propagated_status(t: Tables) -> DataFrame:
     return jobs.propagate_status(t("v_jobs"), t("v_snapshots")).select("id", "status")
 
 
-STREAM = FOLD.replace("job_id % 23 <> 0 as has_snapshot from v_job_updates where job_id % 29 <> 0", "true as has_snapshot from v_job_updates")
-
-
-@query("stream_job_fold", "with " + STREAM + f" select job_id, f.s as status, f.p as progress, f.e as error_message, f.a as started_at, f.b as completed_at from ({LAST})", "v_job_updates", recursive=True)
-def stream_job_fold(t: Tables) -> DataFrame:
+def _streamed(t: Tables) -> DataFrame:
     events = job_feed.read_updates(t.spark, f"{t.sf_dir}/events.parquet")
     kind, n = F.col("event_type"), F.col("event_id")
     status = F.when(kind == "signup", "queued").when(kind.isin("view", "click"), "running").when(kind == "purchase", "completed").otherwise("failed")
     progress = F.when((kind == "purchase") & (n % 2 == 0), 100).otherwise(F.floor(F.col("value") / 5).cast("int"))
     updates = events.select(F.col("user_id").alias("job_id"), n.alias("seq"), "ts", status.alias("status"), progress.alias("progress"), F.when((kind == "error") & (n % 3 != 0), "e").alias("error_message"))
-    seen = job_feed.run_available(job_feed.fold_stream(updates))
-    last = seen.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "error_message", "started_at", "completed_at"), "n_seen").alias("f"))
+    return job_feed.run_available(job_feed.fold_stream(updates, _jobs(t)))
+
+
+@query("stream_job_fold", "with " + FOLD + f" select job_id, f.s as status, f.p as progress, f.e as error_message, f.a as started_at, f.b as completed_at from ({LAST})", "v_job_updates", recursive=True)
+def stream_job_fold(t: Tables) -> DataFrame:
+    last = _streamed(t).where("is_state").groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "error_message", "started_at", "completed_at"), "n_seen").alias("f"))
     return last.select("job_id", "f.status", "f.progress", "f.error_message", F.col("f.started_at").cast("timestamp_ntz").alias("started_at"), F.col("f.completed_at").cast("timestamp_ntz").alias("completed_at"))
 
 
+@query("stream_job_rejects", "with " + FOLD + " select job_id, seq, reason as reject_reason from s where reason is not null union all select job_id, seq, 'job_missing' from v_job_updates where job_id % 29 = 0", "v_job_updates", recursive=True)
+def stream_job_rejects(t: Tables) -> DataFrame:
+    return _streamed(t).where("not is_state and reject_reason is not null").select("job_id", "seq", "reject_reason")
+
+
 STAGED = """
 a as (select *, lag(status) over (partition by job_id, stage order by ts, status, cost) as prev from v_stage_events),
 g as (select job_id, stage, arg_max(status, struct_pack(t := ts, s := status, c := cost)) as status, count(*) as n_events, (coalesce(sum((prev = 'failed')::int), 0) + 1)::bigint as attempts, min(ts) as started_at, max(ts) as last_at, round(sum(cost), 4) as cost from a group by 1, 2)

@@ -1,4 +1,4 @@
-"""Job updates as a stream: the same state machine, one small state per job (X1, S9), and artifact dedup."""
+"""Job updates as a stream: the same state machine, one small state per job (X1, S9), stage retries (X7) and artifact dedup."""
 
 from __future__ import annotations
 
@@ -10,60 +10,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corvane.operators.jobs import ALLOWED, SNAPSHOT_STATUS
+from corvane.operators.jobs import SNAPSHOT_STATUS, apply_update
 from corvane.session import shared_dir
+from corvane.sources import load
 
-_OUT = "job_id long, n_seen long, n_accepted long, status string, progress int, error_message string, started_at timestamp, completed_at timestamp, snapshot_status string"
+_OUT = "job_id long, seq long, reject_reason string, is_state boolean, n_seen long, n_accepted long, status string, progress int, error_message string, started_at timestamp, completed_at timestamp, snapshot_status string"
 _STATE = "n_seen long, n_accepted long, status string, progress int, error_message string, started_at timestamp, completed_at timestamp"
+_NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 
-def _accepts(status: str, progress: int, update) -> bool:
-    if f"{status}>{update.status}" not in ALLOWED or update.progress < progress or not 0 <= update.progress <= 100:
-        return False
-    if update.status == "completed" and update.progress != 100:
-        return False
-    return not (update.status == "failed" and update.error_message is None)
+def _plain(values: pd.Series) -> list:
+    return values.astype(object).where(values.notna(), None).tolist()
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, accepted, status, progress, error, started, completed = state.get if state.exists else (0, 0, "pending", 0, None, None, None)
+    """The outcomes of a job's updates of one micro-batch, and then its state; a job that isn't known has outcomes only."""
     rows = pd.concat(list(frames)).sort_values("seq")
-    for update in rows.astype(object).where(rows.notna(), None).itertuples():
-        seen += 1
-        if not _accepts(status, progress, update):
-            continue
-        accepted, status, progress, error = accepted + 1, update.status, int(update.progress), update.error_message
-        if status == "running" and started is None:
-            started = update.ts
-        if status in ("completed", "failed"):
-            completed = update.ts
-    state.update((seen, accepted, status, progress, error, started, completed))
-    yield pd.DataFrame({"job_id": [key[0]], "n_seen": [seen], "n_accepted": [accepted], "status": [status], "progress": [progress], "error_message": [error], "started_at": [started], "completed_at": [completed], "snapshot_status": [SNAPSHOT_STATUS[status]]})
-
-
-def fold_stream(updates: DataFrame) -> DataFrame:
-    """A streaming frame of (job_id, seq, ts, status, progress, error_message) to the state of each job that a batch changed.
-
-    Every job starts as (pending, 0) with its snapshot in place. Within a micro-batch updates are sorted by ``seq``; between
-    batches the source keeps their order.
+    known, has_snapshot = bool(rows["known"].iloc[0]), bool(rows["has_snapshot"].iloc[0])
+    seen, accepted, *now = state.get if state.exists else (0, 0, rows["start_status"].iloc[0], rows["start_progress"].iloc[0], None, None, None)
+    now[1] = None if pd.isna(now[1]) else int(now[1])
+    out = []
+    for seq, at, status, progress, error in zip(*(_plain(rows[c]) for c in ("seq", "ts", "status", "progress", "error_message")), strict=True):
+        reason = apply_update(now, has_snapshot, at, status, None if progress is None else int(progress), error) if known else "job_missing"
+        accepted += reason is None
+        out.append((key[0], seq, reason, False, *[None] * 8))
+    if known:
+        seen += len(out)
+        state.update((seen, accepted, *now))
+        out.append((key[0], None, None, True, seen, accepted, *now, SNAPSHOT_STATUS.get(now[0]) if has_snapshot else None))
+    yield pd.DataFrame(out, columns=_NAMES)
+
+
+def fold_stream(updates: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """A streaming frame of (job_id, seq, ts, status, progress, error_message) to the outcomes of its updates and the states of their jobs.
+
+    Rows with ``is_state`` are states, the others have the seq and the reject_reason of an update (null: accepted). ``jobs`` (job_id,
+    status, progress, has_snapshot) is a table that each micro-batch reads; without it every job starts as (pending, 0) with its
+    snapshot in place. Within a micro-batch a job's updates are sorted by ``seq``; between batches the source keeps their
+    order. A job's updates of one micro-batch are in memory together, so the source's files per batch bound them.
     """
-    typed = updates.withColumn("ts", F.col("ts").cast("timestamp"))
+    start = {"start_status": F.lit("pending"), "start_progress": F.lit(0), "has_snapshot": F.lit(True), "known": F.lit(True)}
+    if jobs is None:
+        rows = updates.withColumns(start)
+    else:
+        table = jobs.select("job_id", F.col("status").alias("start_status"), F.col("progress").alias("start_progress"), "has_snapshot", F.lit(True).alias("known"))
+        rows = updates.join(table, "job_id", "left").withColumns({"known": F.coalesce("known", F.lit(False)), "has_snapshot": F.coalesce("has_snapshot", F.lit(False))})
+    typed = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     return typed.groupBy("job_id").applyInPandasWithState(_fold, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _run(stream: DataFrame, mode: str, base: str, sink) -> None:
+    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
-    """Run a stream over what is there, and return all rows that it emitted."""
+    """Run a stream over what is there, and return all rows that it emitted; a batch that is run again replaces its rows."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/corvane-stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/part={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    _run(stream, mode, base, sink)
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
+def upsert_batch(batch: DataFrame, number: int, base: str, keys: list[str], version: str) -> DataFrame:
+    """Table ``number`` below ``base``: the one before it with the batch's rows put in.
+
+    A retried batch starts from the same table and overwrites its own, so nothing doubles, and rows of other keys (the stages
+    before a failed one) stay.
+    """
+    spark = batch.sparkSession
+    before = spark.read.schema(batch.schema).parquet(f"{base}/table-{number - 1}") if number else batch.limit(0)
+    load.upsert(before, batch, keys, version).write.mode("overwrite").parquet(f"{base}/table-{number}")
+    return spark.read.schema(batch.schema).parquet(f"{base}/table-{number}")
+
+
+def upserted(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Run a stream over what is there into a table with one row per key, that of the highest version."""
+    spark, last = stream.sparkSession, []
+    base = f"{shared_dir(spark)}/corvane-stream-{uuid.uuid4().hex}"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        upsert_batch(batch, number, base, keys, version)
+        last[:] = [number]
+
+    _run(stream, "append", base, sink)
+    return spark.read.schema(stream.schema).parquet(f"{base}/table-{last[0]}") if last else spark.createDataFrame([], stream.schema)
+
+
 def distinct_within(stream: DataFrame, keys: list[str], time_col: str, delay: str = "1 hour") -> DataFrame:
     """Provider events once each (X8): repeats of a key within the watermark are dropped."""
     return stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
@@ -75,8 +112,9 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
 
 
-def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over landed Parquet files of events."""
+def read_updates(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """A stream over landed Parquet files of events (S9), ``files_per_batch`` at most in a micro-batch."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if is_file(spark, path) else spark.readStream.schema(schema).parquet(path)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return source.option("pathGlobFilter", name).parquet(folder) if is_file(spark, path) else source.parquet(path)
