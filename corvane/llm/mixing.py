@@ -81,7 +81,9 @@ def _decided(docs: DataFrame, id_of: Column, source: Column, size: Column, rows:
 
     def ranked(df: DataFrame, key: Column, source: Column, size: Column) -> DataFrame:
         digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
-        df = df.withColumn("__corvane_size", size).withColumn("__corvane_draw", digest).join(aims, source.eqNullSafe(F.col("__corvane_of")))
+        # a generated column is made once a row; as a plain one it would be split again in every condition below
+        df = df.select("*", F.explode(F.array(F.struct(size.alias("size"), digest.alias("draw")))).alias("__corvane_row"))
+        df = df.withColumns({"__corvane_size": F.col("__corvane_row.size"), "__corvane_draw": F.col("__corvane_row.draw")}).drop("__corvane_row").join(aims, source.eqNullSafe(F.col("__corvane_of")))
         df = df.withColumn("__corvane_expected", copies_expected(*(F.col(f"__corvane_{c}") for c in ("size", "rate", "middle", "widest")), tilt, most))
         df = df.withColumn("__corvane_whole", F.floor("__corvane_expected").cast("long"))
         u, p = (F.col("__corvane_draw") + 0.5) / F.lit(float(1 << 52)), F.col("__corvane_expected") - F.col("__corvane_whole")
