@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.session import shuffle_partitions, written
+
 # Targets of the gate.
 TARGETS = {"recall_at_10": (0.80, True), "citation_correctness": (0.90, True), "unsupported_claim_rate": (0.10, False), "decision_precision": (0.85, True), "median_latency_s": (15.0, False)}
 
@@ -41,11 +45,55 @@ def rank_agreement(a: DataFrame, b: DataFrame, item: str, score: str, k: int = 1
     return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rank_a", "rank_b"), 6).alias("spearman")).crossJoin(shared)
 
 
-def kendall_tau(pairs: DataFrame, item: str = "item", a: str = "a", b: str = "b") -> DataFrame:
-    """Tau-a of a short ranking, over all pairs of its items; meant for rankings of at most some thousand items."""
-    other = pairs.select(F.col(item).alias("i2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    sign = F.signum(F.col(a) - F.col("a2")) * F.signum(F.col(b) - F.col("b2"))
-    return pairs.join(other, F.col(item) < F.col("i2")).agg(F.round(F.sum(sign) / F.count(F.lit(1)), 6).alias("tau"))
+def inversions(values: np.ndarray, weights: np.ndarray) -> int:
+    """Total weight of the pairs in which an earlier value is larger than a later one, by merging halves, n log n squared."""
+    if not len(values):
+        return 0
+    rank, at, total = np.unique(values, return_inverse=True)[1], np.arange(len(values)), 0
+    for level in range(int(len(values) - 1).bit_length()):
+        right, block = (at >> level) & 1, at >> (level + 1)
+        order = np.lexsort((right, rank, block))
+        left = np.where(right == 0, weights, 0)[order]
+        upto, ends = np.cumsum(left), np.searchsorted(block[order], block[order], side="right") - 1
+        total += int(((upto[ends] - upto) * np.where(right, weights, 0)[order]).sum())
+    return total
+
+
+def kendall_tau(pairs: DataFrame, item: str = "item", a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
+    """Tau-a over all pairs of a ranking's items, ties counting 0; null for fewer than two items. Rows with a null are left out.
+
+    Agreeing less disagreeing pairs are all pairs less tied ones less twice the disagreeing ones. Those are the inversions of b in
+    the order of (a, b): within a range of that order, within a range of b (between rows of different ranges of the order), and between
+    ranges of both, which a table with a number for each pair of ranges gives. So nothing compares all pairs, and a task
+    holds two numbers for each distinct (a, b) of its range.
+    """
+    spark = pairs.sparkSession
+    parts = parts or shuffle_partitions(spark)
+    cells = written(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")))
+    tied = lambda df: (df.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]) or 0
+    of = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n"))
+    n = cells.agg(F.sum("n")).first()[0] or 0
+    by_a = written(cells.repartitionByRange(parts, "a", "b").withColumn("p", F.spark_partition_id()))
+    by_b = written(by_a.groupBy("p", "b").agg(F.sum("n").alias("n")).repartitionByRange(parts, "b").withColumn("r", F.spark_partition_id()))
+    count = lambda df: df.agg(F.sum("inverted")).first()[0] or 0
+    own = lambda df, key, order: df.groupBy(key).applyInArrow(lambda t: _sorted_inversions(t, order), "inverted long")
+    inverted = count(own(by_a, "p", ["a", "b"])) + count(own(by_b, "r", ["p", "b"]))
+    grid = by_b.groupBy("p", "r").agg(F.sum("n").alias("n")).toArrow()  # a row for each pair of ranges
+    size = max([parts, *(x + 1 for c in (0, 1) for x in grid.column(c).to_pylist())])
+    table = np.zeros((size, size), object)
+    for p, r, m in zip(*(grid.column(c).to_pylist() for c in range(3)), strict=True):
+        table[p, r] = m
+    later = np.cumsum(table[::-1], axis=0)[::-1]  # rows from range p of the order on
+    smaller = np.cumsum(later, axis=1)
+    inverted += sum(table[p, r] * smaller[p + 1, r - 1] for p in range(size - 1) for r in range(1, size))
+    every = n * (n - 1) / 2
+    tau = (every - tied(of("a")) - tied(of("b")) + tied(cells) - 2 * inverted) / every if every else None
+    return spark.createDataFrame([(None if tau is None else float(tau),)], "tau double").select(F.round("tau", 6).alias("tau"))
+
+
+def _sorted_inversions(table: pa.Table, order: list[str]) -> pa.Table:
+    table = table.sort_by([(c, "ascending") for c in order])
+    return pa.table({"inverted": pa.array([inversions(table.column("b").to_numpy(), table.column("n").to_numpy())], pa.int64())})
 
 
 def set_quality(found: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small cases: URLs, registry, payloads, loading, graph metrics, retrieval and evaluation."""
 
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -142,12 +143,77 @@ def test_subgraph_and_candidates(spark):
 
 def test_lsh_recall(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
-    queries = vectors.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), "embedding")
+    queries = vectors.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
     exact = {(r.query_id, r.doc_id) for r in search.vector_top_k(queries, vectors).collect()}
     near = {(r.query_id, r.doc_id) for r in search.lsh_top_k(queries, vectors).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_lookups_of_short_and_odd_keys(spark):
+    names = spark.createDataFrame([(1, "ab"), (2, "abc"), (3, "xabc"), (4, None), (5, "")], "doc_id long, key string")
+    asked = spark.createDataFrame([(1, "a"), (2, "ab"), (3, "abcd"), (4, ""), (5, None), (6, "xab")], "query_id long, key string")
+    assert sorted(map(tuple, search.lookup_prefix(asked, names).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (6, 3)]
+
+
+def test_containing_equals_comparing_all(spark):
+    texts = ["", None, "one two three four five six seven", "xone two three four  five six", "zz one two\nthree four five six seven eight", "two three", "ne two three four fiv", "a.b", "aaab"]
+    items = ["one two three four five six", "two three", "ne two three four fiv", ".", "five six seven eight", "one two\nthree four five six", "absent words are not found here", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "query_id long, question string")
+    want = sorted((q, d) for q, i in enumerate(items) for d, t in enumerate(texts) if i and t and i in t)
+    assert sorted(map(tuple, search.containing(docs, asked).collect())) == want
+
+
+def test_scoped_search_stays_inside(spark):
+    vectors = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.9, 0.1]), (3, 2, [1.0, 0.0]), (4, 1, None), (5, 1, [0.0, 0.0])], "doc_id long, snapshot int, embedding array<double>")
+    asked = spark.createDataFrame([(9, 1, [1.0, 0.0]), (8, 3, [1.0, 0.0])], "query_id long, snapshot int, embedding array<double>")
+    assert [(r.query_id, r.doc_id) for r in search.vector_top_k(asked, vectors, scope=("snapshot",)).orderBy("rank").collect()] == [(9, 1), (9, 2)]
+
+
+def test_records_without_evidence_say_so(spark):
+    asked = search.route(spark.createDataFrame([(1, "why was it chosen"), (2, "who wrote it"), (3, "nothing")], "query_id long, question string"))
+    ranked = spark.createDataFrame([(1, 10, 1, 0.9), (1, 11, 2, 0.2), (2, 12, 1, 0.3)], "query_id long, doc_id long, rank int, confidence double")
+    files = spark.createDataFrame([(10, "f1"), (10, "f1"), (12, "f2")], "doc_id long, item string")
+    out = {r.query_id: r for r in search.answer_records(asked, ranked, {"related_files": files}).collect()}
+    assert len(out[1]) == 15 and out[1].answer is None and out[1].evidence == [10] and out[1].related_files == ["f1"] and not out[1].insufficient and out[1].limitations == []
+    assert out[2].insufficient and out[2].evidence == [] and out[2].possible_interpretations == ["Inference: document 12 may be related"] and out[2].related_files == ["f2"]
+    assert out[3].insufficient and out[3].possible_interpretations == [] and out[3].limitations and out[3].suggested_follow_up
+
+
+def test_evidence_is_counted_whole_and_listed_in_part(spark):
+    items = spark.createDataFrame([(1,), (2,)], "sha long")
+    evidence = spark.createDataFrame([(1, e, 0.5) for e in range(30)], "sha long, evidence_id int, confidence double")
+    out = {r.sha: r for r in infer.attach_evidence(items, evidence, ["sha"], 5).collect()}
+    assert out[1].n_evidence == 30 and [e.evidence_id for e in out[1].evidence] == [0, 1, 2, 3, 4] and out[1].combined == 1.0
+    assert (out[2].n_evidence, out[2].combined, out[2].evidence) == (0, 0.0, [])
+    paths = infer.evidence_paths(spark.createDataFrame([(1,), (2,)], "issue_id long"), spark.createDataFrame([(1, 5)], "issue_id long, pr_id long"), spark.createDataFrame([(5, 7)], "pr_id long, sha long"), spark.createDataFrame([(7, 3)], "sha long, file_id long"))
+    assert {r.issue_id: (r.path, r.completeness) for r in paths.collect()} == {1: (["issue:1", "pull_request:5", "commit:7", "file:3"], 1.0), 2: (["issue:2"], 0.25)}
+
+
+def test_latest_snapshot_and_responses(spark):
+    rows = spark.createDataFrame([(1, 9, "a", "ready", "2024-01-01"), (2, 9, "b", "ready", "2024-01-02"), (3, 9, "c", "ready", "2024-01-02"), (4, 9, "d", "failed", "2024-02-01"), (5, 8, "e", "pending", "2024-02-01")], "id long, repository_id long, commit_sha string, status string, created_at string")
+    assert [(r.repository_id, r.snapshot_id) for r in registry.latest_snapshots(rows).collect()] == [(9, 3)]
+    assert registry.response(rows, "snapshot").columns == list(registry.RESPONSES["snapshot"])
+
+
+def test_rejects_and_declared_dependencies(spark, tmp_path):
+    seen = spark.createDataFrame([(1, "duplicate"), (2, None), (3, "empty_name")], "request_id long, reject_reason string")
+    for _ in range(2):
+        load.write_rejects(seen, str(tmp_path / "rejects"))
+    assert sorted(r.request_id for r in spark.read.parquet(str(tmp_path / "rejects")).collect()) == [1, 1, 3, 3]
+    files = spark.createDataFrame([("a/requirements.txt", "numpy==1.0\n# no\npandas >= 2 ; x\n-r b.txt\nplain"), ("package.json", '{"dependencies": {"left": "^1"}, "devDependencies": {"right": "2"}}'), ("x.py", "a==1"), ("b/package.json", "broken")], "path string, content string")
+    assert sorted(map(tuple, tx.declared_dependencies(files).collect())) == [("a/requirements.txt", "numpy"), ("a/requirements.txt", "pandas"), ("a/requirements.txt", "plain"), ("package.json", "left"), ("package.json", "right")]
+
+
+def test_tau_of_ties_and_many_blocks(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(40), rng.randrange(300)) for i in range(1200)] + [(5000 + i, 7, 7) for i in range(300)]
+    sign = lambda x: (x > 0) - (x < 0)
+    want = sum(sign(a[1] - b[1]) * sign(a[2] - b[2]) for a, b in combinations(rows, 2)) / (len(rows) * (len(rows) - 1) / 2)
+    assert evaluate.kendall_tau(spark.createDataFrame(rows, "item int, a int, b int"), parts=7).first().tau == pytest.approx(want, abs=1e-6)
+    assert evaluate.kendall_tau(spark.createDataFrame(rows[:1], "item int, a int, b int")).first().tau is None
+
+
 def test_citations_and_rates(spark):
     evidence = spark.createDataFrame([(1, 1, "alpha beta gamma"), (2, 2, "x")], "doc_id long, snapshot int, text string")
     claims = spark.createDataFrame([(1, 1, 1, "alpha beta"), (2, 1, 1, "other words"), (3, 2, 1, "x"), (4, 9, 1, "x")], "claim_id long, doc_id long, snapshot int, claim string")
