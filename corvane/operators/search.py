@@ -73,10 +73,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75)
     marks = wanted.select(place("term").alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()  # BITMAP rows at most
     bitmap = F.lit([dict(map(tuple, marks)).get(i, 0) for i in range(BITMAP)]).cast("array<long>")
     maybe = lambda term: F.getbit(F.element_at(bitmap, F.floor(place(term) / 64).cast("int") + 1), F.pmod(place(term), F.lit(64)).cast("int")) == 1
-    split = docs.select("doc_id", tx.tokens(F.col("text")).alias("terms"))
-    split = written(split.select("doc_id", F.size("terms").alias("length"), F.filter("terms", maybe).alias("terms")))
-    stats = split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))  # one row
-    tf = split.select("doc_id", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    split = docs.select("doc_id", tx.tokens(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("length"), F.posexplode_outer("terms").alias("pos", "term"))
+    first = F.coalesce("pos", F.lit(0)) == 0  # a row of each document stays for its length
+    split = written(split.where(first | maybe("term")))
+    stats = split.where(first).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))  # one row
+    tf = split.join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = written(tf)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
