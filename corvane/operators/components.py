@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import written
+from corvane.session import free, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,7 +17,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each round points neighbours at the smallest neighbour, once among larger and once among smaller ones, so the number
     of rounds grows with the logarithm of the diameter. Minima are partially aggregated before they are shuffled, and
-    every round is written to the shared folder. Null ends are ignored; a self-loop gives a component of one node.
+    every round is written to the shared folder. So are the minima: the planner knows their size and broadcasts small ones,
+    and a join with large ones shuffles both sides anew, so that adaptive execution can split a hub's edges. Null ends are
+    ignored; a self-loop gives a component of one node.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     now = written(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -25,12 +27,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now, before, last = now.where("u <> v"), None, None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), low)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = last = written(small, last)
+        free(large, low)
         state = _state(now)
         if state == before:
             break
