@@ -363,6 +363,23 @@ def _apart(left: Column, right: Column) -> Column:
     return F.aggregate(both, F.lit(0), lambda s, x: s + x)
 
 
+def _placed(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``pairs`` with the components ``of_a`` and ``of_b`` of their ends; a node in no component is its own."""
+    for x in ("a", "b"):
+        of = parts.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+        pairs = pairs.join(of, x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
+    return pairs
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after more links (a, b): rounds run over the components that links join, not over all nodes."""
+    joined = _placed(links, parts).select("of_a", "of_b").distinct()
+    moved = written(connected_components(joined, "of_a", "of_b")).select("node", F.col("component").alias("to"))
+    kept = parts.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = moved.join(parts, "node", "left_anti").select("node", F.col("to").alias("component"))
+    return written(kept.unionByName(fresh))
+
+
 class Join:
     """One run of the join; the steps leave small tables in the shared folder."""
 
@@ -431,13 +448,10 @@ class Join:
             turn = ranked.where(F.col("place") <= most) if most else ranked
             more = self.linked(turn.select("a", "b"))
             if not more.isEmpty():
-                links = written(links.unionByName(more))
-                parts = written(connected_components(links, "a", "b"))
+                parts = _merged(parts, more)
             if not most:
                 break
-            of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))  # noqa: B023, E731
-            left = ranked.where(F.col("place") > most).join(of("a"), "a", "left").join(of("b"), "b", "left")
-            rest = written(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "apart"))
+            rest = written(_placed(ranked.where(F.col("place") > most), parts).where("of_a <> of_b").select("a", "b", "apart"))
         return parts
 
 
