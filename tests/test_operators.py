@@ -101,6 +101,12 @@ def test_components_ignore_edge_order(spark):
     assert connected_components(edges(spark, [])).count() == 0
 
 
+def test_components_of_stars_and_of_what_only_looks_settled(spark):
+    pairs = [(2, 1), (3, 1), (1, 3), (3, 1), (12, 10), (12, 11), (21, 20), (22, 21), (None, 7)]
+    found = [tuple(r) for r in connected_components(edges(spark, pairs)).collect()]
+    assert sorted(found) == [(1, 1), (2, 1), (3, 1), (10, 10), (11, 10), (12, 10), (20, 20), (21, 20), (22, 20)]
+
+
 def test_pagerank_sums_to_one(spark):
     ranks = [r["rank"] for r in graph.pagerank(edges(spark, [(1, 2), (2, 3), (4, 3)]), 5).collect()]
     assert abs(sum(ranks) - 1) < 1e-9
