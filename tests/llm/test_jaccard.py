@@ -79,6 +79,13 @@ def test_one_of_each_component_stays(spark):
     assert [x for x in stay if x[1] < 0] == [(7777, -3)]
 
 
+def test_later_links_join_components(spark):
+    parts = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (30, 30), (31, 30)], "node long, component long")
+    links = spark.createDataFrame([(2, 6), (6, 2), (6, 10), (9, 8), (31, 30)], "a long, b long")
+    found = [(r.node, r.component) for r in jaccard._merged(parts, links).collect()]
+    assert sorted(found) == [(1, 1), (2, 1), (5, 1), (6, 1), (8, 8), (9, 8), (10, 1), (30, 30), (31, 30)]
+
+
 def test_heavy_lists_need_no_memory(spark):
     """A list longer than one batch, with the lists before and after it, goes through the streaming pass."""
     import pyarrow as pa
