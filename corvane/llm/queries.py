@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, chat, exact_dedup, jaccard, langid, license_scan, mixing, quality, topk, viterbi_count
+from corvane.llm import bpe, chat, exact_dedup, jaccard, langid, license_scan, mixing, quality, ranked_search, runs, token_file, topk, viterbi_count
+from corvane.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -196,6 +198,38 @@ qualify rank <= 10
 """
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+d as (select *, len(terms)::bigint as n from w where len(terms) > 0),
+c as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from d),
+q as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark where text is not null),
+i as (select item_id, term, count(*) as times from q group by all),
+t as (select r, term, count(*)::bigint as tf from (select r, unnest(terms) as term from d) where term in (select term from i) group by all),
+f as (select term, count(*)::bigint as df from t group by all),
+s as (select i.item_id, d.doc_id, d.r, sum(i.times * floor(1000 * ln((2 * c.n_docs + 2)::double / (2 * f.df + 1)::double))::bigint
+    * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (25 + (75 * d.n * c.n_docs) // c.n_terms::bigint))))::bigint as score
+  from i join t using (term) join f using (term) join d using (r), c group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank, doc_id, score from s where score > 0
+qualify rank <= 10
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/corvane-ids-{uuid.uuid4().hex}"
+    token_file.write(token_file.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2), path)
+    return token_file.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -207,5 +241,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_chat_format": op9_chat_format,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_file": op13_token_file,
 }
-ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_license_scan": _op7_sql(), "op8_quality": _op8_sql(), "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_source_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_license_scan": _op7_sql(), "op8_quality": _op8_sql(), "op9_chat_format": OP9_SQL, "op10_exact_top_k": OP10_SQL, "op11_ranked_search": OP11_SQL}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvane.llm import queries
 from tests_support import HARD, plain_rows
 
-TABLES = ("documents", "conversations", "embeddings", "labels")
+TABLES = ("documents", "conversations", "embeddings", "labels", "benchmark")
 SF = "/root/testdata/sf0.001"
 
 
@@ -23,6 +23,8 @@ def hard(spark, tmp_path_factory):
     nan = float("nan")
     vectors = [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (200, [nan, 1.0]), (300, None), (1, [1.0, 2.0]), (2, [-1.0, 0.5]), (3, [float("inf"), 0.0]), (4, [None, 1.0]), (5, [0.0, 0.0]), (-100, [0.3, -0.7]), (1, [1.0, 2.0]), (2, [9.0, 9.0]), (2, [0.0, 1.0]), (100, [5.0, -2.0]), (None, [1.0, 1.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).write.parquet(str(folder / "embeddings.parquet"))
+    items = [(1, "the same words"), (1, "MIT License a"), (2, None), (None, "é ß 12 A"), (3, ""), (4, "zzz"), (5, "word word x")]
+    spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)).write.parquet(str(folder / "benchmark.parquet"))
     spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int").write.parquet(str(folder / "labels.parquet"))
     return str(folder)
 
@@ -62,7 +64,7 @@ def test_on_empty_tables(spark, empty, name):
     assert len(rows) == (1 if name == "op9_chat_format" else 0)  # conversation -1 is always there
 
 
-@pytest.mark.parametrize("name", ["op1_jaccard_join", "op2_language_id", "op5_token_counts", "op6_bpe_round_trip", "op8_quality"])
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op2_language_id", "op5_token_counts", "op6_bpe_round_trip", "op8_quality", "op12_periodic_runs", "op13_token_file"])
 def test_one_row_for_each_hard_row(spark, hard, name):
     rows = queries.QUERIES[name](spark, hard).collect()
     assert len(rows) == len(HARD)
