@@ -68,16 +68,16 @@ def attachments(parts: Column, **expansion) -> Column:
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None, loss_role: str = "assistant", **expansion) -> DataFrame:
     """conv_id, n_turns, formatted, loss_spans (start from 1, length, in code points) and attachments per conversation.
 
-    Turns are ordered by number (null last); equal numbers by role, then content. ``parts_col`` names an array of PART; without
+    Turns are ordered by number (null last); equal numbers by role, then text or parts, all as they came. ``parts_col`` names an array of PART; without
     it the text is the only part. Null texts, roles and parts count as empty, a null conversation id is one
     conversation, repeated rows are repeated turns, and no rows give no rows. Other columns are not read. A conversation becomes
     one string, so it must fit one task, like any row.
     """
     parts = F.col(parts_col) if parts_col else F.array(F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), F.col(text_col), F.lit("ref"), F.lit(None).cast("string"), F.lit("width"), F.lit(None).cast("int"), F.lit("height"), F.lit(None).cast("int"), F.lit("seconds"), F.lit(None).cast("double"), F.lit("pages"), F.lit(None).cast("int")))
     role = F.replace(escaped(F.col(role_col)), F.lit("\n"), F.lit("\\1"))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), (F.coalesce(F.col(role_col), F.lit("")) == loss_role).alias("learned"), role.alias("role"), flattened(parts).alias("content"), attachments(parts, **expansion).alias("media"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), (F.coalesce(F.col(role_col), F.lit("")) == loss_role).alias("learned"), F.coalesce(F.col(role_col), F.lit("")).alias("own_role"), (F.col(parts_col) if parts_col else F.coalesce(F.col(text_col), F.lit(""))).alias("own"), role.alias("role"), flattened(parts).alias("content"), attachments(parts, **expansion).alias("media"))
     rows = rows.withColumn("head", F.concat(F.lit(TURN), "role", F.lit("\n"))).withColumn("width", F.length("head") + F.length("content") + len(END))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "content")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "own_role", "own")
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("width").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     span = F.struct((F.col("upto") - F.col("width") + F.length("head") + 1).cast("int").alias("start"), F.length("content").alias("length"))
     item = F.struct("place", F.concat("head", "content", F.lit(END)).alias("piece"), F.when(F.col("learned"), span).alias("span"), "media")

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from corvane.llm.common import chunks_of_bytes, mix64, surviving
 from corvane.operators.components import connected_components
-from corvane.session import arrow_rows, bound_batches, shuffle_partitions, written
+from corvane.session import arrow_rows, bound_batches, free, shuffle_partitions, written
 
 #: Lists with more sets than this are heavy.
 HEAVY = 32
@@ -141,12 +141,26 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int, words: int) -> Iterato
             yield batch.slice(a, b - a), *shingles(texts[a:b], words)
 
 
-def fingerprints(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def fingerprints(values: np.ndarray, starts: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> np.ndarray:
     """One 64-bit number for each set, 0 for an empty one; equal sets have equal numbers."""
     sizes = np.diff(starts)
     out, full = np.zeros(len(sizes), _U), sizes > 0
     if full.any():
-        out[full] = mix64(np.add.reduceat(mix64(values ^ _U(0x5851F42D4C957F2D)), starts[:-1][full]) + mix64(sizes[full].astype(_U)))
+        out[full] = mix64(np.add.reduceat(mix64(values ^ _U(salt)), starts[:-1][full]) + mix64(sizes[full].astype(_U)))
+    return out
+
+
+def second_fingerprints(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers independent of the first ones."""
+    return mix64(fingerprints(values, starts, 0x3C79AC492BA7B653) ^ _U(0x1C69B3F74AC4AE35))
+
+
+def named(values: np.ndarray, starts: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The node of each set: its fingerprint, or its second one where different sets share the first (``shared``)."""
+    out = fingerprints(values, starts)
+    again = np.isin(out, shared) & (np.diff(starts) > 0) if len(shared) else np.zeros(0, bool)
+    if again.any():
+        out[again] = second_fingerprints(values, starts)[again]
     return out
 
 
@@ -204,7 +218,7 @@ def _empty(b: Bands, sizes: np.ndarray, split: _Segments, own: np.ndarray) -> np
     return np.bincount(split.owner[(split.counts == 0) & (split.segment >= b.double[own][split.owner])], minlength=len(sizes))
 
 
-def _describe(words: int, percent: int):
+def _describe(words: int, percent: int, shared: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bands(percent)
         for rows, values, starts in _sets(batches, 1, words):
@@ -213,16 +227,16 @@ def _describe(words: int, percent: int):
             split = _segments(values, sizes, np.where(sizes > 0, b.segments[own], 0))
             short = b.segments[own] + b.double[own] - b.most_different(sizes) - _empty(b, sizes, split, own)
             words_of = sketches(values, starts)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(sizes), pa.array(fingerprints(values, starts).view(np.int64)), pa.array(short), *(pa.array(words_of[:, i]) for i in range(SKETCH_WORDS)), fine_sketches(values, starts, b.most_different(sizes))], names=["doc_id", "text_key", "n", "node", "short", *(f"s{i}" for i in range(SKETCH_WORDS)), "fine"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(sizes), pa.array(named(values, starts, shared).view(np.int64)), pa.array(second_fingerprints(values, starts).view(np.int64)), pa.array(short), *(pa.array(words_of[:, i]) for i in range(SKETCH_WORDS)), fine_sketches(values, starts, b.most_different(sizes))], names=["doc_id", "text_key", "n", "node", "second", "short", *(f"s{i}" for i in range(SKETCH_WORDS)), "fine"])
 
     return run
 
 
-def _post(words: int, percent: int):
+def _post(words: int, percent: int, shared: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, seen = bands(percent), set()
         for _, values, starts in _sets(batches, 0, words):
-            sizes, nodes = np.diff(starts), fingerprints(values, starts)
+            sizes, nodes = np.diff(starts), named(values, starts, shared)
             fresh = np.zeros(len(sizes), bool)  # copies met in this task are posted once
             for i, node in enumerate(nodes.tolist()):
                 if sizes[i] and node not in seen:
@@ -321,11 +335,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _summed(out)
 
 
-def _set_rows(words: int):
+def _set_rows(words: int, shared: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, starts in _sets(batches, 0, words):
             raw = values.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(values, starts).view(np.int64)), pa.array([raw[8 * a : 8 * b] for a, b in zip(starts, starts[1:])], pa.binary())], names=["node", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(named(values, starts, shared).view(np.int64)), pa.array([raw[8 * a : 8 * b] for a, b in zip(starts, starts[1:])], pa.binary())], names=["node", "values"])
 
     return run
 
@@ -390,16 +404,24 @@ class Join:
         self.words, self.percent = words, percent
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         sketch = ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
-        self.described = written(self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(words, percent), f"doc_id long, text_key long, n long, node long, short long, {sketch}, fine array<long>"))
         rest = [F.any_value(c).alias(c) for c in ("n", "short", *(f"s{i}" for i in range(SKETCH_WORDS)), "fine")]
-        self.nodes = written(self.described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), *rest))
+        self.shared = np.zeros(0, _U)
+        while True:
+            self.described = written(self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(words, percent, self.shared), f"doc_id long, text_key long, n long, node long, second long, short long, {sketch}, fine array<long>"))
+            apart = (F.min("second") != F.max("second")).alias("apart")
+            self.nodes = written(self.described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), apart, *rest))
+            found = self.nodes.where("apart").select("node").toArrow()  # some ten of 2e10 sets are expected to share a number
+            if not found.num_rows:
+                break
+            self.shared = np.union1d(self.shared, found["node"].to_numpy().view(_U))
+            free(self.described, self.nodes)
 
     def stars(self) -> DataFrame:
         """(leader, node, light, heavy) of every list with two sets or more."""
         spark = self.docs.sparkSession
         total = self.nodes.agg(F.sum("n")).first()[0] or 0
         parts = max(shuffle_partitions(spark), total // 4_000_000)
-        posted = self.docs.select("text").mapInArrow(_post(self.words, self.percent), "key long, node long, credit byte")
+        posted = self.docs.select("text").mapInArrow(_post(self.words, self.percent, self.shared), "key long, node long, credit byte")
         lists = posted.repartition(parts, "key").sortWithinPartitions("key", "node")
         found = lists.mapInArrow(_stars, "leader long, node long, light long, heavy long")
         return written(found.groupBy("leader", "node").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")))
@@ -417,7 +439,7 @@ class Join:
         need = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         ids = written(need.join(self.nodes, "node").select("first_id").distinct())
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
-        sets = written(texts.mapInArrow(_set_rows(self.words), "node long, values binary").join(need, "node", "left_semi").dropDuplicates(["node"]))
+        sets = written(texts.mapInArrow(_set_rows(self.words, self.shared), "node long, values binary").join(need, "node", "left_semi").dropDuplicates(["node"]))
         both = pairs.join(sets.select(F.col("node").alias("b"), F.col("values").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("values").alias("left")), "a")
         with arrow_rows(self.docs.sparkSession, 128):  # a row holds two whole sets
             return written(both.select("a", "b", "left", "right").mapInArrow(_verify(self.percent), "a long, b long"))
@@ -477,7 +499,8 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col
     ``component_id``), and repeated rows are copies of each other. Other columns are not read; no rows give no rows.
 
     Sets are compared on 64-bit digests of shingles: two different shingles of a pair are taken for one with a
-    probability of about (shingles of both / 2) ^ 2 / 2 ^ 64.
+    probability of about (shingles of both / 2) ^ 2 / 2 ^ 64. Equal sets are found by a 64-bit number of the set; where a second,
+    independent one tells sets with the same number apart, they get the second one instead.
     """
     return _classes(docs, words, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 

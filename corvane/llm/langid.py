@@ -21,7 +21,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane.llm.common import kept_in_worker, mix64
 from corvane.session import bound_batches, written
@@ -136,25 +135,22 @@ def _marker(languages: tuple[str, ...], hashes: int, size: int):
     return mark
 
 
-def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = 4, hashes: int = 2, slots: int = 1 << 20, max_docs: int = 2000, few: int = 30000, min_count: int = 3, share: float = 0.3) -> Model:
-    """Fit the filters on about ``max_docs`` rows of each language at most; rows are chosen by a hash of their id.
+def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", order: int = 4, hashes: int = 2, slots: int = 1 << 20, max_docs: int = 2000) -> Model:
+    """Fit the filters on about ``max_docs`` rows of each language at most, chosen by a hash of id and text; all their n-grams count.
 
-    A language's filter holds its n-grams that occur at least ``min_count`` times and whose relative frequency is at least
-    ``share`` of the highest that any language has; of a sample of at most ``few`` n-grams in all, single ones count, too. Rows
-    with a null text or a null label are left out; with no rows left the model knows no language. ``slots`` is a power of two,
-    and is doubled until the largest filter has ROOM slots for each n-gram: the sample bounds the model. Masks are put
-    together by a grouped aggregation, so the driver gets the slots that are set and the names of the languages.
+    A row that repeats is one row, and each language has the row of its smallest hash, so none is lost and a sample is bounded
+    whatever ids look like (null ones, too). Rows with a null text or a null label are left out; with no rows left the model knows
+    no language. ``slots`` is a power of two, and is doubled until the largest filter has ROOM slots for each n-gram: the sample
+    bounds the model. Masks are put together by a grouped aggregation, so the driver gets the slots that are set and the names
+    of the languages.
     """
     bound_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows")))
-    chance = F.pmod(F.xxhash64(F.lit("language sample"), F.col("id")), F.lit(1 << 20)) * F.col("n_rows") < F.lit(max_docs * (1 << 20))
-    sample = rows.join(sizes, "lang").where(chance).select("lang", "text")
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("language sample"), id_col, text_col).alias("h"))
+    place = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+    sizes = written(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n_rows"), F.min(F.struct(place.alias("p"), F.col("h").alias("h")))["h"].alias("least")))  # a row for each language
+    sample = rows.join(sizes, "lang").where((place * F.col("n_rows") < max_docs) | (F.col("h") == F.col("least"))).dropDuplicates(["lang", "h"]).select("lang", "text")
     counted = written(sample.mapInArrow(_counter(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
-    rate = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(((F.col("n") >= min_count) | (F.col("total") <= few)) & (F.col("rate") >= share * F.col("top")))
-    known = written(rate.select("lang", "gram"), counted)
+    known = counted.select("lang", "gram")
     each = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     languages = tuple(sorted(each))
     while slots < ROOM * max(each.values(), default=0):

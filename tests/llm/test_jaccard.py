@@ -114,3 +114,19 @@ def test_sketches_bound_the_difference():
         coarse = jaccard.sketches(values, starts).view(np.uint64)
         fine = [np.array(x, np.int64).view(np.uint64) for x in jaccard.fine_sketches(values, starts, np.array([130, 130])).to_pylist()]
         assert int(np.bitwise_count(coarse[0] ^ coarse[1]).sum()) <= 2 * cut and int(np.bitwise_count(fine[0] ^ fine[1]).sum()) <= 2 * cut
+
+
+def test_different_sets_with_one_fingerprint_stay_apart(spark, monkeypatch):
+    """With first numbers of three bits nearly all sets share theirs; the second ones tell them apart, and links are the same."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 60))) for _ in range(60)]
+    rows = list(enumerate(texts + texts[:20] + [t + " z" for t in texts[:40]] + [None, ""]))
+    real = jaccard.fingerprints
+    weak = lambda values, starts, salt=None: real(values, starts, salt) if salt else np.where(np.diff(starts) > 0, real(values, starts) & np.uint64(7) | np.uint64(8), np.uint64(0))
+    monkeypatch.setattr(jaccard, "fingerprints", weak)
+    values, starts = jaccard.shingles([t.encode() for t in texts], 4)
+    assert len(np.unique(jaccard.named(values, starts, np.unique(weak(values, starts))))) == len({tuple(values[a:b]) for a, b in zip(starts, starts[1:])}) > 40
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len(jaccard.Join(docs, 4, 85, "doc_id", "text").shared) == 8
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs, 4, 85).collect()}
+    assert got == brute(rows, 4, 85)

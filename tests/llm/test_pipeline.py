@@ -44,12 +44,7 @@ def test_language_stage(kept):
     for r in before:
         if r.lang is not None and r.text is not None:
             counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
-    total = {lang: sum(c.values()) for lang, c in counts.items()}
-    top = Counter()
-    for lang, c in counts.items():
-        for g, n in c.items():
-            top[g] = max(top[g], n / total[lang])
-    known = [{g for g, n in c.items() if (n >= 3 or total[lang] <= 30000) and n / total[lang] >= 0.3 * top[g]} for lang, c in counts.items()]
+    known = [set(c) for c in counts.values()]
     stay = {r.doc_id for r in kept[1].collect()}
     for r in before:
         own = plain_grams(r.text or "")

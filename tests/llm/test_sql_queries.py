@@ -18,7 +18,7 @@ def hard(spark, tmp_path_factory):
     """A folder of tables with nulls, empty texts, ties, repeated rows and extra columns whose names clash with ours."""
     folder = tmp_path_factory.mktemp("hard")
     spark.createDataFrame(HARD, "doc_id long, text string, lang string, source string, n_chars long, size long, node long, rank int, kept boolean, norm string").coalesce(2).write.parquet(str(folder / "documents.parquet"))
-    turns = [(1, 0, "user", "a\\b</s>"), (1, 1, "assistant", "<|im_end|>\\0\\2"), (1, 1, "assistant", "<|im_end|>\\0\\2"), (2, 0, None, None), (3, None, "assistant", ""), (None, 0, "assistant", "x"), (4, 5, "user\n", "q"), (4, 2, "assistant", "[INST]<<SYS>>é😀\n")]
+    turns = [(1, 0, "user", "a\\b</s>"), (1, 1, "assistant", "<|im_end|>\\0\\2"), (1, 1, "assistant", "<|im_end|>\\0\\2"), (2, 0, None, None), (3, None, "assistant", ""), (None, 0, "assistant", "x"), (4, 5, "user\n", "q"), (4, 2, "assistant", "[INST]<<SYS>>é😀\n"), (5, 0, "assistant", "<z"), (5, 0, "assistant", "<|a"), (5, 0, "assistant", "\\"), (5, 0, "assistant", "]"), (5, 0, "<|", "x"), (5, 0, "<z", "y"), (5, 0, "\n", "b")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(1)).write.parquet(str(folder / "conversations.parquet"))
     nan = float("nan")
     vectors = [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (200, [nan, 1.0]), (300, None), (1, [1.0, 2.0]), (2, [-1.0, 0.5]), (3, [float("inf"), 0.0]), (4, [None, 1.0]), (5, [0.0, 0.0]), (-100, [0.3, -0.7]), (1, [1.0, 2.0]), (2, [9.0, 9.0]), (2, [0.0, 1.0]), (100, [5.0, -2.0]), (None, [1.0, 1.0])]

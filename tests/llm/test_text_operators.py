@@ -95,7 +95,7 @@ def test_language_never_sees_labels_of_held_out_rows(spark):
 
 def test_language_of_texts_without_letters(spark):
     docs = spark.createDataFrame([(1, "12 !!", "en"), (2, None, "en"), (3, "the and of the and", "en"), (5, "und der die das", "de")] * 4, "doc_id long, text string, lang string")
-    model = langid.learn(docs, min_count=1)
+    model = langid.learn(docs)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
     assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en" and got[5][0] == "de"
     assert sorted(r.doc_id for r in langid.accepted(docs, model, 0.1).collect()) == [3] * 4 + [5] * 4
@@ -106,7 +106,7 @@ def test_language_of_texts_without_letters(spark):
 def test_many_languages_fill_several_words(spark):
     rows = [(i, chr(0x4E00 + 40 * i) * 3 + chr(0x4E01 + 40 * i) * 3 + " " + chr(0x4E02 + 40 * i) * 5, f"l{i:03d}") for i in range(70)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.learn(docs, min_count=1)
+    model = langid.learn(docs)
     assert model.slices.shape[1] == 2
     assert all(r.lang_pred == f"l{r.doc_id:03d}" for r in langid.predict(docs, model).collect())
 
@@ -126,12 +126,7 @@ def test_language_equals_a_version_with_sets(spark):
     for r in rows:
         if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None:
             counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
-    total = {lang: sum(c.values()) for lang, c in counts.items()}
-    top = Counter()
-    for lang, c in counts.items():
-        for g, n in c.items():
-            top[g] = max(top[g], n / total[lang])
-    known = {lang: {g for g, n in c.items() if (n >= 3 or total[lang] <= 30000) and n / total[lang] >= 0.3 * top[g]} for lang, c in counts.items()}
+    known = {lang: set(c) for lang, c in counts.items()}
     found = {r.doc_id: r for r in langid.identify(docs).collect()}
     for r in rows:
         own, got = plain_grams(r.text or ""), found[r.doc_id]
@@ -159,6 +154,26 @@ def test_long_texts_have_the_same_grams(monkeypatch):
     assert all(each[i] == whole[0][2][starts[i] : starts[i + 1]] for i in each)
 
 
+def test_one_id_or_no_id_for_most_rows(spark):
+    """The sample is drawn by id and text, so neither loses a language nor takes all rows; a text that repeats is one row."""
+    rows = [(7, f"the house number {i} and the garden of the old town", "en") for i in range(6000)] + [(i, "jina langu ni mti wa nyumba kubwa sana", "sw") for i in range(50)]
+    rows += [(None, f"das haus {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} und der garten hinter dem alten turm", "de") for i in range(6000)] + [(None, "le chat et la maison rouge", "fr")] * 6000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    for most in (1, 200):
+        model = langid.learn(docs, max_docs=most)
+        assert model.languages == ("de", "en", "fr", "sw")
+    sampled = []
+    real = langid._counter
+    langid._counter = lambda order: sampled.append(order) or real(order)
+    try:
+        langid.learn(docs, max_docs=100)
+    finally:
+        langid._counter = real
+    assert sampled == [4]
+    got = Counter((r.lang, r.lang_pred) for r in docs.select("doc_id", "text", "lang").join(langid.predict(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), model).withColumnRenamed("doc_id", "k"), F.xxhash64("doc_id", "text") == F.col("k")).select("lang", "lang_pred").distinct().collect())
+    assert set(got) == {("en", "en"), ("sw", "sw"), ("de", "de"), ("fr", "fr")}
+
+
 def test_no_language_is_left_out(spark):
     rows = [(i, f"{'abcdefghijklmnopqrst'[i % 20]}{chr(0x4E00 + 9 * (i % 300))}" * 9, f"l{i % 300:03d}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
