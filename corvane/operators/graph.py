@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.operators.components import connected_components
+from corvane.operators.cycles import dependency_cycles, longest_layers
+from corvane.operators.registry import with_ids
 from corvane.session import free, written
 
 # The ontology's vocabulary and its version.
@@ -126,58 +128,6 @@ def communities(edge_table: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def dependency_cycles(edge_table: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, component, size) of every node on a cycle: strongly connected groups of several nodes, and self-loops.
-
-    Nodes without predecessors or successors are trimmed until none is left; then labels flow forward and backward: nodes that
-    reach the smallest label they are reached by form that label's component.
-    """
-    left = written(edge_table.select("src", "dst").distinct())
-    loops = left.where("src = dst").select(F.col("src").alias("node"))
-    left, parts = left.where("src <> dst"), None
-    for _ in range(max_rounds):
-        while True:  # trim
-            kept = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            n_kept, n_left = kept.count(), left.count()
-            left = kept
-            if n_kept == n_left:
-                break
-        if not n_kept:
-            break
-        forward = _flow(left, "src", "dst")
-        # backward, only from each label's own root through nodes of the same label
-        inside = written(left.join(forward.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(forward.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst").where("ls = ld").select("src", "dst", F.col("ls").alias("label")))
-        found = written(forward.where("node = label"))
-        edge = found
-        while not edge.isEmpty():
-            step = inside.join(edge.select(F.col("node").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("node"), "label").distinct()
-            edge = written(step.join(found, ["node", "label"], "left_anti"))
-            found = written(found.unionByName(edge))
-        parts = found if parts is None else parts.unionByName(found)
-        gone = found.select("node")
-        left = written(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    else:
-        raise RuntimeError("cycles did not settle")
-    alone = loops.withColumn("label", F.col("node"))
-    if parts is not None:
-        sized = parts.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("label"))).where("size > 1")
-        alone = alone.join(sized.select("node"), "node", "left_anti").withColumn("size", F.lit(1).cast("long"))
-        return sized.select("node", "label", "size").unionByName(alone).withColumnRenamed("label", "component")
-    return alone.withColumn("size", F.lit(1).cast("long")).withColumnRenamed("label", "component")
-
-
-def _flow(edge_table: DataFrame, src: str, dst: str) -> DataFrame:
-    """The smallest node that reaches each node along the edges, itself included."""
-    labels = written(vertex_set(edge_table).withColumn("label", F.col("node")))
-    while True:
-        sent = edge_table.join(labels.withColumnRenamed("node", src), src).select(F.col(dst).alias("node"), "label")
-        best = labels.select("node", "label", F.col("label").alias("was")).unionByName(sent.select("node", "label", F.lit(None).cast("long").alias("was")))
-        new = best.groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
-        labels = written(new, labels)
-        if labels.where("label <> was").isEmpty():
-            return labels.select("node", "label")
-
-
 def bridge_nodes(edge_table: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
     """Nodes with neighbours in ``least`` or more communities other than their own."""
     own = labels.select("node", F.col("label").alias("own"))
@@ -300,28 +250,18 @@ def betweenness(edge_table: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def learning_order(edge_table: DataFrame) -> DataFrame:
-    """(node, layer) where what a node depends on comes in an earlier layer; nodes on a cycle share their group's layer.
-
-    The groups form no cycle, so layers settle after as many rounds as the longest chain of groups has.
-    """
+    """(node, layer) where what a node depends on comes in an earlier layer; nodes on a cycle share their group's layer."""
     groups = dependency_cycles(edge_table).select("node", F.col("component").alias("grp"))
     of = written(vertex_set(edge_table).join(groups, "node", "left").select("node", F.coalesce("grp", "node").alias("grp")))
-    step = edge_table.join(of.select(F.col("node").alias("src"), F.col("grp").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("grp").alias("b")), "dst").where("a <> b").select("a", "b").distinct()
-    step = written(step)
-    layers = written(of.select("grp").distinct().withColumn("layer", F.lit(0)))
-    while True:
-        need = step.join(layers.select(F.col("grp").alias("b"), "layer"), "b").groupBy(F.col("a").alias("grp")).agg((F.max("layer") + 1).alias("up"))
-        layers = written(layers.select("grp", F.col("layer").alias("was")).join(need, "grp", "left").select("grp", "was", F.coalesce("up", F.lit(0)).alias("layer")), layers)
-        if layers.where("layer <> was").isEmpty():
-            break
-    return of.join(layers, "grp").select("node", "layer")
+    step = edge_table.join(of.select(F.col("node").alias("src"), F.col("grp").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("grp").alias("b")), "dst").where("a <> b")
+    layers = longest_layers(of.select(F.col("grp").alias("node")).distinct(), step.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return of.join(layers.select(F.col("node").alias("grp"), F.col("layer").cast("int").alias("layer")), "grp").select("node", "layer")
 
 
 def learning_places(layers: DataFrame, ranks: DataFrame) -> DataFrame:
     """(node, layer, place): rows of ``learning_order`` numbered from 1 by layer, then from the highest rank (node, rank), then by node."""
-    order = layers.join(ranks, "node").select("node", "layer", F.round("rank", 8).alias("rank")).orderBy("layer", F.desc("rank"), "node")
-    numbered = order.select("node", "layer").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] + 1))
-    return layers.sparkSession.createDataFrame(numbered, "node long, layer int, place long")
+    order = layers.join(ranks, "node").select("node", "layer", (-F.round("rank", 8)).alias("low"))
+    return with_ids(order, ["layer", "low", "node"], id_col="place").select("node", "layer", "place")
 
 
 def subsystem_edges(edge_table: DataFrame, membership: DataFrame) -> DataFrame:

@@ -160,7 +160,11 @@ def communities(t: Tables) -> DataFrame:
     return graph.communities(imports(t))
 
 
-@query("cycles")
+REACH = """ce as (select distinct src, dst from v_imports where src is not null and dst is not null), cr as (select src as a, dst as b from ce union select cr.a, ce.dst from cr join ce on ce.src = cr.b),
+cyc as (select x.a as node, min(x.b) as component, count(*) as size from cr x join cr y on y.a = x.b and y.b = x.a group by 1)"""
+
+
+@query("cycles", f"with {REACH} select node, component, size from cyc", "v_imports", recursive=True)
 def cycles(t: Tables) -> DataFrame:
     return graph.dependency_cycles(imports(t))
 
@@ -176,7 +180,12 @@ def betweenness(t: Tables) -> DataFrame:
     return graph.betweenness(imports(t), pivots).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query("learning_order")
+LAYERS = """co as (select v.node, coalesce(c.component, v.node) as grp from (select src as node from ce union select dst from ce) v left join cyc c using (node)),
+cs as (select distinct x.grp as a, y.grp as b from ce join co x on x.node = src join co y on y.node = dst where x.grp <> y.grp),
+cl as (select distinct grp, 0 as layer from co union select cs.a, cl.layer + 1 from cl join cs on cs.b = cl.grp), lay as (select grp, max(layer) as layer from cl group by 1)"""
+
+
+@query("learning_order", f"with {REACH}, {LAYERS}, {RANKS} select node, layer::int as layer, row_number() over (order by layer, round(r, 8) desc, node) as place from co join lay using (grp) join r10 using (node)", "v_imports", recursive=True)
 def learning_order(t: Tables) -> DataFrame:
     return graph.learning_places(graph.learning_order(imports(t)), graph.pagerank(imports(t), 10))
 
