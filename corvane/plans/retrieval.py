@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.operators import graph, infer, search
+from corvane.operators import graph, infer, search, text_index
 from corvane.plans.registry import query
-from corvane.session import written
+from corvane.session import shared_dir, written
 from corvane.sources.fixtures import Tables
 
 WORDS = r"'[\p{L}\p{N}]+'"
@@ -29,6 +31,16 @@ def keyword_bm25_topk(t: Tables) -> DataFrame:
     return keyword(t)
 
 
+@query("indexed_bm25_topk", f"with {BM25} select * from kw", "v_queries")
+def indexed_bm25_topk(t: Tables) -> DataFrame:
+    """Through a stored index that held other texts for a third of the documents before it was brought up to date."""
+    path = f"{shared_dir(t.spark)}/corvane-text-{uuid.uuid4().hex}"
+    docs = t("documents").select("doc_id", "text")
+    text_index.update(path, docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("earlier draft "), F.reverse("text"))).otherwise(F.col("text"))))
+    text_index.update(path, docs)
+    return text_index.search(t.spark, path, t("v_queries"), 10)
+
+
 VEC = """vq as (select query_id, list_transform(embedding, lambda x: x::double) as q from v_vec_queries), vd as (select vec_id as doc_id, list_transform(embedding, lambda x: x::double) as d from embeddings),
 vs as (select query_id, doc_id, round(list_cosine_similarity(q, d), 6) as score from vq, vd where query_id <> doc_id), vt as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from vs qualify rank <= 10)"""
 
