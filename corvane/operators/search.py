@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as tx
+from corvane.operators.vectors import exact_top_k, unit
 from corvane.session import written
 
 # Mode weights of each question intent.
@@ -96,24 +97,12 @@ def trigram_match(queries: DataFrame, names: DataFrame, least: float = 0.3) -> D
     return shared.select("query_id", "doc_id", ratio.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def _unit(c: Column) -> Column:
-    """The vector in double precision over its length; null for a null or zero vector."""
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    return F.when(norm > 0, F.transform(c, lambda x: x.cast("double") / norm))
-
-
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: tuple[str, ...] = ()) -> DataFrame:
-    """Exact cosine top ``k``; ``queries`` (query_id, embedding) is a stated set.
+    """Exact cosine top ``k``; ``queries`` (query_id, embedding) is a stated set, and may grow with the vectors.
 
-    With ``scope`` columns, which both sides have, a query only meets vectors of its own repository, snapshot or the like (P15):
-    the scope is joined on before anything is scored. Vectors are scored where they lie; per-partition winners come before
-    the final ranking (a window group limit).
+    With ``scope`` columns, which both sides have, a query only meets vectors of its own repository, snapshot or the like (P15).
     """
-    asked = queries.select("query_id", *scope, _unit(F.col("embedding")).alias("q")).where("q is not null")
-    items = vectors.select("doc_id", *scope, _unit(F.col("embedding")).alias("v")).where("v is not null")
-    both = items.join(asked, list(scope)) if scope else items.crossJoin(asked)
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return top(both.where("doc_id <> query_id").select("query_id", "doc_id", F.round(dot, 6).alias("score")), k)
+    return exact_top_k(queries, vectors, k, scope)
 
 
 def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, bucket: float = 0.9, tables: int = 24, seed: int = 7) -> DataFrame:
@@ -121,8 +110,8 @@ def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, bucket: float
 
     The projections are drawn from ``seed`` and don't depend on the data; every row is indexed.
     """
-    items = vectors.select("doc_id", "embedding", array_to_vector(_unit(F.col("embedding"))).alias("unit")).where("unit is not null")
-    asked = queries.select("query_id", F.col("embedding").alias("q"), array_to_vector(_unit(F.col("embedding"))).alias("unit")).where("unit is not null")
+    items = vectors.select("doc_id", "embedding", array_to_vector(unit(F.col("embedding"))).alias("unit")).where("unit is not null")
+    asked = queries.select("query_id", F.col("embedding").alias("q"), array_to_vector(unit(F.col("embedding"))).alias("unit")).where("unit is not null")
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(items)
 
     def buckets(df: DataFrame, *columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.operators import graph, infer, search, text_index
+from corvane.operators import graph, infer, search, text_index, vectors
 from corvane.plans.registry import query
 from corvane.session import shared_dir, written
 from corvane.sources.fixtures import Tables
@@ -59,6 +59,14 @@ def lsh_topk(t: Tables) -> DataFrame:
     return search.lsh_top_k(t("v_vec_queries"), _vectors(t))
 
 
+@query("cells_topk")
+def cells_topk(t: Tables) -> DataFrame:
+    """Through a stored index of cells by label; recall is measured against the exact search."""
+    path, items = f"{shared_dir(t.spark)}/corvane-cells-{uuid.uuid4().hex}", _vectors(t)
+    vectors.build_index(path, items)
+    return vectors.search_index(t.spark, path, t("v_vec_queries"))
+
+
 NAMES = "nm as (select p_partkey as doc_id, lower(p_name) as key from part), qk as (select doc_id as query_id, substr(key, 1, 6) as key from nm where doc_id % 100 = 0)"
 
 
