@@ -27,7 +27,7 @@ from corvane.llm.common import kept_in_worker
 from corvane.session import bound_batches, free, shuffle_partitions, written
 
 #: Ids of a block and of a stretch between two checkpoints; bits of the longest code; different chunks of text that a worker remembers.
-BLOCK, STRETCH, MAX_BITS, MEMO = 1 << 16, 128, 20, 1_000_000
+BLOCK, STRETCH, MAX_BITS, MEMO = 1 << 16, 128, 20, 700_000
 #: Bytes of text whose chunks are told apart together.
 GATHERED = 6 << 20
 _TAIL = ".,;:!?"
