@@ -76,9 +76,14 @@ def append_registry(df: DataFrame, path: str, table: str) -> None:
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """All rows of both, one per key, the one of the highest version (S7); repeating an upsert adds nothing."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(version)))
-    return target.unionByName(updates, allowMissingColumns=True).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """All rows of both, one per key, the one of the highest version (S7); repeating an upsert adds nothing.
+
+    Of equal versions the row of the largest digest of its columns (maps aside) stays, whatever the order of the rows.
+    """
+    rows = target.unionByName(updates, allowMissingColumns=True)
+    digest = F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(version), F.desc(digest)))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def publish_section(df: DataFrame, path: str) -> None:

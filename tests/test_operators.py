@@ -271,3 +271,12 @@ def test_co_change_counts_large_commits(spark):
     for large in (1000, 2, 5000):
         got = {(r.file_a, r.file_b): (r.support, r.confidence, r.lift) for r in graph.co_change(rows, large=large).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_equal_versions_leave_the_same_row_in_any_order(spark):
+    rows = [(1, 5, "a"), (1, 5, "b"), (1, 4, "c"), (2, None, "d"), (2, None, "e")]
+    found = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "id long, version int, x string")
+        found.add(tuple(sorted(tuple(r) for r in load.upsert(df.limit(2), df.exceptAll(df.limit(2)), ["id"], "version").collect())))
+    assert len(found) == 1 and len(next(iter(found))) == 2
