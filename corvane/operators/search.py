@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions import text as tx
 from corvane.operators.vectors import exact_top_k, unit
-from corvane.session import written
+from corvane.session import free, written
 
 # Mode weights of each question intent.
 BITMAP = 1024  # words of 64 bits: what a text is filtered with before its terms are joined
@@ -87,14 +87,57 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75)
     return asked.join(posting, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
+def _graded(keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, grams): the trigrams of each key from rare to frequent by ``counts`` (gram, n), those that it lacks first."""
+    each = keys.select("key", F.explode(tx.trigrams(F.col("key"))).alias("gram"))
+    rated = each.join(counts, "gram", "left").select("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"))
+    return rated.groupBy("key").agg(F.array_sort(F.collect_list("g"))["gram"].alias("grams"))
+
+
+def _heads(graded: DataFrame, least: float) -> DataFrame:
+    """(key, size, gram, place): the rarest trigrams of each key, of which a key as similar as ``least`` must share one."""
+    size = F.size("grams")
+    head = size - F.ceil(size * least) + 1
+    return graded.select("key", size.alias("size"), F.posexplode(F.slice("grams", F.lit(1), head.cast("int"))).alias("place", "gram"))
+
+
+def trigram_candidates(asked: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """(q, d): pairs of graded keys that can share enough, each once.
+
+    Both keys' rarest trigrams must meet (prefix filter), their numbers must fit the threshold (length filter), and what follows
+    the shared one in the shorter rest must suffice for the overlap (position filter). A trigram that all keys hold is among
+    the rarest only of keys that have hardly another, so it makes no postings for the rest.
+    """
+    q = _heads(asked, least).select(F.col("key").alias("q"), "gram", F.col("size").alias("n_q"), F.col("place").alias("at_q"))
+    d = _heads(items, least).select(F.col("key").alias("d"), "gram", F.col("size").alias("n_d"), F.col("place").alias("at_d"))
+    met = q.join(d, "gram").where((F.col("n_d") >= F.col("n_q") * least) & (F.col("n_q") >= F.col("n_d") * least))
+    # the first shared trigram of a pair: those before it in either key are not shared, as both keep one order
+    first = met.groupBy("q", "d", "n_q", "n_d").agg(F.min("at_q").alias("at_q"), F.min("at_d").alias("at_d"))
+    rest = F.least(F.col("n_q") - F.col("at_q"), F.col("n_d") - F.col("at_d"))
+    return first.where(rest >= F.ceil((F.col("n_q") + F.col("n_d")) * (least / (1 + least)))).select("q", "d")
+
+
 def trigram_match(queries: DataFrame, names: DataFrame, least: float = 0.3) -> DataFrame:
-    """(query_id, doc_id, similarity) by shared over all trigrams, through an inverted join on the trigrams."""
-    asked = queries.select("query_id", tx.trigrams(F.col("key")).alias("q"))
-    items = names.select("doc_id", tx.trigrams(F.col("key")).alias("d"))
-    postings = items.select("doc_id", F.size("d").alias("n_d"), F.explode("d").alias("gram"))
-    shared = asked.select("query_id", F.size("q").alias("n_q"), F.explode("q").alias("gram")).join(postings, "gram").groupBy("query_id", "doc_id", "n_q", "n_d").agg(F.count(F.lit(1)).alias("both"))
-    ratio = F.round(F.col("both") / (F.col("n_q") + F.col("n_d") - F.col("both")), 6)
-    return shared.select("query_id", "doc_id", ratio.alias("similarity")).where(F.col("similarity") >= least)
+    """(query_id, doc_id, similarity) of shared over all trigrams, ``least`` or more after rounding to six places.
+
+    Equal keys are compared once: distinct keys get candidates by their rarest trigrams, candidates are verified on all
+    trigrams, and ids join the matching keys. A null key is empty, and the empty key is its own trigram. ``least`` is above 0.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    key = F.lower(F.coalesce(F.col("key"), F.lit(""))).alias("key")
+    wanted, held = queries.select("query_id", key), names.select("doc_id", key)
+    texts = written(held.select("key").distinct())
+    counts = written(texts.select(F.explode(tx.trigrams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    items, asked = written(_graded(texts, counts)), written(_graded(wanted.select("key").distinct(), counts))
+    # a little below ``least``: what rounds up to it must be found, and products of doubles must not lose a whole number
+    pairs = trigram_candidates(asked, items, max(least - 1e-6, least / 2))
+    sets = pairs.join(asked.select(F.col("key").alias("q"), F.col("grams").alias("a")), "q").join(items.select(F.col("key").alias("d"), F.col("grams").alias("b")), "d")
+    both = F.size(F.array_intersect("a", "b"))
+    ratio = F.round(both / (F.size("a") + F.size("b") - both), 6)
+    near = written(sets.select("q", "d", ratio.alias("similarity")).where(F.col("similarity") >= least))
+    free(texts, counts, items, asked)
+    return near.join(wanted.withColumnRenamed("key", "q"), "q").join(held.withColumnRenamed("key", "d"), "d").select("query_id", "doc_id", "similarity")
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: tuple[str, ...] = ()) -> DataFrame:
