@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import checks, graph, infer
+from corvane.operators.modularity import modular_levels, modularity
 from corvane.plans.registry import query
 from corvane.sources.fixtures import Tables
 
@@ -169,9 +170,26 @@ def cycles(t: Tables) -> DataFrame:
     return graph.dependency_cycles(imports(t))
 
 
-@query("bridge_nodes", "with v as (select src as node from v_imports union select dst from v_imports), e as (select src as node, dst as other from v_imports where src <> dst union select dst, src from v_imports where src <> dst) select node, count(distinct other % 7) as n_communities from e where other % 7 <> node % 7 group by 1 having count(distinct other % 7) >= 2", "v_imports")
+@query("bridge_nodes", f"with {LABELS} select ce.node, count(distinct o.label) as n_communities from ce join c10 o on o.node = ce.other join c10 m on m.node = ce.node where o.label <> m.label group by 1 having count(distinct o.label) >= 2", "v_imports")
 def bridge_nodes(t: Tables) -> DataFrame:
-    return graph.bridge_nodes(imports(t), graph.vertex_set(imports(t)).withColumn("label", F.col("node") % 7))
+    return graph.bridge_nodes(imports(t), graph.communities(imports(t)).select("node", "label"))
+
+
+@query("modular_communities")
+def modular_communities(t: Tables) -> DataFrame:
+    """All levels of communities; local moving has no SQL, so tests hold it against plain counting and planted groups."""
+    return modular_levels(imports(t))
+
+
+@query(
+    "community_quality",
+    f"""with {LABELS}, tot as (select count(*) as whole from ce), inn as (select m.label, count(*) as k, count_if(o.label = m.label) as inner_ends from ce join c10 m on m.node = ce.node join c10 o on o.node = ce.other group by 1),
+lb as (select distinct label from c10) select count(*) as n_communities, round(sum(coalesce(inner_ends, 0) / whole) - sum(power(coalesce(k, 0) / whole, 2)), 8) as modularity from lb left join inn using (label), tot""",
+    "v_imports",
+)
+def community_quality(t: Tables) -> DataFrame:
+    labels = graph.communities(imports(t)).select("node", "label")
+    return modularity(imports(t), labels).withColumn("modularity", F.round("modularity", 8))
 
 
 @query("betweenness")
