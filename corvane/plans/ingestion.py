@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.operators import checks, jobs, registry
 from corvane.plans.registry import query
-from corvane.sources import load
+from corvane.session import shared_dir
+from corvane.sources import keyed, load
 from corvane.sources.fixtures import Tables
 from corvane.streaming import job_feed
 
@@ -351,6 +354,22 @@ def upsert_latest(t: Tables) -> DataFrame:
     return load.upsert(target.withColumn("version", F.lit(0)), updates.withColumn("version", F.lit(1)), ["id"], "version").drop("version")
 
 
+@query(
+    "stored_upsert",
+    """with u as (select l_orderkey as id, max(l_returnflag) as status, count(*)::bigint as version from lineitem group by 1)
+select coalesce(o_orderkey, id) as id, coalesce(u.status, o_orderstatus) as status, coalesce(u.version, 0)::bigint as version from orders full join u on id = o_orderkey""",
+)
+def stored_upsert(t: Tables) -> DataFrame:
+    """Orders stored by buckets of their key, then the state of their lines put in, twice: the second time writes nothing."""
+    path = f"{shared_dir(t.spark)}/corvane-keyed-{uuid.uuid4().hex}"
+    zero = F.lit(0).cast("long").alias("version")
+    keyed.upsert(t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), zero), path, ["id"], "version", buckets=8)
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_returnflag").alias("status"), F.count(F.lit(1)).alias("version"))
+    for _ in range(2):
+        keyed.upsert(lines, path, ["id"], "version")
+    return keyed.read(t.spark, path)
+
+
 @query("versioned_rows", "select id, status, 'registry' as origin, '1.0.0' as ontology_version from v_jobs", "v_jobs")
 def versioned_rows(t: Tables) -> DataFrame:
     return load.with_versions(t("v_jobs").select("id", "status"), {"origin": "registry", "ontology_version": "1.0.0"})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -75,17 +75,22 @@ def append_registry(df: DataFrame, path: str, table: str) -> None:
     df.select(columns).write.mode("append").parquet(f"{path}/{table}")
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """All rows of both, one per key, the one of the highest version (S7); repeating an upsert adds nothing.
+def row_digest(schema: T.StructType) -> Column:
+    """A number of a row's columns, maps aside."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in schema if "map<" not in f.dataType.simpleString()))
+
 
-    Of equal versions the row of the largest digest of its columns (maps aside) stays, whatever the order of the rows.
-    """
-    rows = target.unionByName(updates, allowMissingColumns=True)
-    digest = F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(version), F.desc(digest)))
+def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """One row per key, that of the highest version; of equal versions that of the largest digest, whatever the order of the rows."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(version), F.desc(row_digest(rows.schema))))
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """All rows of both, one per key, as ``newest`` has it (S7); repeating an upsert adds nothing. ``keyed`` does the same to a stored table."""
+    return newest(target.unionByName(updates, allowMissingColumns=True), keys, version)
+
+
 def publish_section(df: DataFrame, path: str) -> None:
     """Replace the partitions (snapshot_id, section_type) that ``df`` holds, and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id", "section_type").parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.operators.jobs import SNAPSHOT_STATUS, apply_update
 from corvane.session import shared_dir
-from corvane.sources import load
+from corvane.sources import keyed
 
 _OUT = "job_id long, seq long, reject_reason string, is_state boolean, n_seen long, n_accepted long, status string, progress int, error_message string, started_at timestamp, completed_at timestamp, snapshot_status string"
 _STATE = "n_seen long, n_accepted long, status string, progress int, error_message string, started_at timestamp, completed_at timestamp"
@@ -77,28 +77,26 @@ def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
 
 
 def upsert_batch(batch: DataFrame, number: int, base: str, keys: list[str], version: str) -> DataFrame:
-    """Table ``number`` below ``base``: the one before it with the batch's rows put in.
+    """The table below ``base`` with the rows of batch ``number`` put in.
 
-    A retried batch starts from the same table and overwrites its own, so nothing doubles, and rows of other keys (the stages
-    before a failed one) stay.
+    Only buckets with a row that wins are rewritten. A retried batch finds its own rows there and changes nothing, and rows of
+    other keys (the stages before a failed one) stay.
     """
     spark = batch.sparkSession
-    before = spark.read.schema(batch.schema).parquet(f"{base}/table-{number - 1}") if number else batch.limit(0)
-    load.upsert(before, batch, keys, version).write.mode("overwrite").parquet(f"{base}/table-{number}")
-    return spark.read.schema(batch.schema).parquet(f"{base}/table-{number}")
+    keyed.upsert(batch, f"{base}/table", keys, version)
+    return keyed.read(spark, f"{base}/table") if keyed.manifest(spark, f"{base}/table")[1] else batch.limit(0)
 
 
 def upserted(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Run a stream over what is there into a table with one row per key, that of the highest version."""
-    spark, last = stream.sparkSession, []
+    spark = stream.sparkSession
     base = f"{shared_dir(spark)}/corvane-stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         upsert_batch(batch, number, base, keys, version)
-        last[:] = [number]
 
     _run(stream, "append", base, sink)
-    return spark.read.schema(stream.schema).parquet(f"{base}/table-{last[0]}") if last else spark.createDataFrame([], stream.schema)
+    return keyed.read(spark, f"{base}/table") if keyed.manifest(spark, f"{base}/table")[1] else spark.createDataFrame([], stream.schema)
 
 
 def distinct_within(stream: DataFrame, keys: list[str], time_col: str, delay: str = "1 hour") -> DataFrame:
