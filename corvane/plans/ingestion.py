@@ -326,6 +326,19 @@ def stage_progress(t: Tables) -> DataFrame:
     return jobs.stage_progress(t("v_stage_events"))
 
 
+def _fed_stages(t: Tables) -> DataFrame:
+    """Stages of the streamed events, whose columns are those of v_stage_events."""
+    events = job_feed.read_updates(t.spark, f"{t.sf_dir}/events.parquet")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("running")
+    rows = events.select(F.col("user_id").alias("job_id"), (F.col("event_id") % 14).cast("int").alias("stage"), "ts", status.alias("status"), F.col("value").alias("cost"))
+    return job_feed.latest(job_feed.stage_feed(rows), ["job_id", "stage"], "n_events")
+
+
+@query("stream_stage_progress", "with " + STAGED + " select * from g", "v_stage_events")
+def stream_stage_progress(t: Tables) -> DataFrame:
+    return _fed_stages(t)
+
+
 JOBBED = "b as (select job_id, count(*) filter (status = 'completed') as n_completed, count(*) filter (status = 'failed') as n_failed, count(*) as n_stages, max(stage) as current_stage from g group by 1), o as (select *, (n_completed * 100 // 14)::bigint as percent, case when n_completed = 14 then 'complete' when n_completed + n_failed = 14 and n_completed = 0 then 'failed' when n_failed > 0 and n_completed > 0 then 'partial' else 'running' end as outcome from b)"
 STATES = "case when outcome = 'complete' then 'ready' when outcome in ('failed', 'partial') then outcome else ([" + ", ".join(f"'{s}'" for s in jobs.STATE_OF_STAGE) + "])[current_stage + 1] end"
 
@@ -335,6 +348,17 @@ def job_progress(t: Tables) -> DataFrame:
     return jobs.job_progress(jobs.stage_progress(t("v_stage_events")))
 
 
+@query("stream_job_progress", f"with {STAGED}, {JOBBED} select *, {STATES} as repository_state from o", "v_stage_events")
+def stream_job_progress(t: Tables) -> DataFrame:
+    return jobs.job_progress(_fed_stages(t))
+
+
+@query("stream_weekly", "select date_trunc('week', ts)::timestamp as week, event_type, count(*) as n from events group by 1, 2")
+def stream_weekly(t: Tables) -> DataFrame:
+    events = job_feed.read_updates(t.spark, f"{t.sf_dir}/events.parquet")
+    return job_feed.latest(job_feed.weekly(events.select(F.col("ts").alias("event_ts"), "event_type")), ["week", "event_type"], "n")
+
+
 @query("stage_report", "select stage, count(*) as n_events, round(avg((status = 'failed')::int::double), 6) as failure_rate, round(quantile_cont(cost, 0.5), 6) as median_cost, round(sum(cost), 4) as total_cost from v_stage_events group by 1", "v_stage_events")
 def stage_report(t: Tables) -> DataFrame:
     return jobs.stage_report(t("v_stage_events"))

@@ -87,7 +87,7 @@ def upsert_batch(batch: DataFrame, number: int, base: str, keys: list[str], vers
     return keyed.read(spark, f"{base}/table") if keyed.manifest(spark, f"{base}/table")[1] else batch.limit(0)
 
 
-def upserted(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
+def upserted(stream: DataFrame, keys: list[str], version: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into a table with one row per key, that of the highest version."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/corvane-stream-{uuid.uuid4().hex}"
@@ -95,10 +95,43 @@ def upserted(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
     def sink(batch: DataFrame, number: int) -> None:
         upsert_batch(batch, number, base, keys, version)
 
-    _run(stream, "append", base, sink)
+    _run(stream, mode, base, sink)
     return keyed.read(spark, f"{base}/table") if keyed.manifest(spark, f"{base}/table")[1] else spark.createDataFrame([], stream.schema)
 
 
+def stage_feed(events: DataFrame) -> DataFrame:
+    """The rows of ``jobs.stage_progress`` as a stream in update mode (X4): a row of each job and stage that a micro-batch touches.
+
+    Every column is a sum, a count or an extreme, so updates may come in any order over any batches. Attempts are starts after a
+    failure: all failures but the one that is the latest event. State is a row for each job and stage, as the result is.
+    """
+    order = F.struct("ts", "status", "cost")
+    last = F.max_by("status", order)
+    retries = F.count_if(F.col("status") == "failed") - F.coalesce((last == "failed").cast("int"), F.lit(0))
+    return events.groupBy("job_id", "stage").agg(last.alias("status"), F.count(F.lit(1)).alias("n_events"), (retries + 1).alias("attempts"), F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
+def weekly(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """The rows of ``infer.per_period`` by week as a stream (A10): event-time windows from Monday, in the clock of ``event_ts``.
+
+    With ``delay``, once a micro-batch has seen an event ``delay`` past a window's end, the next one drops the window's state, and
+    from the one after that on rows of the window are left out; without, rows count however late they are, and state is a row for each week and type.
+    """
+    zone = F.current_timezone()
+    rows = events.withColumn("at", F.from_utc_timestamp(F.col("event_ts").cast("timestamp"), zone))
+    rows = rows.withWatermark("at", delay) if delay else rows
+    counts = rows.groupBy(F.window("at", "7 days", startTime="4 days").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.to_utc_timestamp(F.col("w.start"), zone).cast("timestamp_ntz").alias("week"), "event_type", "n")
+
+
+def latest(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Run an aggregation in update mode over what is there; of each key the row of the highest ``version``, which only grows.
+
+    Rows go into a table by key, so a batch that is run again changes nothing and a batch rewrites only buckets that it touches.
+    """
+    return upserted(stream, keys, version, "update")
+
+
 def distinct_within(stream: DataFrame, keys: list[str], time_col: str, delay: str = "1 hour") -> DataFrame:
     """Provider events once each (X8): repeats of a key within the watermark are dropped."""
     return stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
