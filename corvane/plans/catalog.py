@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import evaluation, graphs, ingestion, overview, retrieval
+from corvane.plans import code, evaluation, graphs, ingestion, overview, retrieval
 from corvane.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "graphs", "ingestion", "overview", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "code", "evaluation", "graphs", "ingestion", "overview", "retrieval"]

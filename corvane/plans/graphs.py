@@ -30,11 +30,6 @@ NODES = """n as (select 'repository:' || id as node_key, 'repository' as entity_
  union all select distinct 'subsystem:' || subsystem, 'subsystem', subsystem, 'inferred', 0.6 from v_signals)"""
 
 
-@query("build_nodes", f"with {NODES} select * from n", "v_repositories", "v_files", "v_commits", "v_signals")
-def build_nodes(t: Tables) -> DataFrame:
-    return _nodes(t)
-
-
 def _edges(t: Tables) -> DataFrame:
     return graph.union(
         graph.edges(t("v_imports"), "IMPORTS", "file", F.col("src"), "file", F.col("dst")),
@@ -51,11 +46,6 @@ EDGES = """e as (select distinct 'file:' || src as source_key, 'file:' || dst as
 EDGE_VIEWS = ("v_imports", "v_commit_files", "v_signals", "v_commits", "v_files", "v_repositories")
 
 
-@query("build_edges", f"with {EDGES} select * from e", *EDGE_VIEWS[:-1])
-def build_edges(t: Tables) -> DataFrame:
-    return _edges(t)
-
-
 @query(
     "graph_rejects",
     f"""with {NODES}, {EDGES}, k as (select *, case when knowledge_kind = 'inferred' then split_part(source_key, ':', 2)::bigint end as k from e),
