@@ -188,6 +188,11 @@ def betweenness(t: Tables) -> DataFrame:
     return graph.betweenness(imports(t), pivots).withColumn("betweenness", F.round("betweenness", 6))
 
 
+@query("betweenness_bounded")
+def betweenness_bounded(t: Tables) -> DataFrame:
+    return graph.betweenness_within(imports(t), tolerance=0.15).withColumns({c: F.round(c, 9) for c in ("betweenness", "error")})
+
+
 LAYERS = """co as (select v.node, coalesce(c.component, v.node) as grp from (select src as node from ce union select dst from ce) v left join cyc c using (node)),
 cs as (select distinct x.grp as a, y.grp as b from ce join co x on x.node = src join co y on y.node = dst where x.grp <> y.grp),
 cl as (select distinct grp, 0 as layer from co union select cs.a, cl.layer + 1 from cl join cs on cs.b = cl.grp), lay as (select grp, max(layer) as layer from cl group by 1)"""
