@@ -30,11 +30,17 @@ def ndcg(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
 
 
 def average_ranks(scores: DataFrame, item: str, score: str, out: str) -> DataFrame:
-    """Ranks from the highest score, ties sharing their mean rank."""
-    order = Window.orderBy(F.desc(score))
-    first = scores.groupBy(score).agg(F.count(F.lit(1)).alias("n"))
-    upto = first.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))  # a row per distinct score
-    return scores.join(upto, score).select(item, (F.col("upto") - (F.col("n") - 1) / 2).alias(out))
+    """Ranks from the highest score, ties sharing their mean rank; rows without a score have none.
+
+    Distinct scores are range-sorted; the rows of earlier ranges are added to those of earlier scores in the same range, so no task sees all scores.
+    """
+    counts = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    part = written(counts.repartitionByRange(F.desc(score)).withColumn("_part", F.spark_partition_id()))
+    sums = part.groupBy("_part").agg(F.sum("_n").alias("_in"))  # a row for each range
+    before = sums.select("_part", (F.sum("_in").over(Window.orderBy("_part")) - F.col("_in")).alias("_before"))
+    order = Window.partitionBy("_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    upto = part.withColumn("_upto", F.sum("_n").over(order)).join(before, "_part")
+    return scores.join(upto, score).select(item, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
 
 
 def rank_agreement(a: DataFrame, b: DataFrame, item: str, score: str, k: int = 10) -> DataFrame:
@@ -59,6 +65,10 @@ def inversions(values: np.ndarray, weights: np.ndarray) -> int:
     return total
 
 
+#: Ranges of each order at most, so that the table of pairs of ranges stays small.
+RANGES = 200
+
+
 def kendall_tau(pairs: DataFrame, item: str = "item", a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
     """Tau-a over all pairs of a ranking's items, ties counting 0; null for fewer than two items. Rows with a null are left out.
 
@@ -68,7 +78,7 @@ def kendall_tau(pairs: DataFrame, item: str = "item", a: str = "a", b: str = "b"
     holds two numbers for each distinct (a, b) of its range.
     """
     spark = pairs.sparkSession
-    parts = parts or shuffle_partitions(spark)
+    parts = parts or min(shuffle_partitions(spark), RANGES)
     cells = written(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")))
     tied = lambda df: (df.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]) or 0
     of = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n"))

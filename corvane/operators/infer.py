@@ -88,14 +88,22 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n_files") / F.sum("n_files").over(Window.partitionBy()), 6))
 
 
-def nested_detail(base: DataFrame, key: str, children: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """``base`` with a sorted array of each kind of child, nested before it is joined."""
-    for name, (df, own, value) in children.items():
-        nested = df.groupBy(F.col(own).alias(key)).agg(F.sort_array(F.collect_list(value)).alias(name))
-        base = base.join(nested, key, "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
+def detail(base: DataFrame, key: str, children: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """``base`` with n_<kind> and first_<kind> (the smallest, null if none) of each kind of child; each kind names its key and value columns.
+
+    Counted before they are joined, so a key of any number of children is one row in any task. Rows with a null value are no children.
+    """
+    for kind, (df, own, value) in children.items():
+        counted = df.groupBy(F.col(own).alias(key)).agg(F.count(value).alias(f"n_{kind}"), F.min(value).alias(f"first_{kind}"))
+        base = base.join(counted, key, "left").withColumn(f"n_{kind}", F.coalesce(f"n_{kind}", F.lit(0)).cast("long"))
     return base
 
 
+def detail_children(key: str, children: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(key, kind, value as text), a row for each child that ``detail`` counts: a list of any length without an array."""
+    return reduce(DataFrame.unionByName, (df.where(F.col(value).isNotNull()).select(F.col(own).alias(key), F.lit(kind).alias("kind"), F.col(value).cast("string").alias("value")) for kind, (df, own, value) in children.items()))
+
+
 def subsystem_status(signals: DataFrame, thresholds: dict[str, float], least: int = 2, confidence: float = 0.55) -> DataFrame:
     """Shares of each ``<name>_signal`` column; confirmed with ``least`` agreeing signals and enough mean confidence."""
     shares = signals.groupBy("subsystem").agg(F.count(F.lit(1)).alias("n_files"), *(F.round(F.avg(F.col(f"{s}_signal").cast("int")), 6).alias(f"{s}_share") for s in thresholds))

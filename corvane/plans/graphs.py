@@ -141,6 +141,18 @@ def pagerank_10(t: Tables) -> DataFrame:
     return graph.pagerank(imports(t), 10).select("node", F.round("rank", 8).alias("rank"))
 
 
+@query(
+    "decision_leads",
+    """with e as (select src as a, dst as b from v_imports union select dst, src from v_imports), r(node, label) using key (node) as (select a, a from e union select e.b, min(r.label) from r join e on e.a = r.node join recurring.r k on k.node = e.b where r.label < k.label group by 1)
+select label as candidate_id, count(*) as n_artifacts, arg_min(file_id, (file_id % 5) * 1000000000000 + file_id) as lead_id from r join v_files on file_id = node group by 1""",
+    "v_imports", "v_files",
+    recursive=True,
+)
+def decision_leads(t: Tables) -> DataFrame:
+    kinds = F.element_at(F.array(*map(F.lit, ("adr", "discussion", "pull_request", "issue", "commit"))), (F.col("file_id") % 5 + 1).cast("int"))
+    return infer.decision_candidates(imports(t), t("v_files").select(F.col("file_id").alias("artifact_id"), kinds.alias("kind")))
+
+
 LABELS = "ce as materialized (select src as node, dst as other from v_imports where src <> dst union select dst, src from v_imports where src <> dst), c0 as materialized (select src as node, src as label from v_imports union select dst, dst from v_imports)" + "".join(
     f", c{i} as materialized (select node, label from (select node, label, count(*) as votes from (select ce.node, c{i - 1}.label from ce join c{i - 1} on c{i - 1}.node = ce.other union all select node, label from c{i - 1}) group by 1, 2) qualify row_number() over (partition by node order by votes desc, label) = 1)" for i in range(1, 11)
 )
@@ -329,9 +341,8 @@ def top_n_files(t: Tables) -> DataFrame:
     "v_files", "v_imports", "v_commit_files",
 )
 def entity_detail(t: Tables) -> DataFrame:
-    out = infer.nested_detail(t("v_files"), "file_id", {"imports": (imports(t), "src", "dst"), "importers": (imports(t), "dst", "src"), "commits": (t("v_commit_files"), "file_id", "sha")})
-    n = lambda c: F.size(c).cast("long")
-    return out.select("file_id", "path", n("imports").alias("n_imports"), F.get("imports", F.lit(0)).alias("first_import"), n("importers").alias("n_importers"), n("commits").alias("n_commits"))
+    out = infer.detail(t("v_files"), "file_id", {"imports": (imports(t), "src", "dst"), "importers": (imports(t), "dst", "src"), "commits": (t("v_commit_files"), "file_id", "sha")})
+    return out.select("file_id", "path", "n_imports", F.col("first_imports").alias("first_import"), "n_importers", "n_commits")
 
 
 # inference

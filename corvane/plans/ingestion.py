@@ -415,3 +415,44 @@ def embedding_reuse(t: Tables) -> DataFrame:
     have = hashed.where("doc_id % 3 = 0").drop("doc_id")
     reuse, fresh = load.reuse_embeddings(hashed, have)
     return reuse.select("doc_id", F.lit(True).alias("reused")).unionByName(fresh.select("doc_id", F.lit(False).alias("reused")))
+
+
+# sources and sinks, written to the shared folder and read back
+
+@query("registry_stored", "select id, repository_id, snapshot_id, status, progress, error_message, created_at::date as created_on from v_jobs", "v_jobs")
+def registry_stored(t: Tables) -> DataFrame:
+    path = f"{shared_dir(t.spark)}/corvane-registry-{uuid.uuid4().hex}"
+    jobs = registry.response(t("v_jobs"), "job")
+    for half in (jobs.where("id % 2 = 0"), jobs.where("id % 2 <> 0")):
+        load.append_registry(half, path, "ingestion_jobs")
+    return load.read_registry(t.spark, path, "ingestion_jobs").select("id", "repository_id", "snapshot_id", "status", "progress", "error_message", F.col("created_at").cast("date").alias("created_on"))
+
+
+@query("artifacts_read", "select discussion_id * 1000 + turn as number, role as title, text as body from v_discussions", "v_discussions")
+def artifacts_read(t: Tables) -> DataFrame:
+    path = f"{shared_dir(t.spark)}/corvane-artifacts-{uuid.uuid4().hex}"
+    t("v_discussions").select((F.col("discussion_id") * 1000 + F.col("turn")).alias("number"), F.col("role").alias("title"), F.col("text").alias("body"), F.lit("unknown").alias("other")).write.json(f"{path}/discussions")
+    return load.read_artifacts(t.spark, path, "discussions").select("number", "title", "body")
+
+
+@query(
+    "sections_published",
+    """with r as (select c_nationkey::bigint as snapshot_id, c_mktsegment as section_type, c_custkey as item from customer), again as (select * from r where snapshot_id % 2 = 0 and item % 3 > 0)
+select *, 2 as version from again union all select r.*, 1 from r where not exists (select 1 from again a where a.snapshot_id = r.snapshot_id and a.section_type = r.section_type)""",
+)
+def sections_published(t: Tables) -> DataFrame:
+    path = f"{shared_dir(t.spark)}/corvane-sections-{uuid.uuid4().hex}"
+    rows = t("customer").select(F.col("c_nationkey").cast("long").alias("snapshot_id"), F.col("c_mktsegment").alias("section_type"), F.col("c_custkey").alias("item"))
+    load.publish_section(rows.withColumn("version", F.lit(1)), path)
+    for _ in range(2):  # a repeated publication changes nothing
+        load.publish_section(rows.where("snapshot_id % 2 = 0 and item % 3 > 0").withColumn("version", F.lit(2)), path)
+    return t.spark.read.schema("item long, version int, snapshot_id long, section_type string").parquet(path).select("snapshot_id", "section_type", "item", "version")
+
+
+@query("rejects_stored", REGISTERED + "select request_id, reject_reason from asked where reject_reason is not null union all select request_id, 'duplicate' from ranked where is_known or not is_first", "v_submissions")
+def rejects_stored(t: Tables) -> DataFrame:
+    path = f"{shared_dir(t.spark)}/corvane-rejects-{uuid.uuid4().hex}"
+    accepted, rejected = _batch(t)
+    load.write_rejects(rejected.select("request_id", "reject_reason"), path)
+    load.write_rejects(accepted.select("request_id", "reject_reason"), path)  # none of them is written
+    return t.spark.read.schema("request_id long, reject_reason string").parquet(path)

@@ -148,8 +148,8 @@ def contributor_detail(t: Tables) -> DataFrame:
 )
 def decision_detail(t: Tables) -> DataFrame:
     files, people = t("v_commit_files").withColumnRenamed("sha", "decision_id"), t("v_reviews").withColumnRenamed("sha", "decision_id")
-    out = infer.nested_detail(infer.decision_status(t("v_evidence")), "decision_id", {"files": (files, "decision_id", "file_id"), "people": (people, "decision_id", "reviewer_id")})
-    return out.select("decision_id", "status", "combined", "n_evidence", F.size("files").cast("long").alias("n_files"), F.size("people").cast("long").alias("n_people"))
+    out = infer.detail(infer.decision_status(t("v_evidence")), "decision_id", {"files": (files, "decision_id", "file_id"), "people": (people, "decision_id", "reviewer_id")})
+    return out.select("decision_id", "status", "combined", "n_evidence", "n_files", "n_people")
 
 
 # subsystems and architecture
