@@ -134,6 +134,25 @@ def decision_status(evidence: DataFrame) -> DataFrame:
     return out.withColumn("status", status)
 
 
+def decision_rules(evidence: DataFrame) -> DataFrame:
+    """``decision_status`` by all rules: evidence also has ``part`` (context, action or another) and ``contradicts``.
+
+    Confirmed needs firm evidence (not of a model) of the context and of the action, two firm rows in all, enough combined confidence, and no
+    stronger contradiction: firm contradicting evidence whose combined confidence is above that of the support rejects. A null ``contradicts``
+    is support; without any firm support a decision is insufficient_evidence whatever speaks against it.
+    """
+    against = F.coalesce("contradicts", F.lit(False))
+    firm = F.coalesce(F.col("evidence_type") != "model_inference", F.lit(False))
+    support = combined_evidence(evidence.where(~against), ["decision_id"]).select("decision_id", "n_evidence", "n_firm", "combined")
+    contrary = combined_evidence(evidence.where(against & firm), ["decision_id"]).select("decision_id", F.col("combined").alias("against"))
+    has = lambda part: F.coalesce(F.bool_or(firm & ~against & (F.col("part") == part)), F.lit(False))
+    out = evidence.groupBy("decision_id").agg(has("context").alias("has_context"), has("action").alias("has_action"))
+    out = out.join(support, "decision_id", "left").join(contrary, "decision_id", "left").fillna(0, ["n_evidence", "n_firm"]).fillna(0.0, ["combined", "against"])
+    whole = F.col("has_context") & F.col("has_action") & (F.col("combined") >= 0.8) & (F.col("n_firm") >= 2)
+    status = F.when(F.col("n_firm") == 0, "insufficient_evidence").when((F.col("against") > F.col("combined")) | (F.col("combined") < 0.2), "rejected").when(whole, "confirmed").otherwise("candidate")
+    return out.withColumn("status", status)
+
+
 def confidence_band(c: Column) -> Column:
     """P10."""
     return F.when(c >= 0.80, "high").when(c >= 0.55, "medium").otherwise("low")

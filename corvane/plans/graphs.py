@@ -380,6 +380,23 @@ def decision_status(t: Tables) -> DataFrame:
     return infer.decision_status(t("v_evidence"))
 
 
+COMBINED = "round(case when max(confidence) >= 1 then 1.0 else 1 - exp(sum(case when confidence < 1 then ln(1 - confidence) end)) end + 1e-9, 6)"
+
+
+@query(
+    "decision_rules",
+    f"""with v as (select *, evidence_type <> 'model_inference' as firm, case evidence_id % 3 when 1 then 'context' when 2 then 'action' end as part, evidence_id in (3, 4) as contradicts from v_evidence),
+ s as (select decision_id, count(*) as n_evidence, count(*) filter (firm) as n_firm, {COMBINED} as combined from v where not contradicts group by 1), a as (select decision_id, {COMBINED} as against from v where contradicts and firm group by 1),
+ h as (select decision_id, coalesce(bool_or(firm and not contradicts and part = 'context'), false) as has_context, coalesce(bool_or(firm and not contradicts and part = 'action'), false) as has_action from v group by 1),
+ j as (select decision_id, has_context, has_action, coalesce(n_evidence, 0) as n_evidence, coalesce(n_firm, 0) as n_firm, coalesce(combined, 0) as combined, coalesce(against, 0) as against from h left join s using (decision_id) left join a using (decision_id))
+select *, case when n_firm = 0 then 'insufficient_evidence' when against > combined or combined < 0.2 then 'rejected' when has_context and has_action and combined >= 0.8 and n_firm >= 2 then 'confirmed' else 'candidate' end as status from j""",
+    "v_evidence",
+)
+def decision_rules(t: Tables) -> DataFrame:
+    part = F.when(F.col("evidence_id") % 3 == 1, "context").when(F.col("evidence_id") % 3 == 2, "action")
+    return infer.decision_rules(t("v_evidence").withColumns({"part": part, "contradicts": F.col("evidence_id").isin(3, 4)}))
+
+
 @query("evidence_combined", f"select decision_id, combined, case when combined >= 0.8 then 'high' when combined >= 0.55 then 'medium' else 'low' end as band from ({DECISION})", "v_evidence")
 def evidence_combined(t: Tables) -> DataFrame:
     return infer.combined_evidence(t("v_evidence"), ["decision_id"]).select("decision_id", "combined", infer.confidence_band(F.col("combined")).alias("band"))

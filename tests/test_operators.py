@@ -280,3 +280,36 @@ def test_equal_versions_leave_the_same_row_in_any_order(spark):
         df = spark.createDataFrame(order, "id long, version int, x string")
         found.add(tuple(sorted(tuple(r) for r in load.upsert(df.limit(2), df.exceptAll(df.limit(2)), ["id"], "version").collect())))
     assert len(found) == 1 and len(next(iter(found))) == 2
+
+
+def test_decision_rules(spark):
+    firm, model = "artifact", "model_inference"
+    support = lambda d, part, c=0.7, kind=firm: (d, kind, c, part, False)
+    rows = [
+        *(support(1, "context"), support(1, "action")),
+        *(support(2, "context"), support(2, None)),  # no action
+        *(support(3, "context"), support(3, "action", 0.99, model), support(3, None)),  # the action is a model's
+        *(support(4, "context"), support(4, "action"), (4, firm, 0.95, None, True)),  # stronger contradiction
+        *(support(5, "context"), support(5, "action"), (5, firm, 0.5, None, True), (5, model, 1.0, None, True)),  # a weaker one, a model's
+        *((6, firm, 0.9, "context", True), (6, None, 0.9, "action", None)),  # nothing firm for it
+        *(support(7, "context", 0.1), (7, firm, None, None, None)),
+    ]
+    evidence = spark.createDataFrame(rows, "decision_id long, evidence_type string, confidence double, part string, contradicts boolean")
+    got = {r.decision_id: r.status for r in infer.decision_rules(evidence).collect()}
+    assert got == {1: "confirmed", 2: "candidate", 3: "candidate", 4: "rejected", 5: "confirmed", 6: "insufficient_evidence", 7: "rejected"}
+    assert infer.decision_rules(evidence.limit(0)).count() == 0
+
+
+def test_mean_ranks_of_ties_and_nulls(spark):
+    rng = random.Random(5)
+    scores = [(i, float(rng.randrange(300))) for i in range(2000)] + [(9000, None)]
+    got = {r.item: r.place for r in evaluate.average_ranks(spark.createDataFrame(scores, "item int, score double").repartition(7), "item", "score", "place").collect()}
+    known = sorted((s for _, s in scores if s is not None), reverse=True)
+    want = {v: known.index(v) + (known.count(v) + 1) / 2 for v in set(known)}
+    assert got == {i: want[s] for i, s in scores if s is not None}
+
+
+def test_detail_counts_and_children(spark):
+    base, tags = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (3, "z")], "of int, tag string")
+    assert sorted(map(tuple, infer.detail(base, "id", {"tags": (tags, "of", "tag")}).collect())) == [(1, 2, "a"), (2, 0, None)]
+    assert sorted(map(tuple, infer.detail_children("id", {"tags": (tags, "of", "tag")}).collect())) == [(1, "tags", "a"), (1, "tags", "b"), (3, "tags", "z")]
