@@ -370,6 +370,12 @@ def architecture_fallback(t: Tables) -> DataFrame:
     return infer.architecture(_status(t), t("v_files"))
 
 
+@query("architecture_by_directory", "select distinct directory as subsystem, 'directory' as basis from v_files", "v_files")
+def architecture_by_directory(t: Tables) -> DataFrame:
+    shares = {"directory": 0.5, "import": 0.3, "docs": 0.2, "cochange": 0.5}
+    return infer.architecture(infer.subsystem_status(t("v_signals"), shares, 5, 0.45), t("v_files"))  # more signals than there are: none is confirmed
+
+
 DECISION = """select decision_id, n_evidence, n_firm, combined, hops, chain, case when n_firm = 0 then 'insufficient_evidence' when combined >= 0.8 and n_firm >= 2 then 'confirmed' when combined < 0.2 then 'rejected' else 'candidate' end as status from (
 select decision_id, count(*) as n_evidence, count(*) filter (evidence_type <> 'model_inference') as n_firm, round(case when max(confidence) >= 1 then 1.0 else 1 - exp(sum(case when confidence < 1 then ln(1 - confidence) end)) end + 1e-9, 6) as combined,
  count(distinct evidence_type) as hops, round(count(distinct evidence_type) / 4, 6) as chain from v_evidence group by 1)"""
