@@ -25,3 +25,13 @@ def test_prefixes_of_few_keys(spark, monkeypatch):
     n_rod = 150 * 3000  # "red r"; the fifty others are "red b"
     assert got.count() == got.distinct().count() == n_rod + 50 * 1000
     assert got.where("query_id % 4 = 0 and doc_id % 4 <> 0 or query_id % 4 <> 0 and doc_id % 4 = 0").isEmpty()
+
+
+def test_similar_names_of_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(search, "LOAD", 10_000)
+    asked, names = sides(spark)
+    got = search.trigram_match(asked, names, 0.5)
+    assert largest_part(got) <= 100_000
+    # null is the empty key here: two of each side meet
+    assert got.count() == got.distinct().count() == 150 * 3000 + 50 * 1000 + 2 * 2
+    assert got.where("similarity <> 1").isEmpty()
