@@ -35,3 +35,12 @@ def test_similar_names_of_few_keys(spark, monkeypatch):
     # null is the empty key here: two of each side meet
     assert got.count() == got.distinct().count() == 150 * 3000 + 50 * 1000 + 2 * 2
     assert got.where("similarity <> 1").isEmpty()
+
+
+def test_equal_names_of_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(search, "LOAD", 10_000)
+    asked, names = sides(spark)
+    got = search.lookup_exact(asked.unionByName(asked.where("query_id = 7")), names)  # a repeated row counts twice
+    assert largest_part(got) <= 100_000
+    assert got.count() == 150 * 3000 + 50 * 1000 + 3000 + 1  # the empty key is its own
+    assert got.where("doc_id in (-1, -3)").isEmpty()
