@@ -102,7 +102,12 @@ def _packer(size: int):
 def _blocks(rows: DataFrame, centres: np.ndarray, size: int) -> DataFrame:
     """Blocks of up to ``size`` rows (scope, id, unit) of one scope and cell; a hot cell is dealt out by its ids, too."""
     placed = with_cells(rows.select("scope", "id", "unit"), centres).select("scope", F.element_at("cells", 1).alias("cell"), "id", "unit")
-    placed = placed.repartitionByRange(shuffle_partitions(rows.sparkSession), "scope", "cell", F.xxhash64("id")).sortWithinPartitions("scope", "cell")
+    return _packed(placed, size)
+
+
+def _packed(placed: DataFrame, size: int) -> DataFrame:
+    """Rows (scope, cell, id, unit) as blocks of up to ``size`` of one scope and cell."""
+    placed = placed.repartitionByRange(shuffle_partitions(placed.sparkSession), "scope", "cell", F.xxhash64("id")).sortWithinPartitions("scope", "cell")
     return written(placed.mapInArrow(_packer(size), _BLOCK))
 
 
@@ -160,14 +165,19 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: tupl
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     blocks, lots = _blocks(items, centres, BLOCK), _blocks(asked, centres, ASKED)
     free(items, asked)
+    found = _met(blocks, lots, k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+def _met(blocks: DataFrame, lots: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): the ``k`` best of each block of queries (``lots``) in each slice of the blocks of its scope."""
     sizes = blocks.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SLICE)).alias("slices"))  # a row for each scope
     dealt = written(blocks.join(sizes, "scope").withColumn("slice", F.pmod(F.xxhash64("ids"), F.col("slices"))))
     lots = lots.withColumn("block", F.monotonically_increasing_id()).join(sizes, "scope").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     pairs = lots.select("block", "scope", "slice", F.col("ids").alias("query_ids"), F.col("units").alias("queries")).join(dealt.select("scope", "slice", "ids", "units", "centre", "radius").hint("merge"), ["scope", "slice"])
-    with arrow_rows(spark, 4):  # a row holds two blocks
-        found = written(pairs.mapInArrow(_searcher(k), "query_id long, doc_id long, score double"), dealt)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("score", F.round("score", 6)).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    with arrow_rows(blocks.sparkSession, 4):  # a row holds two blocks
+        return written(pairs.mapInArrow(_searcher(k), "query_id long, doc_id long, score double"), dealt).withColumn("score", F.round("score", 6))
 
 
 # ---- the stored index
@@ -201,10 +211,18 @@ def probe(spark: SparkSession, path: str, queries: DataFrame, share: float, scop
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, share: float = 0.4, scope: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, doc_id, score, rank): the best ``k`` of the vectors in the ``share`` of cells nearest to each query, ranked exactly.
 
+    Rows and queries of a cell meet in blocks, like those of the exact search, and a block of queries keeps its ``k`` best only.
     The default finds nine of ten neighbours even where vectors form no clusters; clustered ones need much less.
     """
     asked, cells = probe(spark, path, queries, share, scope)
-    dot = F.aggregate(F.zip_with("q", "unit", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = cells.join(asked, [*scope, "cell"]).where("doc_id <> query_id").select("query_id", "doc_id", F.round(dot, 6).alias("score")).dropDuplicates(["query_id", "doc_id", "score"])
+    key = F.to_json(F.array(*(F.col(c).cast("string") for c in (*scope, "cell")))).alias("scope")
+    known = F.lit(True)
+    for c in scope:
+        known = known & F.col(c).isNotNull()
+    kind = dict(cells.dtypes)["doc_id"], dict(asked.dtypes)["query_id"]
+    held = lambda df, id_col, vector: df.where(known & F.col(id_col).isNotNull()).select(key, F.col("cell").cast("int").alias("cell"), F.col(id_col).cast("long").alias("id"), F.col(vector).alias("unit"))
+    blocks, lots = _packed(held(cells, "doc_id", "unit"), BLOCK), _packed(held(asked, "query_id", "q"), ASKED)
+    found = _met(blocks, lots, k).dropDuplicates(["query_id", "doc_id"])  # a row lies in several cells
+    free(blocks, lots)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select(F.col("query_id").cast(kind[1]).alias("query_id"), F.col("doc_id").cast(kind[0]).alias("doc_id"), "score").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -110,3 +110,14 @@ def test_scoped_index(spark, tmp_path):
     path = f"file://{tmp_path}/cells"
     vectors.build_index(path, frame(spark, items, "doc_id"), ("part",))
     same(rows(vectors.search_index(spark, path, frame(spark, asked, "query_id"), 5, 1.0, ("part",))), brute(asked, items, 5, True))
+
+
+def test_a_search_of_cells_keeps_the_best_of_a_block_only(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    items = [(int(i), [float(v) for v in rng.normal(0, 1, 6)], 0) for i in range(400)]
+    path, met, real = f"file://{tmp_path}/cells", [], vectors._met
+    monkeypatch.setattr(vectors, "_met", lambda *a: met.append(real(*a)) or met[-1])
+    vectors.build_index(path, frame(spark, items, "doc_id").drop("part"))
+    found = vectors.search_index(spark, path, frame(spark, items[::40], "query_id").drop("part"), 5, 1.0)
+    assert found.count() == 5 * 10
+    assert met[0].count() <= 5 * 10 * spark.read.parquet(f"{path}/centres").count()  # not a row for each pair that meets
