@@ -5,7 +5,7 @@ from collections import defaultdict, deque
 
 import pytest
 
-from corvane.operators import graph
+from corvane.operators import graph, paths
 
 
 def brute(edges):
@@ -58,3 +58,15 @@ def test_small_graphs(spark):
     assert graph.betweenness_within(table(spark, []), 0.1).count() == 0
     assert [(r.betweenness, r.error) for r in graph.betweenness_within(table(spark, [(1, 2)]), 0.1).collect()] == [(0.0, 0.0)] * 2
     assert {r.node: r.betweenness for r in graph.betweenness_within(table(spark, [(1, 1), (2, 2), (3, 3)]), 0.1).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
+
+
+def test_blocks_of_nodes_and_pivots(spark):
+    """Nodes and pivots in several blocks, and a search of more levels than are added up at once."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(60) * 7, rng.randrange(60) * 7) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(12)] + [(7, 1000)]
+    step = table(spark, edges).where("src <> dst").distinct()
+    places = paths.numbered(graph.vertex_set(step))
+    got = paths.path_loads(step, places, places.select("node"), side=16, lanes=8).collect()
+    want, n = brute([e for e in edges if e[0] != e[1]]), places.count()
+    assert {r.node for r in got} >= {v for v, x in want.items() if x}
+    assert {r.node: r.s / ((n - 1) * (n - 2)) for r in got} == pytest.approx({r.node: want[r.node] for r in got}, abs=1e-12)
