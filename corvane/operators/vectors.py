@@ -9,7 +9,7 @@ folders of the cells that it probes and ranks what lies there exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from corvane.session import arrow_rows, bound_batches, free, shuffle_partitions,
 #: Rows that centres are fitted to at most, centres at most, rounds of k-means; vectors and queries of a block, vector blocks of a slice.
 SAMPLE, CELLS, ROUNDS = 20_000, 256, 8
 BLOCK, ASKED, SLICE = 4096, 1024, 16
+#: Pairs whose buckets are compared at a time.
+PAIRS = 65_536
 _BLOCK = "scope string, ids binary, units binary, centre binary, radius double"
 
 
@@ -111,9 +113,45 @@ def _packed(placed: DataFrame, size: int) -> DataFrame:
     return written(placed.mapInArrow(_packer(size), _BLOCK))
 
 
-def _searcher(k: int):
+def _best(k: int, ids: np.ndarray, scores: np.ndarray, found: np.ndarray, own: np.ndarray, dot: np.ndarray, able: np.ndarray, share: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> None:
+    """Put into ``scores`` and ``found`` what of ``dot``, the queries ``able`` by the rows ``own``, is among their ``k`` best; only what is as good as a k-th score is sorted."""
+    dot[ids[able][:, None] == own[None, :]] = -np.inf
+    least = scores[able, -1]
+    open_ = np.flatnonzero(~np.isfinite(least))
+    if share is not None:  # without a k-th score, pairs that share nothing must go first
+        for i in range(0, len(open_), 64):
+            some = open_[i : i + 64]
+            row, col = np.nonzero(np.isfinite(dot[some]))
+            away = ~share(able[some[row]], col)
+            dot[some[row[away]], col[away]] = -np.inf
+    if share is None and dot.shape[1] > k:
+        least = np.maximum(least, np.partition(dot, -k, axis=1)[:, -k])
+    elif dot.shape[1] > k and open_.size:
+        least[open_] = np.partition(dot[open_], -k, axis=1)[:, -k]
+    row, col = np.nonzero((dot >= least[:, None]) & np.isfinite(dot))
+    if share is not None and len(row):
+        keep = share(able[row], col)
+        row, col = row[keep], col[keep]
+    if not len(row):
+        return
+    rows = np.unique(row)
+    old, place = np.nonzero(np.isfinite(scores[able[rows]]))
+    whose = np.concatenate([row, rows[old]])
+    score = np.concatenate([dot[row, col], scores[able[rows[old]], place]])
+    doc = np.concatenate([own[col], found[able[rows[old]], place]])
+    order = np.lexsort((doc, -score, whose))
+    whose, score, doc = whose[order], score[order], doc[order]
+    rank = np.arange(len(whose)) - np.searchsorted(whose, whose)
+    kept = rank < k
+    scores[able[rows]] = -np.inf
+    scores[able[whose[kept]], rank[kept]], found[able[whose[kept]], rank[kept]] = score[kept], doc[kept]
+
+
+def _searcher(k: int, tables: int = 0):
+    """The ``k`` best of each block of queries in each slice; with ``tables``, vectors end in so many bucket numbers, and a pair must share one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = ids = asked = scores = found = None
+        now = ids = asked = scores = found = hashes = None
 
         def rows() -> pa.RecordBatch:
             query, place = np.nonzero(np.isfinite(scores))
@@ -126,23 +164,39 @@ def _searcher(k: int):
                         yield rows()
                     now, ids = (block, slice_, scope), np.frombuffer(query_ids, np.int64)
                     asked = np.frombuffer(queries, np.float64).reshape(len(ids), -1)
+                    asked, hashes = np.split(asked, [asked.shape[1] - tables], axis=1)
                     scores, found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-                able = np.flatnonzero(asked @ np.frombuffer(centre, np.float64) + radius + 2e-6 >= scores[:, -1])  # queries are unit vectors
+                if tables:
+                    able = np.arange(len(ids))
+                else:
+                    able = np.flatnonzero(asked @ np.frombuffer(centre, np.float64) + radius + 2e-6 >= scores[:, -1])  # queries are unit vectors
                 if not len(able):
                     continue
                 own = np.frombuffer(own_ids, np.int64)
-                dot = np.round(asked[able] @ np.frombuffer(units, np.float64).reshape(len(own), -1).T, 6)
-                dot[ids[able][:, None] == own[None, :]] = -np.inf
-                dots = np.concatenate([scores[able], dot], axis=1)
-                docs = np.concatenate([found[able], np.broadcast_to(own, dot.shape)], axis=1)
-                order = np.lexsort((docs, -dots), axis=1)[:, :k]
-                scores[able], found[able] = np.take_along_axis(dots, order, axis=1), np.take_along_axis(docs, order, axis=1)
+                units = np.frombuffer(units, np.float64).reshape(len(own), -1)
+                units, other = np.split(units, [units.shape[1] - tables], axis=1)
+                share = (lambda row, col, other=other: np.concatenate([(hashes[row[a : a + PAIRS]] == other[col[a : a + PAIRS]]).any(axis=1) for a in range(0, max(len(row), 1), PAIRS)])) if tables else None
+                _best(k, ids, scores, found, own, np.round(asked[able] @ units.T, 6), able, share)
         if now:
             yield rows()
 
     return run
 
 
+def bucket_top_k(queries: DataFrame, vectors: DataFrame, tables: int, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, score): the ``k`` best of the pairs that share a bucket; ``queries`` (query_id, unit, buckets) and ``vectors`` (doc_id, unit, buckets).
+
+    Where buckets hold most rows, joining on them makes a row for nearly every pair and table. Here rows and queries meet once, in blocks, in which
+    a pair is looked at if its score may count, and its buckets are compared then.
+    """
+    held = lambda df, id_col: df.select(F.lit("").alias("scope"), F.lit(0).alias("cell"), F.col(id_col).cast("long").alias("id"), F.concat("unit", F.transform("buckets", lambda b: b.cast("double"))).alias("unit"))
+    bound_batches(vectors.sparkSession)
+    blocks, lots = _packed(held(vectors, "doc_id"), BLOCK), _packed(held(queries, "query_id"), ASKED)
+    found = _met(blocks, lots, k, tables, 4)
+    free(blocks, lots)
+    return found
+
+
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine top ``k`` rounded to 6 digits, ties to the smaller id; own ids left out.
 
@@ -170,14 +224,14 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, scope: tupl
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def _met(blocks: DataFrame, lots: DataFrame, k: int) -> DataFrame:
+def _met(blocks: DataFrame, lots: DataFrame, k: int, tables: int = 0, slice_: int = SLICE) -> DataFrame:
     """(query_id, doc_id, score): the ``k`` best of each block of queries (``lots``) in each slice of the blocks of its scope."""
-    sizes = blocks.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SLICE)).alias("slices"))  # a row for each scope
+    sizes = blocks.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / slice_)).alias("slices"))  # a row for each scope
     dealt = written(blocks.join(sizes, "scope").withColumn("slice", F.pmod(F.xxhash64("ids"), F.col("slices"))))
     lots = lots.withColumn("block", F.monotonically_increasing_id()).join(sizes, "scope").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     pairs = lots.select("block", "scope", "slice", F.col("ids").alias("query_ids"), F.col("units").alias("queries")).join(dealt.select("scope", "slice", "ids", "units", "centre", "radius").hint("merge"), ["scope", "slice"])
     with arrow_rows(blocks.sparkSession, 4):  # a row holds two blocks
-        return written(pairs.mapInArrow(_searcher(k), "query_id long, doc_id long, score double"), dealt).withColumn("score", F.round("score", 6))
+        return written(pairs.mapInArrow(_searcher(k, tables), "query_id long, doc_id long, score double"), dealt).withColumn("score", F.round("score", 6))
 
 
 # ---- the stored index

@@ -121,3 +121,24 @@ def test_a_search_of_cells_keeps_the_best_of_a_block_only(spark, tmp_path, monke
     found = vectors.search_index(spark, path, frame(spark, items[::40], "query_id").drop("part"), 5, 1.0)
     assert found.count() == 5 * 10
     assert met[0].count() <= 5 * 10 * spark.read.parquet(f"{path}/centres").count()  # not a row for each pair that meets
+
+
+def test_bucket_search_equals_joining_on_buckets(spark):
+    """Few buckets, ties, copies, several blocks and queries with fewer than k candidates: the rows of a join on the buckets."""
+    rng = np.random.default_rng(11)
+    units = np.round(rng.normal(size=(120, 3)))
+    units[::7] = units[0]
+    units /= np.maximum(np.sqrt((units**2).sum(axis=1, keepdims=True)), 1e-9)
+    held = [(i, units[i].tolist(), [float(rng.integers(0, 9)), float(rng.integers(0, 40))]) for i in range(120)]
+    items = spark.createDataFrame(held, "doc_id long, unit array<double>, buckets array<double>")
+    asked = items.where("doc_id % 4 = 0").withColumnRenamed("doc_id", "query_id")
+    want = []
+    for q in held[::4]:
+        near = sorted((-round(float(np.dot(q[1], d[1])), 6), d[0]) for d in held if d[0] != q[0] and any(x == y for x, y in zip(q[2], d[2])))
+        want += [(q[0], d, -s) for s, d in near[:10]]
+    block, vectors.BLOCK = vectors.BLOCK, 32
+    try:
+        got = search.top(vectors.bucket_top_k(asked, items, 2), 10).collect()
+    finally:
+        vectors.BLOCK = block
+    assert sorted((r.query_id, r.doc_id, r.score) for r in got) == [(q, d, pytest.approx(s, abs=1e-9)) for q, d, s in sorted(want)]
