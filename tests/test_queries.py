@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from corvane.plans import catalog
-from corvane.sources.fixtures import BASE
+from corvane.sources.fixtures import BASE, Tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -43,3 +43,8 @@ def test_agrees_with_sql(spark, duck, name):
 def test_all_queries_have_a_name_and_most_an_oracle():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"betweenness", "betweenness_bounded", "lsh_topk", "cells_topk", "modular_communities"}
+
+
+def test_gold_is_searched_once_a_query(spark):
+    t = Tables(spark, SF)
+    assert t("v_gold") is t("v_gold") and t("v_gold").columns == ["query_id", "doc_id"]
