@@ -13,7 +13,7 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "src long, dst long")
 
 
-@pytest.mark.parametrize("metric, array, key", [("pagerank", "dsts", "src")])
+@pytest.mark.parametrize("metric, array, key", [("communities", "nodes", "other"), ("pagerank", "dsts", "src")])
 def test_a_round_has_one_row_for_a_usual_node(spark, monkeypatch, metric, array, key):
     seen = []
 
