@@ -313,3 +313,16 @@ def test_detail_counts_and_children(spark):
     base, tags = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (3, "z")], "of int, tag string")
     assert sorted(map(tuple, infer.detail(base, "id", {"tags": (tags, "of", "tag")}).collect())) == [(1, 2, "a"), (2, 0, None)]
     assert sorted(map(tuple, infer.detail_children("id", {"tags": (tags, "of", "tag")}).collect())) == [(1, "tags", "a"), (1, "tags", "b"), (3, "tags", "z")]
+
+
+def test_nested_lists_all_children_in_order(spark):
+    base = spark.createDataFrame([("a",), ("b",), (None,)], "of string")
+    many = spark.range(25_000).select(F.lit("a").alias("of"), F.format_string("%05d", "id").alias("item"))  # several batches
+    few = spark.createDataFrame([("b", "y"), ("b", "x"), ("b", "x"), ("b", None), ("z", "gone"), (None, "n")], "of string, tag string")
+    lines = spark.createDataFrame([("b", 2, ["2:x"]), ("b", 1, ["1:y", "1:z"])], "of string, at int, each array<string>")
+    got = {r["of"]: r for r in infer.nested(base, "of", {"items": (many, "of", "item"), "tags": (few, "of", "tag"), "notes": (lines, "of", "at", "each")}).collect()}
+    assert (got["b"]["n_notes"], got["b"]["first_notes"], got["b"]["notes"], got["a"]["n_notes"]) == (3, "1:y", "1:y\n1:z\n2:x", 0)
+    assert set(got) == {"a", "b", None}
+    assert (got["a"]["n_items"], got["a"]["first_items"], got["a"]["tags"]) == (25_000, "00000", None) and got["a"]["items"].split("\n") == [f"{i:05d}" for i in range(25_000)]
+    assert (got["b"]["n_tags"], got["b"]["first_tags"], got["b"]["tags"], got["b"]["n_items"], got["b"]["items"]) == (3, "x", "x\nx\ny", 0, None)
+    assert got[None]["tags"] == "n"
