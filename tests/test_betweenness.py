@@ -70,3 +70,27 @@ def test_blocks_of_nodes_and_pivots(spark):
     want, n = brute([e for e in edges if e[0] != e[1]]), places.count()
     assert {r.node for r in got} >= {v for v, x in want.items() if x}
     assert {r.node: r.s / ((n - 1) * (n - 2)) for r in got} == pytest.approx({r.node: want[r.node] for r in got}, abs=1e-12)
+
+
+def test_stripes_and_batches_of_pivots(spark, monkeypatch):
+    """Stripes of two blocks, a value sent once to each stripe, and two batches of pivots; the same sums as in one search."""
+    monkeypatch.setattr(paths, "SPAN", 2)
+    rng = random.Random(7)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(200)]
+    step = table(spark, edges).where("src <> dst").distinct()
+    places = paths.numbered(graph.vertex_set(step))
+    tiles = paths.tiled(step, places, side=16)
+    n = places.count()
+    assert (tiles.span, tiles.stripes) == (2, -(-n // 32)) and tiles.forth.count() <= -(-n // 16) * tiles.stripes
+    want = brute([e for e in edges if e[0] != e[1]])
+    for cells in (10**9, n * 48):
+        got = paths.path_loads(step, places, places.select("node"), lanes=8, tiles=tiles, cells=cells).collect()
+        assert {r.node: r.s / ((n - 1) * (n - 2)) for r in got} == pytest.approx({r.node: want[r.node] for r in got}, abs=1e-12)
+        assert {r.node for r in got} >= {v for v, x in want.items() if x}
+
+
+def test_values_keep_their_numbers():
+    import numpy as np
+
+    for x in ([0.0, 1.0, 65535.0], [65536.0], [0.5, 2.0], [1e300], [-1.0], []):
+        assert paths._unpacked(paths._packed(np.array(x))).tolist() == x
